@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality, simhash
+from . import packing, pii, quality, simhash
 
 QUERIES = {
+    "op1_anchor_pii": pii.op1_anchor_pii,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
