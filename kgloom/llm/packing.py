@@ -45,17 +45,18 @@ class WordTokenizer:
 
     Such a vocabulary never merges over the bounds of words, so the ids of a text are those of its words. Texts of
     Latin letters are taken apart here and only unknown words go to ``tokenizers``; any other text goes there whole.
-    The memo starts anew at ``most`` words, which bounds its memory and changes no result.
+    At ``most`` words the memo becomes the elder one, from which words that come again are taken over; so it forgets
+    rare words, its memory is bounded, and no result changes.
     """
 
     held: dict[str, WordTokenizer] = {}
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
-        self.most, self.memo = most, {}
+        self.most, self.memo, self.elder = most, {}, {}
         vocab = self.of.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
@@ -77,12 +78,14 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
         split = [None if "<|" in t or _OTHER.search(t) else _WORD.findall(t.lower()) for t in texts]
-        known = {w for ws in split if ws for w in ws}
+        known = set().union(*filter(None, split))
         new = known.difference(self.memo)
         if len(new) + len(self.memo) > self.most:
-            self.memo.clear()
+            self.memo, self.elder = {}, self.memo
             new = known
-        if new:
+        again = new.intersection(self.elder)
+        self.memo |= {w: self.elder[w] for w in again}
+        if new := new.difference(again):
             self._learn(list(new))
         get, out = self.memo.__getitem__, []
         for t, ws in zip(texts, split, strict=True):
