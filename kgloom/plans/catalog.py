@@ -1,4 +1,4 @@
 """Every query on the driver's tables, by name, with its SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import core  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
