@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, slices, table
 
@@ -183,7 +184,7 @@ def place(rows: DataFrame) -> DataFrame:
     """The pieces with sequence_id and offset. ``rows`` must be stored (``cut`` or a table), as groups go by position."""
     total = rows.agg(F.sum("length"), F.count("*")).first()
     groups = max(1, (total[0] or 0) // GROUP_TOKENS, total[1] // GROUP_ROWS)
-    kinds = rows.schema
+    kinds = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
@@ -202,7 +203,7 @@ def place(rows: DataFrame) -> DataFrame:
         return group.drop_columns("_group").append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off))
 
     dealt = rows.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-    return dealt.groupBy("_group").applyInArrow(run, kinds.add("sequence_id", "long").add("offset", "long"))
+    return dealt.groupBy("_group").applyInArrow(run, kinds)
 
 
 def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
