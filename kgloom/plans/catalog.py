@@ -1,4 +1,4 @@
 """Every query on the driver's tables, by name, with its SQL."""
 
-from . import core, knowledge  # noqa: F401
+from . import core, knowledge, texts  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -175,10 +175,10 @@ def point_lookup(spark, sf):
     return relational.by_ids(kg.nodes(spark, sf), [11, 12, 13, 14, 15]).select("id", "name", "node_type")
 
 
-@query("hash_dedup", f"{WITH} SELECT id FROM sources WHERE id >= 100 AND content_hash NOT IN (SELECT content_hash FROM sources WHERE id < 100)")
+@query("hash_dedup", f"{WITH} SELECT id FROM sources WHERE content_hash NOT IN (SELECT content_hash FROM sources WHERE source_type = 'code')")
 def hash_dedup(spark, sf):
     s = kg.sources(spark, sf)
-    return relational.unseen(s.filter("id >= 100"), s.filter("id < 100")).select("id")
+    return relational.unseen(s, s.filter("source_type = 'code'")).select("id")
 
 
 @query("provenance_chain", f"{WITH}, c AS (SELECT o_orderkey AS id, o_custkey % 200 AS source_id FROM orders) SELECT DISTINCT entity_id, uri, title FROM extractions e JOIN c ON c.id = e.chunk_id JOIN sources s ON s.id = c.source_id")
