@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.lineage import cut
 from . import fusion, graph, relational
 
 
@@ -94,6 +95,7 @@ def search(lists: DataFrame, items: DataFrame, edges: DataFrame | None = None, s
     """The whole search over ranked lists (dimension, id, score): gate, fuse, expand, enrich from ``items`` (id, name, content, uri, result_type,
     source_type, confidence, named), demote, drop poor texts, filter, diversify, boost, cut. One lazy plan of the lists' size but for the join with items.
     """
+    lists = cut(lists)  # a few rows that took long to find, and are used several times
     gated = fusion.gate(lists, strategy)
     norm = fusion.normalised(lists).join(F.broadcast(gated.select("dimension", "weight")), "dimension")
     active = gated.agg(F.count_if(F.col("weight") > 0).alias("_active"))
