@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, on_batches, table
 
-SHINGLE, MOST_BITS, LEAST_SHARED, MOST_LISTED = 4, 4, 4, 4096
+SHINGLE, MOST_BITS, LEAST_SHARED, MOST_LISTED, SALTS = 4, 4, 4, 4096, 16
 #: Shingles hashed at once, which bounds the memory that a very long text takes.
 BLOCK = 1 << 16
 
@@ -202,7 +202,9 @@ def near_duplicates(docs: DataFrame, most_listed: int = MOST_LISTED) -> DataFram
     roots = components(links(distinct.select("fp"), most_listed))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     linked = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    of_fp = rooted.join(linked, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # A component may hold very many fingerprints, so that its root is dealt to SALTS tasks.
+    salted = linked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    of_fp = rooted.withColumn("salt", F.pmod(F.hash("fp"), F.lit(SALTS))).join(salted, ["root", "salt"], "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return prints.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
