@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import add, and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +29,40 @@ def lexical(docs: DataFrame, query: str, k: int = 50) -> DataFrame:
     return found.select("id", (F.size("h") / (1 + F.ln("n"))).alias("score")).orderBy(F.desc(F.round("score", 12)), "id").limit(k)
 
 
+def websearch(docs: DataFrame, query: str, k: int = 50) -> DataFrame:
+    """id, score of documents (id, content) by a query in the web's form: words and "phrases" that must all be there, ``or`` between
+    alternatives, ``-`` before what must not. The score: occurrences of what is asked for over 1 + ln(words)."""
+    bare = lambda x: re.sub(r"[\W_]+", " ", x.lower()).strip()
+    groups: list[list[str]] = [[]]
+    without: list[str] = []
+    for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', query):
+        if word.lower() == "or" and not minus:
+            groups.append([])
+        elif found := bare(phrase or word.removeprefix("-")):
+            (without if minus or word.startswith("-") else groups[-1]).append(found)
+    groups = [g for g in groups if g]
+    if not groups:
+        return docs.select("id", F.lit(0.0).alias("score")).limit(0)
+    text = F.trim(F.regexp_replace(F.lower("content"), r"[^\p{L}\p{N}]+", " "))
+    has = lambda x: F.contains("_t", F.lit(f" {x} "))
+    wanted = reduce(or_, (reduce(and_, map(has, g)) for g in groups))
+    # Blanks are doubled, so that neighbours don't share one.
+    wide, apart = F.replace("_t", F.lit(" "), F.lit("  ")), lambda x: f" {x.replace(' ', '  ')} "
+    n = [(F.length(wide) - F.length(F.replace(wide, F.lit(apart(x)), F.lit("")))) / len(apart(x)) for x in dict.fromkeys(sum(groups, []))]
+    found = docs.select("id", F.concat(F.lit(" "), text, F.lit(" ")).alias("_t"), F.size(F.split(text, " ")).alias("_n")).filter(reduce(and_, [wanted, *(~has(x) for x in without)]))
+    return found.select("id", (reduce(add, n) / (1 + F.ln("_n"))).alias("score")).orderBy(F.desc(F.round("score", 12)), "id").limit(k)
+
+
+def lexical_or_fuzzy(docs: DataFrame, query: str, k: int = 50, least: float = 0.1) -> DataFrame:
+    """All terms; if no document has them, the query in the web's form; if none fits it, similar trigrams of the content."""
+    empty = lambda df: df.agg((F.count("*") == 0).alias("_none"))
+    plain, web = lexical(docs, query, k), websearch(docs, query, k)
+    near = fuzzy(docs.withColumnRenamed("content", "name"), query, k, least)
+    second = web.join(F.broadcast(empty(plain))).filter("_none").drop("_none")
+    third = near.join(F.broadcast(empty(plain.unionByName(web)))).filter("_none").drop("_none")
+    return plain.unionByName(second).unionByName(third)
+
+
 def fuzzy(docs: DataFrame, query: str, k: int = 50, least: float = 0.1) -> DataFrame:
     """The fallback: names by trigram similarity with the query."""
     q = docs.sparkSession.range(1).select(T.trigrams(F.lit(query)).alias("t")).first()["t"]

@@ -187,10 +187,26 @@ def event_windows(spark, sf):
     return sync.windowed(kg.table(spark, sf, "events")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-@query("lexical_search", r"WITH d AS (SELECT doc_id AS id, string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' ') AS w FROM documents), h AS (SELECT id, len(w) AS n, list_filter(w, lambda x: x IN ('shthe', 'tion')) AS h FROM d) SELECT id, round(len(h) / (1 + ln(n)), 6) AS score FROM h WHERE len(list_distinct(h)) = 2 ORDER BY score DESC, id LIMIT 50")
+@query("lexical_search", r"WITH d AS (SELECT doc_id AS id, string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' ') AS w FROM documents), h AS (SELECT id, len(w) AS n, list_filter(w, lambda x: x IN ('thre', 'tion')) AS h FROM d) SELECT id, round(len(h) / (1 + ln(n)), 6) AS score FROM h WHERE len(list_distinct(h)) = 2 ORDER BY score DESC, id LIMIT 50")
 def lexical_search(spark, sf):
     d = kg.sources(spark, sf).select("id", "content")
-    return retrieve.lexical(d, "the shthe, tion").withColumn("score", F.round("score", 6))
+    return retrieve.lexical(d, "the thre, tion").withColumn("score", F.round("score", 6))
+
+
+WORDS = r"SELECT doc_id AS id, ' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS t FROM documents"
+
+
+@query("web_search", f"""WITH w AS ({WORDS}), d AS (SELECT id, t, len(string_split(trim(t), ' ')) AS n, string_split(trim(t), ' ') AS ws FROM w)
+SELECT id, round((len(list_filter(ws, lambda x: x IN ('ther', 'tion'))) + (length(replace(t, ' ', '  ')) - length(replace(replace(t, ' ', '  '), ' and  the ', ''))) // 10) / (1 + ln(n)), 6) AS score FROM d
+WHERE (contains(t, ' ther ') AND contains(t, ' and the ') OR contains(t, ' tion ')) AND NOT contains(t, ' thre ') ORDER BY round((len(list_filter(ws, lambda x: x IN ('ther', 'tion'))) + (length(replace(t, ' ', '  ')) - length(replace(replace(t, ' ', '  '), ' and  the ', ''))) // 10) / (1 + ln(n)), 12) DESC, id LIMIT 50""")
+def web_search(spark, sf):
+    return retrieve.websearch(kg.sources(spark, sf).select("id", "content"), 'ther "and the" or tion -thre').withColumn("score", F.round("score", 6))
+
+
+@query("lexical_fallback", f"WITH p AS (SELECT p_partkey AS id, p_name AS content, {TRI.format(repr('red widgit'))} AS q, {TRI.format('p_name')} AS t FROM part), s AS (SELECT id, len(list_intersect(t, q)) / len(list_distinct(list_concat(t, q))) AS score FROM p) SELECT id, round(score, 9) AS score FROM s WHERE score >= 0.1 ORDER BY round(score, 12) DESC, id LIMIT 50")
+def lexical_fallback(spark, sf):
+    p = kg.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("content"))
+    return retrieve.lexical_or_fuzzy(p, "red widgit").withColumn("score", F.round("score", 9))
 
 
 @query("temporal_search", "SELECT event_id AS id, round(CASE WHEN epoch(TIMESTAMP '2024-01-25' - ts) < -60 THEN 0.1 ELSE 1 / (1 + greatest(epoch(TIMESTAMP '2024-01-25' - ts), 0) / 86400) END, 9) AS score FROM events ORDER BY round(score, 12) DESC, id LIMIT 50")
@@ -236,7 +252,7 @@ def graph_context(spark, sf):
 @query("search")
 def search(spark, sf):
     items = kg.sources(spark, sf).select("id", F.col("title").alias("name"), "content", "uri", F.when(F.col("id") % 5 == 0, "node").otherwise("chunk").alias("result_type"), "source_type", F.lit("document").alias("node_type"), F.lit(None).cast("string").alias("entity_class"), "domains", ((F.col("id") % 100) / 100).alias("confidence"), F.lit(False).alias("named"))
-    lex = retrieve.lexical(items, "shthe tion").withColumn("dimension", F.lit("lexical"))
+    lex = retrieve.lexical(items, "thre tion").withColumn("dimension", F.lit("lexical"))
     out = retrieve.search(lists(spark, sf).unionByName(lex), items, None, "balanced", 10, 0.05, ["document", "web_page", "manual", "code"])
     return out.select("id", "name", "result_type", F.round("score", 9).alias("score"))
 
