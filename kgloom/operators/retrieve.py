@@ -131,7 +131,10 @@ def low_quality(content: Column) -> Column:
 
 def search(lists: DataFrame, items: DataFrame, edges: DataFrame | None = None, strategy: str = "balanced", limit: int = 10, least_confidence: float | None = None, source_types: list[str] | None = None) -> DataFrame:
     """The whole search over ranked lists (dimension, id, score): gate, fuse, expand, enrich from ``items`` (id, name, content, uri, result_type,
-    source_type, confidence, named), demote, drop poor texts, filter, diversify, boost, cut. One lazy plan of the lists' size but for the join with items.
+    source_type, confidence, named), demote, drop poor texts, filter, diversify, boost, cut.
+
+    The fused rows, 5 * limit at most or 50, come to the driver and go back as a filter on ids: it reaches the scan of the items, and texts are judged
+    only where it holds. Without it the tests of texts would be pushed below the join, to all items.
     """
     lists = cut(lists)  # a few rows that took long to find, and are used several times
     gated = fusion.gate(lists, strategy)
@@ -142,8 +145,9 @@ def search(lists: DataFrame, items: DataFrame, edges: DataFrame | None = None, s
     if edges is not None:
         fused = expanded(fused, edges).join(fused.select("id", "dims"), "id", "left").withColumn("dims", F.coalesce("dims", F.lit(1)))
     wanted = max(5 * limit, 50) if least_confidence is not None or source_types else max(limit * 3, 30)
-    fused = fused.orderBy(F.desc("score"), "id").limit(wanted)
-    r = items.join(F.broadcast(fused), "id")
+    best = fused.orderBy(F.desc("score"), "id").limit(wanted)
+    rows = best.collect()
+    r = items.filter(F.col("id").isin([x["id"] for x in rows])).join(F.broadcast(items.sparkSession.createDataFrame(rows, best.schema)), "id")
     s = fusion.demoted(F.col("score"), F.col("result_type"), F.col("dims"), F.col("named"))
     r = r.withColumn("score", s).withColumn("score", fusion.code_demoted(F.col("score"), F.col("result_type"), F.col("source_type")))
     r = r.filter((F.col("result_type") == "node") | ~low_quality(F.col("content")))
