@@ -52,7 +52,7 @@ class WordTokenizer:
 
     held: dict[str, WordTokenizer] = {}
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
