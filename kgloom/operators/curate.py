@@ -119,7 +119,8 @@ def verification(links: DataFrame) -> DataFrame:
 
 
 def split_node(nodes: DataFrame, edges: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``parts`` (edge_id, old, new, name): each edge named goes from the old node to the new one, which is added."""
+    """``parts`` (edge_id, old, new, name): each edge named goes from the old node to the new one, which is added. Rows that repeat an edge count once."""
+    parts = parts.dropDuplicates(["edge_id"])
     fresh = parts.groupBy("new").agg(F.min("name").alias("name"), F.min("old").alias("old"), F.count("*").alias("mention_count"))
     like = nodes.select(F.col("id").alias("old"), *(c for c in nodes.columns if c not in ("id", "name", "mention_count")))
     added = fresh.join(like, "old").select(F.col("new").alias("id"), *(c for c in nodes.columns if c != "id"))
