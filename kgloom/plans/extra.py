@@ -12,7 +12,7 @@ from ..sources import convert
 from ..sources import kgview as kg
 from ..streaming import sync
 from .core import WITH, probe, vectors
-from .knowledge import JUDGED, members, tree, tree_nodes, valid
+from .knowledge import JUDGED, members, valid
 from .registry import query
 
 ADAPTERS = [
@@ -339,7 +339,7 @@ def propagated_confidence(spark, sf):
 @query("deep_consolidation")
 def deep_consolidation(spark, sf):
     """Trust, cores and communities, then the bridges between them, over one graph."""
-    n, e = tree_nodes(spark, sf), tree(spark, sf)
+    n, e = kg.nodes(spark, sf), valid(spark, sf)
     seeds = n.filter("node_type = 'component'").select("id", F.lit(1.0).alias("weight"))
     trust = graph.rank(n, e, iterations=10, seeds=seeds, weight=graph.effective("confidence"), lose_unweighted=True)
     groups = graph.communities(n, e, graph.cores(n, e)).select("id", "community")

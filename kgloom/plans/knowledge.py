@@ -103,6 +103,28 @@ def betweenness(spark, sf):
     return graph.betweenness(tree_nodes(spark, sf), tree(spark, sf)).withColumn("score", F.round("score", 12))
 
 
+#: The four above keep to the forest of places, as far as their SQL goes. These have no SQL and run over the whole graph.
+@query("weak_components_whole")
+def weak_components_whole(spark, sf):
+    return graph.membership(kg.nodes(spark, sf), valid(spark, sf))
+
+
+@query("core_numbers_whole")
+def core_numbers_whole(spark, sf):
+    return graph.cores(kg.nodes(spark, sf), valid(spark, sf))
+
+
+@query("communities_whole")
+def communities_whole(spark, sf):
+    n, e = kg.nodes(spark, sf), valid(spark, sf)
+    return graph.communities(n, e, graph.cores(n, e))
+
+
+@query("betweenness_whole")
+def betweenness_whole(spark, sf):
+    return graph.betweenness(kg.nodes(spark, sf), valid(spark, sf)).withColumn("score", F.round("score", 12))
+
+
 MEMBERS = "m AS (SELECT id, (id // 10) % 5 AS community FROM nodes)"
 
 

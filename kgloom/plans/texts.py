@@ -12,7 +12,7 @@ from ..sources import convert
 from ..sources import kgview as kg
 from ..streaming import sync
 from .core import LISTS, WITH, lists, vectors
-from .knowledge import TRI, members, tree, tree_nodes, valid
+from .knowledge import TRI, members, valid
 from .registry import query
 
 
@@ -222,7 +222,7 @@ def graph_seeds(spark, sf):
 
 @query("graph_dimension")
 def graph_dimension(spark, sf):
-    return retrieve.graph_dimension(tree_nodes(spark, sf), tree(spark, sf), "nation_3 and region", 2).withColumn("score", F.round("score", 9))
+    return retrieve.graph_dimension(kg.nodes(spark, sf), valid(spark, sf), "nation_3 and region", 2).withColumn("score", F.round("score", 9))
 
 
 @query("structural_dimension")
