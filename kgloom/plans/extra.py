@@ -86,6 +86,15 @@ def code_paths(spark, sf):
     return curate.code_paths(n, p)
 
 
+@query("code_paths_whole")
+def code_paths_whole(spark, sf):
+    """As code_paths, whose SQL keeps to 50 sources, over all sources."""
+    n = kg.nodes(spark, sf).filter("node_type = 'technology'").withColumn("file_path", F.when(F.col("id") % 7 == 0, F.concat(F.lit("src/"), "name")))
+    s = kg.sources(spark, sf)
+    p = kg.extractions(spark, sf).select(F.col("entity_id").alias("id"), (F.col("chunk_id") % s.count()).alias("s"))
+    return curate.code_paths(n, p.join(s.select(F.col("id").alias("s"), "uri", "domains"), "s"))
+
+
 NEAREST = "x AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = 4 AND b.label IN (5, 6)), y AS (SELECT * FROM x WHERE s >= 0.3 AND (src + dst) % 10 <> 0), z AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(s, 12) DESC, dst) AS n FROM y)"
 
 
@@ -255,6 +264,21 @@ def community_articles(spark, sf):
     return a.select("community", "sources", F.sha2("a.body", 256).alias("digest"), "a.title")
 
 
+@query("community_articles_whole")
+def community_articles_whole(spark, sf):
+    """As community_articles, whose SQL keeps to 200 sources and their first 60 characters, over all sources and whole texts.
+
+    Communities are by part, so that their number grows with the tables and an article doesn't.
+    """
+    s = kg.sources(spark, sf)
+    votes = kg.table(spark, sf, "lineitem").select((F.col("l_orderkey") % s.count()).alias("source_id"), F.col("l_partkey").alias("community"))
+    won = resolve.majority(votes, "source_id", "community").select("source_id", "community")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("source_id", "content"))), lambda x: x["content"])
+    a = won.join(s.select(F.col("id").alias("source_id"), "content"), "source_id").groupBy("community").agg(F.count("*").alias("sources"), texts.alias("texts"))
+    a = a.select("community", "sources", chunking.article(F.col("texts"), F.col("community")).alias("a"))
+    return a.select("community", "sources", F.sha2("a.body", 256).alias("digest"), "a.title")
+
+
 @query("opinion_updates", "SELECT l_orderkey * 10 + l_linenumber AS id, round((1 - l_discount) * (1 - 0.5 * l_tax * 4), 6) AS superseded, round(least(greatest((1 - l_discount) * (1 + 0.4 * (l_quantity / 50 - 0.5)), 0), 1), 6) AS composite FROM lineitem")
 def opinion_updates(spark, sf):
     c = F.col

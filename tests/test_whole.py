@@ -1,5 +1,6 @@
 """Queries without SQL over the whole of the smallest tables, against plain versions."""
 
+import hashlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -81,3 +82,21 @@ def test_consolidation_and_graph_dimension_see_the_whole_graph(spark, whole):
     got = {r["id"]: r["community"] for r in catalog.QUERIES["deep_consolidation"](spark, SF).collect()}
     assert got == dict.fromkeys(ns) | plain_communities(ns, es, plain_cores(ns, es))
     assert any(i % 10 == 1 for i in pairs(catalog.QUERIES["graph_dimension"](spark, SF)))
+
+
+def test_articles_and_paths_of_all_sources(spark):
+    s = {r["id"]: r for r in kg.sources(spark, SF).collect()}
+    lines = kg.table(spark, SF, "lineitem").select("l_orderkey", "l_partkey").collect()
+    votes, of = defaultdict(Counter), defaultdict(set)
+    for order, part in lines:
+        votes[order % len(s)][part] += 1
+        of[part * 10 + 1].add(order % len(s))
+    groups = defaultdict(list)
+    for i in sorted(votes):
+        groups[min(votes[i], key=lambda c: (-votes[i][c], c))].append(s[i]["content"])
+    want = {(c, len(t), hashlib.sha256("\n\n---\n\n".join(t).encode()).hexdigest()) for c, t in groups.items()}
+    got = catalog.QUERIES["community_articles_whole"](spark, SF).collect()
+    assert {(r["community"], r["sources"], r["digest"]) for r in got} == want and sum(r["sources"] for r in got) == len(s)
+    first = lambda i: min((("code" not in s[x]["domains"], s[x]["uri"]) for x in of[i]), default=(0, None))[1]
+    names = {r["id"]: r["name"] for r in kg.nodes(spark, SF).collect() if r["id"] % 10 == 1}
+    assert pairs(catalog.QUERIES["code_paths_whole"](spark, SF)) == {i: f"src/{n}" if i % 7 == 0 else first(i) for i, n in names.items()}
