@@ -365,7 +365,7 @@ def deep_consolidation(spark, sf):
     """Trust, cores and communities, then the bridges between them, over one graph."""
     n, e = kg.nodes(spark, sf), valid(spark, sf)
     seeds = n.filter("node_type = 'component'").select("id", F.lit(1.0).alias("weight"))
-    trust = graph.rank(n, e, iterations=10, seeds=seeds, weight=graph.effective("confidence"), lose_unweighted=True)
+    trust = graph.rank(n, e, iterations=50, seeds=seeds, weight=graph.effective("confidence"), lose_unweighted=True)
     groups = graph.communities(n, e, graph.cores(n, e)).select("id", "community")
     bridges = graph.bridges(valid(spark, sf), members(spark, sf)).select("id", F.col("score").alias("bridge"))
     return trust.join(groups, "id", "left").join(bridges, "id", "left").select("id", F.round("score", 9).alias("trust"), "community", F.round("bridge", 6).alias("bridge"))

@@ -74,6 +74,24 @@ def trust_rank(spark, sf):
     return graph.rank(kg.nodes(spark, sf), valid(spark, sf), iterations=4, seeds=seeds, weight=graph.effective("confidence"), lose_unweighted=True).withColumn("score", F.round("score", 9))
 
 
+#: The ranks above have as many rounds as their SQL. These have no SQL and the rounds of the reference: 20, and 50 for trust.
+@query("pagerank_whole")
+def pagerank_whole(spark, sf):
+    return graph.rank(kg.nodes(spark, sf), valid(spark, sf)).withColumn("score", F.round("score", 9))
+
+
+@query("personalised_pagerank_whole")
+def personalised_pagerank_whole(spark, sf):
+    seeds = spark.createDataFrame([(12, 1.0), (22, 1.0), (32, 1.0)], "id long, weight double")
+    return graph.rank(kg.nodes(spark, sf), valid(spark, sf), seeds=seeds).withColumn("score", F.round("score", 9))
+
+
+@query("trust_rank_whole")
+def trust_rank_whole(spark, sf):
+    seeds = spark.createDataFrame([(12, 3.0), (22, 1.0)], "id long, weight double")
+    return graph.rank(kg.nodes(spark, sf), valid(spark, sf), iterations=50, seeds=seeds, weight=graph.effective("confidence"), lose_unweighted=True).withColumn("score", F.round("score", 9))
+
+
 @query("spreading_activation", f"{WITH}, {VALID}, w AS (SELECT src, dst, max(weight) AS w FROM v GROUP BY 1, 2), h1 AS (SELECT dst AS id, 0.7 * w AS energy FROM w WHERE src = 12 AND 0.7 * w > 0.05), h2 AS (SELECT dst AS id, energy * 0.7 * w AS energy FROM h1 JOIN w ON src = id WHERE energy * 0.7 * w > 0.05), a AS (SELECT 12 AS id, 1.0 AS energy UNION ALL FROM h1 UNION ALL FROM h2) SELECT id, round(max(energy)::DOUBLE, 6) AS energy FROM a GROUP BY id")
 def spreading_activation(spark, sf):
     return graph.spreading(valid(spark, sf), spark.createDataFrame([(12, 1.0)], "id long, energy double")).select("id", F.round("energy", 6).alias("energy"))
@@ -210,13 +228,23 @@ s{k} AS (SELECT id, p0, p + 0.8 * (p0 * coalesce(f, 1) - p) AS p FROM s{k - 1} L
     return out + f" SELECT id, round(p, 8) AS p FROM s{rounds}"
 
 
-@query("epistemic_closure", _closure_sql(4))
-def epistemic_closure(spark, sf):
+def _attacked(spark, sf):
     p = kg.table(spark, sf, "part")
     n, k = p.count(), F.col("p_partkey") % 10
     kind = F.when(k == 0, "corrects").when(k == 1, "contradicts").otherwise("contends")
     a = p.select(F.col("p_partkey").alias("attacker"), ((F.col("p_partkey") * 7 + 3) % n).alias("target"), kind.alias("kind"), (F.col("p_size") / 50).alias("weight"))
-    return epistemic.closure(p.select(F.col("p_partkey").alias("id"), (0.5 + F.col("p_size") / 200).alias("p")), a, epsilon=0.0, most=4).withColumn("p", F.round("p", 8))
+    return p.select(F.col("p_partkey").alias("id"), (0.5 + F.col("p_size") / 200).alias("p")), a
+
+
+@query("epistemic_closure", _closure_sql(4))
+def epistemic_closure(spark, sf):
+    return epistemic.closure(*_attacked(spark, sf), epsilon=0.0, most=4).withColumn("p", F.round("p", 8))
+
+
+@query("epistemic_closure_whole")
+def epistemic_closure_whole(spark, sf):
+    """As epistemic_closure, whose SQL has four rounds, to the fixed point."""
+    return epistemic.closure(*_attacked(spark, sf)).withColumn("p", F.round("p", 8))
 
 
 @query("memory_eviction", "WITH s AS (SELECT p_partkey AS id, p_size / 80 AS structural, ln(1 + p_partkey % 9) - 1 AS activation, p_partkey % 5 AS acc, p_partkey % 700 AS days FROM part), k AS (SELECT *, 0.3 * structural + 0.3 * least(greatest(activation, 0), 5) / 5 + 0.25 * least(acc, 10) / 10 - 0.15 * least(days / 365, 1) AS score FROM s) SELECT id, round(score, 9) AS score, CASE WHEN structural > 0.5 OR acc >= 3 THEN 'protected' WHEN score < 0.1 THEN 'evict' ELSE 'keep' END AS decision FROM k")

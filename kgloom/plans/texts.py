@@ -227,7 +227,7 @@ def graph_dimension(spark, sf):
 
 @query("structural_dimension")
 def structural_dimension(spark, sf):
-    return retrieve.structural(kg.nodes(spark, sf), valid(spark, sf), "red widget", 4).withColumn("score", F.round("score", 9))
+    return retrieve.structural(kg.nodes(spark, sf), valid(spark, sf), "red widget").withColumn("score", F.round("score", 9))
 
 
 @query("fuzzy_names", f"WITH q AS (SELECT {TRI.format(repr('red widgit'))} AS tq), p AS (SELECT p_partkey AS id, {TRI.format('p_name')} AS tp FROM part), s AS (SELECT id, len(list_intersect(tp, tq)) / len(list_distinct(list_concat(tp, tq))) AS score FROM p, q) SELECT id, round(score, 9) AS score FROM s WHERE score >= 0.1 ORDER BY round(score, 12) DESC, id LIMIT 50")

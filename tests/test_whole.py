@@ -4,7 +4,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import pytest
-from test_graph import distances, near, pairs
+from test_graph import distances, near, pairs, rank
 
 from kgloom.plans import catalog
 from kgloom.plans.knowledge import valid
@@ -100,3 +100,36 @@ def test_articles_and_paths_of_all_sources(spark):
     first = lambda i: min((("code" not in s[x]["domains"], s[x]["uri"]) for x in of[i]), default=(0, None))[1]
     names = {r["id"]: r["name"] for r in kg.nodes(spark, SF).collect() if r["id"] % 10 == 1}
     assert pairs(catalog.QUERIES["code_paths_whole"](spark, SF)) == {i: f"src/{n}" if i % 7 == 0 else first(i) for i, n in names.items()}
+
+
+def test_ranks_of_all_rounds(spark, whole):
+    ns, es = whole
+    flat, own = dict.fromkeys(ns, 1 / len(ns)), lambda **of: {i: of.get(f"n{i}", 0.0) for i in ns}
+    run = lambda name: pairs(catalog.QUERIES[name](spark, SF))
+    plain = rank(ns, es, 0.85, 20, flat, lambda e: 1, False)
+    assert run("pagerank_whole") == pytest.approx(plain, abs=1e-8)
+    assert run("personalised_pagerank_whole") == pytest.approx(rank(ns, es, 0.85, 20, own(n12=1 / 3, n22=1 / 3, n32=1 / 3), lambda e: 1, False), abs=1e-8)
+    assert run("trust_rank_whole") == pytest.approx(rank(ns, es, 0.85, 50, own(n12=0.75, n22=0.25), lambda e: e[2], True), abs=1e-8)
+    names = {r["id"]: r["name"].lower() for r in kg.nodes(spark, SF).collect()}
+    most = max(plain.values())
+    got = run("structural_dimension")
+    assert got == pytest.approx({i: plain[i] / most * (2 if "red" in names[i] or "widget" in names[i] else 0.1) for i in got}, abs=1e-7)
+    roots = [i for i in ns if i % 10 == 5]
+    trust = {r["id"]: r["trust"] for r in catalog.QUERIES["deep_consolidation"](spark, SF).collect()}
+    assert trust == pytest.approx(rank(ns, es, 0.85, 50, own(**{f"n{i}": 1 / len(roots) for i in roots}), lambda e: e[2], True), abs=1e-8)
+
+
+def test_closure_at_the_fixed_point(spark):
+    rows = kg.table(spark, SF, "part").select("p_partkey", "p_size").collect()
+    size, n = {r[0]: r[1] for r in rows}, len(rows)
+    p0, on = {i: 0.5 + s / 200 for i, s in size.items()}, defaultdict(list)
+    for i in size:
+        on[(i * 7 + 3) % n].append(i)
+    now = p0
+    for _ in range(500):
+        left = dict.fromkeys(size, 1.0)
+        for t in left:
+            for a in on[t]:
+                left[t] *= 0.0 if a % 10 == 0 else max(0.0, 1 - now[a] * (1 if a % 10 == 1 else 0.3) * size[a] / 50)
+        now = {i: now[i] + 0.8 * (p0[i] * left[i] - now[i]) for i in now}
+    assert pairs(catalog.QUERIES["epistemic_closure_whole"](spark, SF)) == pytest.approx(now, abs=1e-5)
