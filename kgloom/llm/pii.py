@@ -3,7 +3,8 @@
 One Aho-Corasick automaton goes over each whole text and finds anchors: at-signs, plus signs, digits, schemes and
 cues of identifiers. From an anchor a local parser of its kind expands to the bounds of the span and validates it; text
 without anchors is never looked at twice. Email, ip, card and phone have the bounds that a leftmost, non-overlapping
-search by their expressions has. Added kinds: ``login`` (user:password@ in a URL), ``iban`` (after its cue, checked modulo 97)
+search by their expressions has. Added kinds: ``login`` (user:password@ in a URL), ``iban`` (after its cue, a run of words that holds
+modulo 97, as words may follow it)
 and ``account`` (6 to 17 digits after a cue, no part of another span).
 
 Defined results: a null or empty text has no spans; equal rows give equal rows; a null doc_id is carried along; other
@@ -35,7 +36,16 @@ _DIGITS = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOGIN = re.compile(r"://[^\s/?#@:]+:[^\s/?#@]+@[A-Za-z0-9][A-Za-z0-9.-]*")
-_IBAN = re.compile(r"[:\s]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?:[\x20-]?(?i:no\.?|number|nr\.?))?[:\s]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
+_IBAN_LENGTHS = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 "
+        "HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 "
+        "QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 TN24 TR26 UA29 VA22 VG24 XK20"
+    ).split()
+}
+_END = re.compile(r"(?<=[A-Z0-9])(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"(?:\x20?(?:no\.?|number|nr\.?|#))?[\x20:=#]{1,3}([0-9](?:-?[0-9]){5,16})(?![0-9])", re.IGNORECASE)
 
 
@@ -65,6 +75,15 @@ def _iban(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _iban_end(text: str, start: int, end: int) -> int | None:
+    """Where the number from ``start`` ends: a run of whole words up to ``end`` that holds modulo 97, of its country's
+    length or else the longest."""
+    size = lambda e: len(text[start:e].replace(" ", ""))
+    ends = [e for m in _END.finditer(text, start, end + 1) if (e := m.start()) <= end and size(e) >= 15 and _iban(text[start:e])]
+    own = _IBAN_LENGTHS.get(text[start : start + 2])
+    return next((e for e in ends if size(e) == own), max(ends, default=None))
+
+
 def spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end), by start, then kind as in KINDS."""
     if not text:
@@ -107,11 +126,11 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
                 start -= 1
             if start < at - 2 and (m := _LOGIN.match(text, at - 2)):
                 out.append(("login", start, m.end()))
-        elif m := (_IBAN if what == "iban" else _ACCOUNT).match(text, at + 1):
-            if what == "iban" and not _iban(m[1]):
-                continue
-            if what == "iban" or not any(s < m.end(1) and m.start(1) < e for _, s, e in out):
-                out.append((what, m.start(1), m.end(1)))
+        elif what == "iban":
+            if (m := _IBAN.match(text, at + 1)) and (end := _iban_end(text, m.start(1), m.end(1))):
+                out.append((what, m.start(1), end))
+        elif (m := _ACCOUNT.match(text, at + 1)) and not any(s < m.end(1) and m.start(1) < e for _, s, e in out):
+            out.append((what, m.start(1), m.end(1)))
     rank = KINDS.index
     return sorted(set(out), key=lambda x: (x[1], rank(x[0]), x[2]))
 

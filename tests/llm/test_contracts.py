@@ -283,3 +283,13 @@ def test_query_digests(spark):
         base = base_spans(texts[r["doc_id"]])
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
         assert [r[f"n_{k}"] for k in BASE] == [sum(x[0] == k for x in base) for k in BASE]
+
+
+def test_pii_iban_before_other_words():
+    for n in ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", "NO93 8601 1117 947"):
+        for cue in ("IBAN ", "IBAN: ", "IBAN number ", "iban no. ", "IBAN nr. ", "IBAN-Nr.: ", "Iban\n"):
+            for after in ("", " BIC COBADEFFXXX", " 2024", " A B", " Bic", ", X", "\nBIC", " 12 AB 34 CD 56 EF 78"):
+                t = f"{cue}{n}{after}"
+                assert ("iban", len(cue), len(cue) + len(n)) in pii.spans(t), t
+    assert pii.masked("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX") == "IBAN [IBAN] BIC COBADEFFXXX"
+    assert not [x for x in pii.spans("IBAN DE89 3704 0044 0532 0130 01 BIC COBADEFFXXX") if x[0] == "iban"]
