@@ -46,18 +46,19 @@ def bfs(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     return seen.filter("hops > 0")
 
 
-def shortest_path(edges: DataFrame, start: int, end: int, most: int = 6) -> DataFrame:
-    """One row with the path (array of ids), the smallest one of those of least length; none if there is none in ``most`` hops."""
-    near = neighbours(edges)
+def shortest_path(edges: DataFrame, start: int, end: int, most: int | None = None) -> DataFrame:
+    """One row with the path (array of ids), the smallest one of those of least length; none if there is none (in ``most`` hops, if given)."""
+    near = cut(neighbours(edges))
     spark = edges.sparkSession
     front = spark.range(start, start + 1).select("id", F.array("id").alias("path"))
-    seen = front.select("id")
-    for _ in range(most):
-        if start == end or not front.filter(F.col("id") == end).isEmpty():
-            break
+    before = front.select("id").limit(0)
+    k = 0
+    while start != end and (most is None or k < most) and not front.isEmpty() and front.filter(F.col("id") == end).isEmpty():
         met = front.join(near, front["id"] == near["a"]).select(F.col("b").alias("id"), F.concat("path", F.array("b")).alias("path"))
-        front = cut(met.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
-        seen = seen.unionByName(front.select("id"))
+        # Edges go both ways, so that the next nodes are no older ones than those of the last two rounds.
+        seen = before.unionByName(front.select("id"))
+        before, front = front.select("id"), cut(met.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
+        k += 1
     return front.filter(F.col("id") == end).select("path")
 
 
@@ -128,8 +129,8 @@ def spreading(edges: DataFrame, seeds: DataFrame, decay: float = 0.7, threshold:
     return best
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:
-    """id, score: shortest paths through a node over directed edges, parallel ones each; normalised by (n-1)(n-2).
+def betweenness(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """id, score: shortest paths through a node over directed edges, parallel ones each, of ``most`` hops if given; normalised by (n-1)(n-2).
 
     All sources at once, level by level: path counts forward, dependencies back. Rows are pairs that reach each other.
     """
@@ -137,18 +138,22 @@ def betweenness(nodes: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame
     e = cut(edges.filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("m")))
     front = cut(nodes.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("sigma")))
     seen, levels = front.select("s", "id"), [front]
-    for _ in range(most):
+    while most is None or len(levels) <= most:
         met = front.join(e, front["id"] == e["src"]).groupBy("s", F.col("dst").alias("id")).agg(F.sum(F.col("sigma") * F.col("m")).alias("sigma"))
         front = cut(met.join(seen, ["s", "id"], "left_anti"))
         if front.isEmpty():
             break
         levels.append(front)
         seen = seen.unionByName(front.select("s", "id"))
+        if len(levels) % EVERY == 0:
+            seen = cut(seen)
     total = deps = None
     for k in range(len(levels) - 1, 0, -1):
         lower = levels[k].withColumn("dep", F.lit(0.0)) if deps is None else levels[k].join(deps, ["s", "id"], "left").withColumn("dep", F.coalesce("dep", F.lit(0.0)))
         own = lower.filter("dep > 0").groupBy("id").agg(F.sum("dep").alias("dep"))
         total = own if total is None else total.unionByName(own)
+        if k % EVERY == 0:
+            total = cut(total.groupBy("id").agg(F.sum("dep").alias("dep")))
         down = lower.select("s", F.col("id").alias("dst"), F.col("sigma").alias("t"), "dep").join(e, "dst")
         up = down.join(levels[k - 1].withColumnRenamed("id", "src"), ["s", "src"])
         deps = cut(up.groupBy("s", F.col("src").alias("id")).agg(F.sum(F.col("sigma") * F.col("m") / F.col("t") * (1 + F.col("dep"))).alias("dep")))

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from test_graph import distances, near, pairs, rank
 
+from kgloom.operators import graph
 from kgloom.plans import catalog
 from kgloom.plans.knowledge import valid
 from kgloom.sources import kgview as kg
@@ -133,3 +134,13 @@ def test_closure_at_the_fixed_point(spark):
                 left[t] *= 0.0 if a % 10 == 0 else max(0.0, 1 - now[a] * (1 if a % 10 == 1 else 0.3) * size[a] / 50)
         now = {i: now[i] + 0.8 * (p0[i] * left[i] - now[i]) for i in now}
     assert pairs(catalog.QUERIES["epistemic_closure_whole"](spark, SF)) == pytest.approx(now, abs=1e-5)
+
+
+def test_long_paths(spark):
+    n = 24
+    nodes = spark.createDataFrame([(i,) for i in range(n + 2)], "id long")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "src long, dst long")
+    path = lambda *a: [r[0] for r in graph.shortest_path(edges, *a).collect()]
+    assert path(11, 0) == [list(range(11, -1, -1))] and not path(0, n) and not path(0, 11, 6) and path(3, 3) == [[3]]
+    got = pairs(graph.betweenness(nodes, edges))
+    assert got == pytest.approx({i: i * (n - 1 - i) / ((n + 1) * n) if i < n else 0 for i in range(n + 2)})
