@@ -9,6 +9,10 @@ their sets of word bigrams, and the best template of ``LEAST`` or more is its li
 
 Few units pass both, and only these are compared with the templates whose size bounds they meet.
 
+Runs of adjacent lines (blank ones apart) are units too, as notices are wrapped. A run counts where it is nearer to its template than
+any of its lines is to one; of runs that share lines the nearest counts. Its hit has the first and ``last`` line. Runs are looked at
+only in texts that hold t/(2-t) of some template's bigrams, which each run within t must.
+
 Defined results: a null or empty text has no licences; ties go to the first template by name; repeated rows are scanned each
 for itself; a null doc_id is carried along; other columns are ignored; an empty table gives no rows.
 """
@@ -58,7 +62,7 @@ def bigrams_of(text: str) -> list[str]:
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
-    """doc_id, hits (array of line, license, dice; line 0: the whole text), in order of lines."""
+    """doc_id, hits (array of line, last, license, dice; line 0: the whole text; line < last: a run of lines), in order of lines."""
     known = {k: bigrams_of(v) for k, v in sorted((templates or TEMPLATES).items())}
     share = least / (2 - least)
     low, high = min(map(len, known.values())) * share, max(map(len, known.values())) / share
@@ -75,16 +79,16 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
         ]
         return F.array_min(F.filter(F.array(*scored), lambda x: x.isNotNull()))
 
-    def of_words(words: Column) -> Column:
-        pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda x, y: F.concat(x, F.lit(" "), y))
-        known_of = lambda a: F.filter(a, lambda x: x.isin(*every))
+    def pairs_of(words: Column) -> Column:
+        return F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda x, y: F.concat(x, F.lit(" "), y))
 
-        def compared(pairs: Column) -> Column:
-            shared = F.size(known_of(pairs)) > 0
-            of_set = lambda a: F.when(F.size(a).between(int(low), int(high) + 1) & (F.size(known_of(a)) >= share * F.size(a) - 1e-9), best(a))
-            return F.when(shared, let(F.array_distinct(pairs), of_set))
+    known_of = lambda a: F.filter(a, lambda x: x.isin(*every))
 
-        return F.when(F.size(words) >= 2, let(pairs, compared))
+    def of_set(a: Column) -> Column:
+        return F.when(F.size(a).between(int(low), int(high) + 1) & (F.size(known_of(a)) >= share * F.size(a) - 1e-9), best(a))
+
+    def of_words(words: Column) -> Column:
+        return F.when(F.size(words) >= 2, let(pairs_of(words), lambda pairs: F.when(F.size(known_of(pairs)) > 0, let(F.array_distinct(pairs), of_set))))
 
     def of_unit(unit: Column) -> Column:
         words = F.array_remove(F.split(unit, " ", -1), "")
@@ -97,13 +101,64 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     whole = F.when(F.instr(plain, "\n") > 0, F.array(F.struct(F.lit(0).alias("line"), F.replace(plain, F.lit("\n"), F.lit(" ")).alias("unit")))).otherwise(F.expr("cast(array() as array<struct<line:int,unit:string>>)"))
     units = F.concat(whole, lines)
     scored = F.transform(units, lambda u: F.struct(u["line"].alias("line"), of_unit(u["unit"]).alias("best")))
-    hits = F.transform(F.filter(scored, lambda x: F.coalesce(-x["best"]["minus"] >= least - 1e-9, F.lit(False))), lambda x: F.struct(x["line"].alias("line"), x["best"]["license"].alias("license"), F.round(-x["best"]["minus"], 6).alias("dice")))
-    return docs.select("doc_id", hits.alias("hits"))
+    hits = F.transform(
+        F.filter(scored, lambda x: F.coalesce(-x["best"]["minus"] >= least - 1e-9, F.lit(False))),
+        lambda x: F.struct(x["line"].alias("line"), x["line"].alias("last"), x["best"]["license"].alias("license"), F.round(-x["best"]["minus"], 6).alias("dice")),
+    )
+    found = "array<struct<minus:double,lines:int,line:int,last:int,license:string>>"
+
+    def runs_from(rows: Column, k: Column) -> Column:
+        """The runs from the ``k``-th row on that are near a template. A run only gains bigrams, so that it ends at the size bound."""
+
+        def longer(state: Column, row: Column) -> Column:
+            words = F.when(state["prev"].isNull(), row["words"]).otherwise(F.concat(F.array(state["prev"]), row["words"]))
+
+            def taken(a: Column) -> Column:
+                near = F.when(~state["prev"].isNull(), of_set(a))
+                more = let(near, lambda b: F.when(F.coalesce(-b["minus"] >= least - 1e-9, F.lit(False)), F.array(F.struct(b["minus"].alias("minus"), (state["lines"] + 1).alias("lines"), state["line"].alias("line"), row["line"].alias("last"), b["license"].alias("license")))).otherwise(F.expr(f"cast(array() as {found})")))
+                return F.struct(F.element_at(row["words"], -1).alias("prev"), a.alias("set"), (state["lines"] + 1).alias("lines"), F.coalesce(state["line"], row["line"]).alias("line"), F.concat(state["found"], more).cast(found).alias("found"))
+
+            return F.when(F.size(state["set"]) > int(high) + 1, state).otherwise(let(F.array_union(state["set"], pairs_of(words)), taken))
+
+        first = F.expr(f"cast(struct(null, array(), 0, null, array()) as struct<prev:string,set:array<string>,lines:int,line:int,found:{found}>)")
+        return F.aggregate(F.slice(rows, k, F.size(rows)), first, longer, lambda state: state["found"])
+
+    def apart(runs: Column) -> Column:
+        """The nearest runs (of equals the shortest, then the first) that share no line."""
+        pick = lambda kept, x: F.when(F.exists(kept, lambda y: (y["line"] <= x["last"]) & (x["line"] <= y["last"])), kept).otherwise(F.concat(kept, F.array(x)).cast(found))
+        return F.aggregate(F.array_sort(runs), F.expr(f"cast(array() as {found})"), pick)
+
+    def runs_of(rows: Column, hits: Column, n: Column) -> Column:
+        # Without a first row that has no known bigram a run is nearer to its template, so that none begins there.
+        after = lambda k: F.when(k < F.size(rows), F.slice(F.element_at(rows, k + 1)["words"], 1, 1)).otherwise(F.expr("cast(array() as array<string>)"))
+        starts = F.filter(F.sequence(F.lit(1), F.size(rows) - 1), lambda k: F.exists(pairs_of(F.concat(F.element_at(rows, k)["words"], after(k))), lambda x: x.isin(*every)))
+        runs = F.flatten(F.transform(starts, lambda k: runs_from(rows, k)))
+        beaten = lambda x: F.exists(hits, lambda h: h["line"].between(x["line"], x["last"]) & (h["dice"] >= F.round(-x["minus"], 6)))
+        whole = lambda x: x["lines"] == n
+        left = F.filter(runs, lambda x: ~beaten(x) & ~whole(x))
+        return F.transform(apart(left), lambda x: F.struct(x["line"].alias("line"), x["last"].alias("last"), x["license"].alias("license"), F.round(-x["minus"], 6).alias("dice")))
+
+    def held(rows: Column) -> Column:
+        """Whether all rows together hold as much of some template as a run must."""
+        enough = lambda a: F.exists(F.array(*(F.size(F.array_intersect(a, F.lit(b))) >= share * len(b) - 1e-9 for b in known.values())), lambda x: x)
+        of_known = lambda a: F.when(F.size(a) >= share * min(map(len, known.values())) - 1e-9, enough(a)).otherwise(False)
+        return let(F.flatten(F.transform(rows, lambda x: x["words"])), lambda w: F.when(F.size(w) >= 2, let(known_of(pairs_of(w)), of_known)).otherwise(False))
+
+    def with_runs(hits: Column) -> Column:
+        words = lambda x: F.array_remove(F.split(x, " ", -1), "")
+        rows = F.filter(F.transform(F.split(plain, "\n", -1), lambda x, k: F.struct((k + 1).alias("line"), words(x).alias("words"))), lambda x: F.size(x["words"]) > 0)
+        # No run is nearer than a line that is a whole template, so that none holds such a line.
+        free = lambda rows: F.filter(rows, lambda x: ~F.exists(hits, lambda h: (h["line"] == x["line"]) & (h["dice"] >= 1)))
+        of_free = lambda rows, n: F.when((F.size(rows) >= 2) & held(rows), F.array_sort(F.concat(hits, runs_of(rows, hits, n)))).otherwise(hits)
+        of_rows = lambda rows: F.when(F.size(rows) >= 3, let(free(rows), lambda x: of_free(x, F.size(rows)))).otherwise(hits)
+        return F.when(F.instr(plain, "\n") > 0, let(rows, of_rows)).otherwise(hits)
+
+    return docs.select("doc_id", let(hits, with_runs).alias("hits"))
 
 
 def op8_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = scan(table(spark, sf_dir, "documents"))
-    lines = F.array_join(F.transform("hits", lambda x: F.concat_ws(":", x["line"], x["license"], F.format_number(x["dice"], 4))), ",")
+    lines = F.array_join(F.transform("hits", lambda x: F.concat_ws(":", F.when(x["line"] < x["last"], F.concat_ws("-", x["line"], x["last"])).otherwise(x["line"].cast("string")), x["license"], F.format_number(x["dice"], 4))), ",")
     names = F.array_join(F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["license"]))), ",")
     return hits.select("doc_id", F.size("hits").cast("long").alias("n_hits"), names.alias("licenses"), lines.alias("hits"))
 

@@ -269,3 +269,23 @@ def test_licenses(spark, rows):
     if rows:
         by = {r[0]: [h["license"] for h in r[1]] for r in out}
         assert by[100] == ["MIT notice"] and by[101] == ["Apache-2.0", "proprietary"] and by[102] == ["Apache-2.0"]
+
+
+def test_wrapped_license_in_a_longer_text(spark):
+    import textwrap
+
+    some = "The quick brown fox of the north jumps over the lazy dog.\nIt is used to go to the river.\n\n"
+    rows, want = [], {}
+    for i, (name, t) in enumerate(sorted(licenses.TEMPLATES.items())):
+        wrapped = textwrap.wrap(t, 30)
+        if len(wrapped) > 1:
+            rows.append((i, some + "\n".join(f"# {x}" for x in wrapped) + "\n\n" + "\n".join(f"Row {k} of the list has {k * k} things." for k in range(90))))
+            want[i] = [(4, 3 + len(wrapped), name, 1.0)]
+    two = "\n".join(textwrap.wrap(licenses.TEMPLATES["GPL-3.0 notice"], 60))
+    rows.append((100, f"{some}{two}\n\n{some}{two}\n{some}"))
+    n = two.count("\n")
+    want[100] = [(4, 4 + n, "GPL-3.0 notice", 1.0), (9 + n, 9 + 2 * n, "GPL-3.0 notice", 1.0)]
+    rows += [(101, some * 3), (102, some + "no licence at all")]
+    want |= {101: [], 102: []}
+    out = licenses.scan(frame(spark, rows)).collect()
+    assert {r[0]: [(h["line"], h["last"], h["license"], h["dice"]) for h in r[1]] for r in out} == want
