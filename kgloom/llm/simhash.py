@@ -9,9 +9,10 @@ verified by their differing bits. Of the links in a list only a spanning forest
 components, and at most as many rows as the list has.
 
 Exact copies meet in a pre-aggregation on the fingerprint, so that the index holds distinct fingerprints only. A list
-of more than ``MOST_LISTED`` fingerprints isn't compared in one task: each of its members is dealt to the 2,081 points
-within 2 bits, and those that meet at a point are linked; two fingerprints are within 4 bits exactly if they meet at
-one. That is linear in the list and has no hot point, as at most 2,081 fingerprints lie within 2 bits of any.
+of more than ``MOST_LISTED`` fingerprints is split: two of its members that link share, of the other five bytes, at least
+one, so that each is listed anew under the triple and each of these (five rows, lists 256 times shorter). A list that is
+still too long is split in the same way by five blocks of the bits not yet fixed. It ends, as a list of distinct
+fingerprints with m free bits has 2^m members at most; no link is lost.
 
 Components come from alternating star contraction over checkpointed links; nothing is collected to the driver but
 counts.
@@ -24,17 +25,20 @@ no linked row has an id; other columns are ignored; an empty table gives no rows
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, on_batches, table
 
-SHINGLE, MOST_BITS, LEAST_SHARED, MOST_LISTED, SALTS = 4, 4, 4, 4096, 16
+SHINGLE, MOST_BITS, LEAST_SHARED, MOST_LISTED = 4, 4, 4, 4096
+#: A key of more rows than this, and than a thousandth of all, is looked up by a broadcast of such keys: at most 1,000.
+HOT = 1 << 20
 #: Shingles hashed at once, which bounds the memory that a very long text takes.
 BLOCK = 1 << 16
 
@@ -66,15 +70,16 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, fp (the fingerprint's 64 bits as a signed long), and long columns that are ``carried`` along."""
+    names = ("doc_id", "fp", *carried)
 
     def make(cols: list[list]) -> list[list]:
-        ids, texts = cols
-        return [ids, np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)]
+        ids, texts, *rest = cols
+        return [ids, np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64), *rest]
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return on_batches(rows, make, "doc_id long, fp long", pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())]))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried)
+    return on_batches(rows, make, ", ".join(f"{n} long" for n in names), pa.schema([(n, pa.int64()) for n in names]))
 
 
 def _shared(x: np.ndarray) -> np.ndarray:
@@ -104,13 +109,15 @@ def forest(fps: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _list_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp) by key -> links (u, v). A list may go on in the next batch."""
+    """Rows (mask, value, fp), sorted -> links (u, v). A list may go on in the next batch."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    held_k, held_f = np.empty(0, np.int64), np.empty(0, np.uint64)
+    held = np.empty((3, 0), np.int64)
 
-    def links(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, int)
-        sizes = np.diff(np.r_[starts, len(keys)])
+    def links(rows: np.ndarray) -> pa.RecordBatch:
+        fps = rows[2].view(np.uint64)
+        new = (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)
+        starts = np.flatnonzero(np.r_[True, new]) if len(fps) else np.empty(0, int)
+        sizes = np.diff(np.r_[starts, len(fps)])
         u, v = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
         at = starts[sizes == 2]  # nearly all lists with a pair; all at once
         got = at[_linked(fps[at] ^ fps[at + 1])]
@@ -127,53 +134,64 @@ def _list_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        keys = np.r_[held_k, b.column(0).to_numpy(zero_copy_only=False)]
-        fps = np.r_[held_f, b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)]
-        last = np.searchsorted(keys, keys[-1], "left")
-        held_k, held_f = keys[last:], fps[last:]
-        yield links(keys[:last], fps[:last])
-    yield links(held_k, held_f)
+        rows = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns])], axis=1)
+        last = np.flatnonzero((rows[:2] == rows[:2, -1:]).all(axis=0))[0]
+        held = rows[:, last:]
+        yield links(rows[:, :last])
+    yield links(held)
 
 
-MASKS = [0, *(1 << a for a in range(64)), *((1 << a) | (1 << b) for a, b in combinations(range(64), 2))]
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def _balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    masks = np.array(MASKS, np.uint64)
-    schema = pa.schema([("point", pa.int64()), ("fp", pa.int64())])
-    for b in batches:
-        fps = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        for k in range(0, len(fps), 64):
-            f = fps[k : k + 64]
-            points = (f[:, None] ^ masks[None, :]).reshape(-1)
-            yield pa.RecordBatch.from_arrays([pa.array(points.view(np.int64)), pa.array(np.repeat(f, len(masks)).view(np.int64))], schema=schema)
+def _mask(positions: tuple[int, ...]) -> int:
+    """The bits of some positional bytes; the first byte is the highest."""
+    return sum(255 << (56 - 8 * p) for p in positions)
 
 
-def ball_links(fps: DataFrame) -> DataFrame:
-    """Links (u, v), u > v, that connect the distinct ``fps`` as all their links would, with no comparison of pairs."""
-    by_point = fps.mapInArrow(_balls, "point long, fp long")
-    # A window over a point holds 2,081 rows at most: the fingerprints within 2 bits of it.
-    before = F.expr("lag(fp) OVER (PARTITION BY point ORDER BY fp)")
-    return by_point.select(F.col("fp").alias("u"), before.alias("v")).filter("v IS NOT NULL").distinct()
+@cache
+def splits(mask: int) -> tuple[int, ...]:
+    """``mask`` with each of five blocks of the bits it leaves free: fingerprints within four bits share one. Whole bytes first."""
+    free = [1 << k for k in range(64) if not mask >> k & 1]
+    cuts = [len(free) * k // (MOST_BITS + 1) for k in range(MOST_BITS + 2)]
+    return tuple(mask | sum(free[a:b]) for a, b in zip(cuts, cuts[1:], strict=False))
 
 
 def index(fps: DataFrame) -> DataFrame:
-    """(key, fp): the inverted index, 20 rows for each distinct fingerprint."""
-    byte = lambda p: f"(shiftrightunsigned(fp, {56 - 8 * p}) & 255L)"
-    keys = [f"{n << 24}L | shiftleft({byte(a)}, 16) | shiftleft({byte(b)}, 8) | {byte(c)}" for n, (a, b, c) in enumerate(TRIPLES)]
-    return fps.select(F.explode(F.array(*(F.expr(k) for k in keys))).alias("key"), "fp")
+    """(mask, value, fp): the inverted index, 20 rows for each distinct fingerprint. A list: the fingerprints with one value under one mask."""
+    masks = F.explode(F.array(*(F.lit(_signed(_mask(t))) for t in TRIPLES)))
+    return fps.select(masks.alias("mask"), "fp").select("mask", F.expr("mask & fp").alias("value"), "fp")
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("mask", pa.int64()), ("value", pa.int64()), ("fp", pa.int64())])
+    for b in batches:
+        masks, fps = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+        for m in np.unique(masks):
+            f = fps[masks == m]
+            for to in splits(int(m) % (1 << 64)):
+                to = np.int64(_signed(to))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), to)), pa.array(f & to), pa.array(f)], schema=schema)
 
 
 def links(fps: DataFrame, most_listed: int = MOST_LISTED) -> DataFrame:
     """Links (u, v), u > v, with the components that all pairs of the distinct ``fps`` within MOST_BITS have."""
-    rows = index(fps)
-    hot = cut(rows.groupBy("key").count().filter(F.col("count") > most_listed).select("key"))
-    over = None
-    if not hot.isEmpty():
-        over = ball_links(rows.join(hot, "key", "left_semi").select("fp").distinct())
-        rows = rows.join(hot, "key", "left_anti")
-    found = rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_list_links, "u long, v long")
-    return (found if over is None else found.unionByName(over)).distinct()
+    rows, found, free = index(fps), None, 64 - 8 * 3
+    while True:
+        hot = None
+        if 2 ** min(free, 62) > most_listed and free > MOST_BITS:
+            hot = cut(rows.groupBy("mask", "value").count().filter(F.col("count") > most_listed).select("mask", "value"))
+        more = hot is not None and not hot.isEmpty()
+        short = rows.join(hot, ["mask", "value"], "left_anti").select(*rows.columns) if more else rows
+        part = short.repartition("mask", "value").sortWithinPartitions("mask", "value", "fp").mapInArrow(_list_links, "u long, v long")
+        found = part if found is None else found.unionByName(part)
+        if not more:
+            return found.distinct()
+        # Different triples lead to the same bytes, so that a row may come more than once.
+        long = rows.join(hot, ["mask", "value"], "left_semi").select(*rows.columns)
+        rows = cut(long.mapInArrow(_split, "mask long, value long, fp long").distinct())
+        free -= free // (MOST_BITS + 1)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -195,31 +213,54 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, most_listed: int = MOST_LISTED) -> DataFrame:
+def looked_up(rows: DataFrame, found: DataFrame, key: str, hot: int = HOT) -> DataFrame:
+    """``rows`` with the other columns of ``found``, which has each ``key`` once, with the count ``n`` of its rows.
+
+    Rows of keys with more than ``hot`` rows (and a thousandth of all) aren't brought together: these keys, at most
+    1,000, are broadcast.
+    """
+    total, most = found.agg(F.sum("n"), F.max("n")).first()
+    limit = max(hot, (total or 0) // 1000)
+    if (most or 0) <= limit:
+        return rows.join(found.drop("n"), key)
+    few = F.broadcast(found.filter(F.col("n") > limit).drop("n"))
+    rest = rows.join(F.broadcast(found.filter(F.col("n") > limit).select(key)), key, "left_anti")
+    return rows.join(few, key).unionByName(rest.join(found.filter(F.col("n") <= limit).drop("n"), key))
+
+
+def _grouped(prints: DataFrame, least: Column, most_listed: int, hot: int) -> DataFrame:
+    """fp, n, root, least: each distinct fingerprint with its rows' count, its component and the component's ``least``."""
+    distinct = cut(prints.groupBy("fp").agg(F.min(least).alias("least"), F.count("*").alias("n")))
+    roots = components(links(distinct.select("fp"), most_listed))
+    rooted = cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.col("n").alias("rows"), F.coalesce("root", "fp").alias("root")))
+    best = cut(rooted.groupBy("root").agg(F.min("least").alias("least"), F.count("*").alias("n")))
+    return looked_up(rooted.drop("least"), best, "root", hot).withColumnRenamed("rows", "n")
+
+
+def near_duplicates(docs: DataFrame, most_listed: int = MOST_LISTED, hot: int = HOT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: one row for each row of ``docs``."""
     prints = cut(fingerprints(docs))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct.select("fp"), most_listed))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    linked = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    # A component may hold very many fingerprints, so that its root is dealt to SALTS tasks.
-    salted = linked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    of_fp = rooted.withColumn("salt", F.pmod(F.hash("fp"), F.lit(SALTS))).join(salted, ["root", "salt"], "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_fp = cut(_grouped(prints, F.col("doc_id"), most_listed, hot).select("fp", "n", F.col("least").alias("component_id")))
+    return looked_up(prints, of_fp, "fp", hot).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the row with the smallest doc_id stays.
+def one_of_each(docs: DataFrame, most_listed: int = MOST_LISTED) -> DataFrame:
+    """``docs`` without near-duplicates: of each component one row stays, whatever its id.
 
-    Rows without doc_id can't be named as copies and stay. If rows repeat a kept doc_id, one of them stays.
+    It is the one with the smallest doc_id, rows without one last, and of these the one with the smallest checksum (of all
+    columns, 128 bits); so the choice doesn't hang on the order of rows. Of rows equal in all columns one stays.
     """
-    kept = cut(near_duplicates(docs).filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n")))
-    out = docs.join(kept.select("_kept"), docs["doc_id"] == F.col("_kept"), "left_semi")
-    if not kept.filter("_n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    if docs.filter("doc_id IS NULL").isEmpty():
-        return out
-    return out.unionByName(docs.filter("doc_id IS NULL"))
+    names = docs.columns
+    row = F.to_json(F.struct(*(F.col(f"`{c}`") for c in names if c != "text")))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.xxhash64("text", row).alias("_a"), F.xxhash64(F.lit("b"), row, "text").alias("_b"))
+    prints = cut(fingerprints(keyed.select("_row.doc_id", "_row.text", "_a", "_b"), "_a", "_b"))
+    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_a", "_b")
+    best = _grouped(prints, least, most_listed, HOT).groupBy("root").agg(F.min("least").alias("least"))
+    kept = cut(best.select(F.col("least._a").alias("_a"), F.col("least._b").alias("_b")))
+    again = prints.join(kept, ["_a", "_b"]).groupBy("_a", "_b").agg(F.count("*").alias("n")).filter("n > 1")
+    if not again.isEmpty():  # equal rows: each task keeps one of its own before they meet
+        keyed = keyed.dropDuplicates(["_a", "_b"])
+    return keyed.join(kept, ["_a", "_b"], "left_semi").select(*(F.col("_row").getField(c).alias(c) for c in names))
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
