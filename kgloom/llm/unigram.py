@@ -2,10 +2,15 @@
 
 The automaton holds the pieces of the vocabulary. It goes over the text once; at each position the output links give
 the pieces that end there, and each relaxes the best score of that position (ties: the longest piece). A character in no
-piece is spelled by its bytes. Scores are the vocabulary's, so that the encoding is the one of largest total score.
+piece is spelled by its bytes. The encoding is the one of largest total score.
+
+Scores: those of the vocabulary if it is a unigram model. A BPE model has merge ranks (0, -1, -2 ...) in their place, which
+say nothing of probabilities; there a piece scores as Zipf's law has it for its rank, ``-log(rank + ZIPF)``, characters as
+the vocabulary's last. Nothing is fitted. Such encodings are no BPE: they are near the library's for the model in length
+(README has the figure) but not the same ids.
 
 No piece has a word mark after another character, and none a line feed, so that every encoding is cut there; parts
-between such places are solved once and kept in a memo of bounded size. Both facts are checked when the vocabulary
+between such places are solved once and, up to ``KEPT_CHARS`` characters, kept in a memo of bounded size. Both facts are checked when the vocabulary
 is read; where one doesn't hold, texts aren't cut at that place.
 
 Defined results: a null or empty text has no ids; equal texts give equal ids; a null doc_id is carried along; other
@@ -16,6 +21,7 @@ marks blanks and comes back as one; ``exact`` says whether it did.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from array import array
@@ -26,11 +32,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, table
-from .packing import vocabulary
+from .packing import KEPT_CHARS, vocabulary
 
 MARK = "▁"
 #: How much worse than the worst piece an unknown character scores.
 PENALTY = 10.0
+#: Zipf-Mandelbrot offset: ranks below it differ little.
+ZIPF = 100
+
+
+def log_probabilities(scores: list[float]) -> list[float]:
+    """The scores of pieces, by id, as log-probabilities. Merge ranks are whole numbers; a far greater one stands for the last."""
+    if any(s != int(s) for s in scores):
+        return scores
+    last = max((-s for s in scores if -s < len(scores)), default=0)
+    return [-math.log(ZIPF + min(-s, last)) for s in scores]
 
 
 class Pieces:
@@ -43,6 +59,7 @@ class Pieces:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.most, self.memo, self.elder = most, {}, {}
         self.auto, self.singles, self.bytes, self.text = ahocorasick.Automaton(), set(), [0] * 256, []
+        self.scores = log_probabilities([sp.get_score(i) for i in range(sp.get_piece_size())])
         least, inner, lines = 0.0, False, False
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
@@ -53,10 +70,10 @@ class Pieces:
                 self.text.append(b"")
             else:
                 self.text.append(piece.replace(MARK, " ").encode())
-                least = min(least, sp.get_score(i))
+                least = min(least, self.scores[i])
                 inner |= MARK in piece.lstrip(MARK)
                 lines |= "\n" in piece
-                self.auto.add_word(piece, (i, len(piece), sp.get_score(i)))
+                self.auto.add_word(piece, (i, len(piece), self.scores[i]))
                 if len(piece) == 1:
                     self.singles.add(piece)
         self.auto.make_automaton()
@@ -104,12 +121,16 @@ class Pieces:
         if not text:
             return b""
         parts = self.parts.findall(MARK + text.replace(" ", MARK))
-        if new := set(parts).difference(self.memo):
+        new = set(parts).difference(self.memo)
+        if new:
             if len(self.memo) + len(new) > self.most:
                 self.memo, self.elder = {}, self.memo
                 new = set(parts)
             self.memo |= {part: self.elder.get(part) or self.solve(part) for part in new}
-        return b"".join(map(self.memo.__getitem__, parts))
+        out = b"".join(map(self.memo.__getitem__, parts))
+        for part in [part for part in new if len(part) > KEPT_CHARS]:
+            del self.memo[part]
+        return out
 
     def decode(self, ids: bytes) -> str:
         whole = b"".join(map(self.text.__getitem__, array("I", ids)))

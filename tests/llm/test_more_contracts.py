@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -53,8 +54,8 @@ def test_transport_finds_damage():
     assert "length" in transport.demux(good[:-1]).errors
 
 
-def as_unigram(data: bytes) -> bytes:
-    """The model with its type set to unigram, in which the library encodes by a Viterbi of its own."""
+def as_unigram(data: bytes, scores: list[float]) -> bytes:
+    """The model with its type set to unigram, in which the library encodes by a Viterbi of its own, and with other scores."""
 
     def varint(at):
         n = shift = 0
@@ -64,17 +65,19 @@ def as_unigram(data: bytes) -> bytes:
             if data[at - 1] < 128:
                 return n, at
 
-    at, out = 0, bytearray(data)
+    at, out, k = 0, bytearray(data), 0
     while at < len(data):
         tag, at = varint(at)
         n, at = varint(at)
-        if tag == 2 << 3 | 2:
-            end = at + n
+        end = at + n
+        if tag in (1 << 3 | 2, 2 << 3 | 2):
             while at < end:
                 inner, at = varint(at)
-                if inner == 3 << 3:
+                if tag == 2 << 3 | 2 and inner == 3 << 3:
                     assert data[at] == 2
                     out[at] = 1
+                if tag == 1 << 3 | 2 and inner == 2 << 3 | 5:
+                    out[at : at + 4] = struct.pack("<f", scores[k])
                 if inner & 7 == 0:
                     _, at = varint(at)
                 elif inner & 7 == 2:
@@ -82,8 +85,9 @@ def as_unigram(data: bytes) -> bytes:
                     at += n
                 else:
                     at += 4 if inner & 7 == 5 else 8
-        else:
-            at += n
+            k += tag == 1 << 3 | 2
+        at = end
+    assert k == len(scores)
     return bytes(out)
 
 
@@ -92,17 +96,34 @@ def test_unigram_beside_the_library():
     import sentencepiece
 
     path = vocabulary("piece_bpe_32k.model")
-    sp = sentencepiece.SentencePieceProcessor(model_proto=as_unigram(open(path, "rb").read()))
     pieces = unigram.Pieces(path, most=300)
+    sp = sentencepiece.SentencePieceProcessor(model_proto=as_unigram(open(path, "rb").read(), pieces.scores))
     words = {w for (t,) in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet'").fetchall() for w in t.split()}
-    score, same = lambda x: sum(map(sp.get_score, x)), 0
+    score, same = lambda x: sum(pieces.scores[i] for i in x), 0
     for w in words:
         ids, theirs = np.frombuffer(pieces.encode(w), "<u4").tolist(), sp.encode(w)
-        assert ids == theirs or score(ids) >= score(theirs), w
+        assert ids == theirs or score(ids) >= score(theirs) - 1e-3, w
         same += ids == theirs
     assert same > 0.99 * len(words)
 
 
+def test_unigram_scores():
+    assert unigram.log_probabilities([0.0, -1.5, -2.25]) == [0.0, -1.5, -2.25]
+    got = unigram.log_probabilities([0.0, -1e9, -1.0, -2.0, -3.0])
+    assert got[2] > got[3] > got[4] == got[1]
+
+
+def test_unigram_is_near_the_library_in_length():
+    """The figure of the README: tokens beside the library's own encoding of the model, which is BPE."""
+    import sentencepiece
+
+    path = vocabulary("piece_bpe_32k.model")
+    sp, pieces = sentencepiece.SentencePieceProcessor(model_file=path), unigram.Pieces(path)
+    texts = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id LIMIT 200").fetchall()]
+    assert abs(sum(len(pieces.encode(t)) // 4 for t in texts) / sum(len(sp.encode(t)) for t in texts) - 1) < 0.02
+    assert max(map(len, pieces.memo)) <= 64
+
+
 def test_unigram_gives_texts_back():
     pieces, rng = unigram.Pieces(vocabulary("piece_bpe_32k.model"), most=300), random.Random(4)
     for _ in range(2_000):
@@ -206,7 +227,7 @@ def test_ring_moves_little(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     a, b = (ring.place(docs, n).select("doc_id", F.col("shard").alias(f"s{n}")) for n in (16, 17))
     moved = a.join(b, "doc_id").filter("s16 <> s17").count() / 20_000
-    assert moved < 0.35, moved  # dealing anew by remainder would move 94 %
+    assert moved < 0.12, moved  # 5.9 % is the least possible; dealing anew by remainder would move 94 %
 
 
 TURNS = [
