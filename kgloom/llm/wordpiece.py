@@ -5,7 +5,7 @@ quadratic; instead each node of the trie has a failure link to the node of what
 popped, and the count of those pieces. So a word's length in pieces comes from one pass, and no piece is ever built.
 
 A word is a run of other than white space, with the vocabulary's word mark before it. A character that no piece has is
-spelled by its bytes, each a token.
+spelled by its bytes, each a token. Counts of words of up to ``KEPT_CHARS`` characters are kept in a memo of bounded size.
 
 Defined results: a null or empty text has no words and no tokens; equal texts have equal counts; a null doc_id is
 carried along; other columns are ignored; an empty table gives no rows.
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import on_batches, table
-from .packing import vocabulary
+from .packing import KEPT_CHARS, vocabulary
 
 MARK = "▁"
 
@@ -104,9 +104,11 @@ class LongestMatch:
     def of_word(self, word: str) -> int:
         got = self.memo.get(word)
         if got is None:
-            if len(self.memo) >= self.most:
-                self.memo.clear()
-            got = self.memo[word] = self.count(self.mark + word)
+            got = self.count(self.mark + word)
+            if len(word) <= KEPT_CHARS:
+                if len(self.memo) >= self.most:
+                    self.memo.clear()
+                self.memo[word] = got
         return got
 
 
