@@ -1,9 +1,11 @@
 """Operator 7: best-two-fit packing of tokenised documents into sequences of ``LENGTH`` tokens.
 
 ``pieces`` tokenises (one Arrow pass; whole texts) and cuts documents of more than LENGTH tokens. ``place`` deals the
-pieces evenly to groups of about ``GROUP_TOKENS`` tokens and packs each group by best-two-fit, so that no task holds
-more than a bounded number of rows, whatever documents look like; a group leaves at most about one sequence
-unfilled, 0.1 % of it. Only the pieces' figures are shuffled. The number of groups follows the token total.
+pieces evenly to groups of about ``GROUP_TOKENS`` tokens or ``GROUP_ROWS`` rows, whichever makes more groups, and packs each
+by best-two-fit, so that no task holds more than a bounded number of rows, whatever documents look like. A group leaves a
+sequence or so unfilled; the pieces of the unfilled sequences of all groups are dealt and packed anew, as long as they are
+few enough for fewer groups, so that the whole table has about as many unfilled sequences as one group has. Only the
+pieces' figures are shuffled. The number of groups follows the totals.
 
 Defined results: a null or empty text is the end token alone; equal rows are packed each for itself; a null doc_id is
 carried along; other columns are ignored; an empty table gives no rows.
@@ -27,6 +29,10 @@ from pyspark.sql import types as T
 from .common import cut, slices, table
 
 LENGTH, END, GROUP_TOKENS, GROUP_ROWS = 4096, 1, 4 << 20, 50_000
+#: A sequence with fewer tokens is unfilled: its pieces are packed anew beside those of other groups.
+FILLED = LENGTH - LENGTH // 64
+#: Characters of a word that the memo keeps; longer ones are rare and would take much memory.
+KEPT_CHARS = 64
 
 
 def vocabulary(name: str) -> str:
@@ -47,7 +53,8 @@ class WordTokenizer:
     Such a vocabulary never merges over the bounds of words, so the ids of a text are those of its words. Texts of
     Latin letters are taken apart here and only unknown words go to ``tokenizers``; any other text goes there whole.
     At ``most`` words the memo becomes the elder one, from which words that come again are taken over; so it forgets
-    rare words, its memory is bounded, and no result changes.
+    rare words; words of more than ``KEPT_CHARS`` characters are forgotten at once. So its memory is bounded in bytes, and no
+    result changes.
     """
 
     held: dict[str, WordTokenizer] = {}
@@ -91,6 +98,8 @@ class WordTokenizer:
         get, out = self.memo.__getitem__, []
         for t, ws in zip(texts, split, strict=True):
             out.append(np.array(self.of.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if ws is None else b"".join(map(get, ws)))
+        for w in [w for w in new if len(w) > KEPT_CHARS]:
+            del self.memo[w]
         return out
 
 
@@ -180,11 +189,14 @@ def best_two_fit(lengths: list[int], room: int = LENGTH) -> list[list[int]]:
     return bins
 
 
-def place(rows: DataFrame) -> DataFrame:
-    """The pieces with sequence_id and offset. ``rows`` must be stored (``cut`` or a table), as groups go by position."""
-    total = rows.agg(F.sum("length"), F.count("*")).first()
-    groups = max(1, (total[0] or 0) // GROUP_TOKENS, total[1] // GROUP_ROWS)
-    kinds = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+def _groups(rows: DataFrame) -> int:
+    tokens, n = rows.agg(F.sum("length"), F.count("*")).first()
+    return max(1, (tokens or 0) // GROUP_TOKENS, n // GROUP_ROWS)
+
+
+def _packed(rows: DataFrame, groups: int, turn: int) -> DataFrame:
+    """``rows`` with sequence_id, offset and filled (tokens of the sequence)."""
+    kinds = T.StructType([*rows.schema.fields, *(T.StructField(c, T.LongType()) for c in ("sequence_id", "offset", "_filled"))])
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
@@ -192,20 +204,41 @@ def place(rows: DataFrame) -> DataFrame:
         at: dict[int, list[int]] = defaultdict(list)
         for k in range(len(lengths) - 1, -1, -1):
             at[lengths[k]].append(k)
-        base = group.column("_group")[0].as_py() << 32
-        seq, off = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        base = turn << 56 | group.column("_group")[0].as_py() << 24
+        seq, off, filled = (np.zeros(len(lengths), np.int64) for _ in range(3))
         for s, held in enumerate(best_two_fit(lengths)):
-            used = 0
+            used, total = 0, sum(held)
             for n in held:
                 k = at[n].pop()
-                seq[k], off[k] = base + s, used
+                seq[k], off[k], filled[k] = base + s, used, total
                 used += n
-        return group.drop_columns("_group").append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off))
+        for name, values in (("sequence_id", seq), ("offset", off), ("_filled", filled)):
+            group = group.append_column(name, pa.array(values))
+        return group.drop_columns("_group")
 
     dealt = rows.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("_group").applyInArrow(run, kinds)
 
 
+def place(rows: DataFrame) -> DataFrame:
+    """The pieces with sequence_id and offset. ``rows`` must be stored (``cut`` or a table), as groups go by position."""
+    names, groups, turn, done = rows.columns, _groups(rows), 0, None
+    while groups > 1:
+        out = cut(_packed(rows, groups, turn))
+        left = out.filter(F.col("_filled") < FILLED)
+        fewer = _groups(left)
+        if 2 * fewer > groups:  # documents that don't go together: packing them anew would change nothing
+            left, full = None, out
+        else:
+            full = out.filter(F.col("_filled") >= FILLED)
+        done = full if done is None else done.unionByName(full)
+        if left is None:
+            return done.drop("_filled")
+        rows, groups, turn = cut(left.select(*names)), fewer, turn + 1
+    out = _packed(rows, 1, turn)
+    return (out if done is None else done.unionByName(out)).drop("_filled")
+
+
 def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     return place(cut(pieces(docs, path)))
 

@@ -265,8 +265,30 @@ def test_packing(spark, rows, tokenizer):
 def test_packing_in_many_groups(spark, small, tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "GROUP_ROWS", 20)
     out = packing.pack(frame(spark, small)).collect()
-    check_packing(out, small, tokenizer)
-    assert len({r["sequence_id"] >> 32 for r in out}) > 5
+    used, least = check_packing(out, small, tokenizer)
+    assert len({r["sequence_id"] >> 24 for r in out}) > 5
+    assert used <= 1.02 * least + 1
+
+
+def test_packing_of_short_documents(spark, tokenizer, monkeypatch):
+    """Groups leave sequences unfilled; these meet in a second packing."""
+    monkeypatch.setattr(packing, "GROUP_ROWS", 5_000)
+    rows = [(k, None if k % 3 else "a b") for k in range(30_000)]
+    used, least = check_packing(packing.pack(frame(spark, rows, clash=False)).collect(), rows, tokenizer)
+    assert used == least
+
+
+def test_packing_of_documents_that_do_not_go_together(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_TOKENS", 40_000)
+    rows = spark.range(100).selectExpr("id AS doc_id", "0 AS piece", "3000L AS length")
+    out = packing.place(packing.cut(rows)).collect()
+    assert len(out) == 100 and len({r["sequence_id"] for r in out}) == 100
+
+
+def test_memos_forget_long_parts():
+    tok = packing.WordTokenizer(packing.vocabulary("word_bpe_49k.json"))
+    for _ in range(2):
+        assert len(tok.encode(["short " + "x" * 5_000])[0]) > 8 and max(map(len, tok.memo)) <= packing.KEPT_CHARS
 
 
 def test_sequences_hold_the_ids(spark, small, tokenizer):
