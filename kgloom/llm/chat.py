@@ -9,9 +9,13 @@ Control strings inside texts and role names are escaped reversibly: each backsla
 string gets ``\\1`` after its first character, so that none is left, and none arises where text meets a mark. The loss
 mask is a list of spans (code points) that hold the assistant's texts and nothing else.
 
+Blocks are cut where the role changes, and lengths are summed by doubling steps, so that a conversation of n turns costs n
+log n steps and no array is copied turn by turn.
+
 Defined results: a null text or role is empty; turns with one number are ordered by role, then text; a null number goes
-first; repeated rows are repeated turns; rows with a null conv_id make a conversation; other columns are ignored; an
-empty table gives no rows.
+first; repeated rows are repeated turns; rows with a null conv_id make one conversation; other columns are ignored; an
+empty table gives no rows. A conversation is one value of the output, so that it must fit into a task, and into Spark's
+2 GB for a value; this holds for the rows without conv_id too: tables with many of them should be given ids first.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from .common import let, table
 OPEN, CLOSE, TURN = "<s>", "</s>", "[TURN]"
 MARKS = {"system": "[SYS]", "user": "[INST]", "assistant": "[/INST]"}
 ROLE, ROLE_END = "[ROLE]", "[/ROLE]"
+#: Characters of a block in which a place is looked up.
+BLOCK = 1024
 CONTROLS = (OPEN, CLOSE, TURN, *MARKS.values(), ROLE, ROLE_END)
 
 
@@ -46,17 +52,15 @@ def _mark(role: Column) -> Column:
 
 
 def _merged(turns: Column) -> Column:
-    """Blocks (role, texts) of adjacent turns with one role."""
-    none = F.expr("cast(array() as array<struct<role:string,texts:array<string>>>)")
-    block = lambda role, texts: F.struct(role.alias("role"), texts.alias("texts"))
+    """Blocks (role, texts) of adjacent turns with one role: the places where a block begins, then a slice for each."""
+    last = F.size(turns)
+    begins = F.filter(F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.expr("cast(array() as array<int>)")), lambda k: (k == 1) | (F.get(turns, k - 1)["role"] != F.get(turns, k - 2)["role"]))
 
-    def add(blocks: Column, t: Column) -> Column:
-        last = F.element_at(blocks, -1)
-        same = (F.size(blocks) > 0) & (F.try_element_at(blocks, F.lit(-1))["role"] == t["role"])
-        joined = F.concat(F.slice(blocks, 1, F.size(blocks) - 1), F.array(block(t["role"], F.concat(last["texts"], F.array(t["text"])))))
-        return F.when(same, joined).otherwise(F.concat(blocks, F.array(block(t["role"], F.array(t["text"])))))
+    def block(begins: Column, k: Column, i: Column) -> Column:
+        end = F.coalesce(F.get(begins, i + 1), last + 1)
+        return F.struct(F.get(turns, k - 1)["role"].alias("role"), F.transform(F.slice(turns, k, end - k), lambda t: t["text"]).alias("texts"))
 
-    return F.aggregate(turns, none, add)
+    return let(begins, lambda begins: F.transform(begins, lambda k, i: block(begins, k, i)))
 
 
 def _parts(blocks: Column) -> Column:
@@ -72,15 +76,18 @@ def _parts(blocks: Column) -> Column:
     return F.flatten(F.transform(blocks, of))
 
 
-def _spans(parts: Column) -> Column:
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"))
+def running_sums(values: Column) -> Column:
+    """For each place the sum up to it: each step adds to a place the sum 1, 2, 4 ... places before."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+    add = lambda sums, j: F.transform(sums, lambda x, k: x + F.when(k >= F.call_function("shiftleft", F.lit(1), j), F.get(sums, k - F.call_function("shiftleft", F.lit(1), j))).otherwise(0))
+    return F.aggregate(steps, values, add)
 
-    def add(acc: Column, p: Column) -> Column:
-        end = acc["at"] + F.length(p["text"])
-        span = F.array(F.struct(acc["at"].alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return F.aggregate(parts, zero, add, lambda acc: acc["spans"])
+def _spans(parts: Column) -> Column:
+    """The places of the parts under the loss mask."""
+    lengths = F.transform(parts, lambda p: F.length(p["text"]).cast("long"))
+    every = lambda ends: F.transform(parts, lambda p, k: F.struct((F.get(ends, k) - F.length(p["text"])).alias("start"), F.get(ends, k).alias("end")))
+    return let(running_sums(lengths), lambda ends: F.filter(every(ends), lambda s, k: F.get(parts, k)["loss"]))
 
 
 def chat(conversations: DataFrame) -> DataFrame:
@@ -112,8 +119,15 @@ def parsed(formatted: Column) -> Column:
 
 
 def under_mask(formatted: Column, spans: Column) -> Column:
-    """The unescaped text under the loss mask."""
-    return F.array_join(F.transform(spans, lambda s: unescaped(F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+    """The unescaped text under the loss mask. It is cut into blocks, as a place in a long text is far from its beginning."""
+
+    def of(blocks: Column, s: Column) -> Column:
+        first, last = (F.floor(x / BLOCK).cast("int") for x in (s["start"], s["end"]))
+        near = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+        return unescaped(F.substring(near, (s["start"] - first * BLOCK + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+
+    blocks = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return let(blocks, lambda blocks: F.array_join(F.transform(spans, lambda s: of(blocks, s)), ""))
 
 
 def digests(formatted: DataFrame) -> DataFrame:

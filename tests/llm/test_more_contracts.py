@@ -268,6 +268,18 @@ def test_chat_random_texts(spark):
         assert r["loss_sha256"] == hashlib.sha256("".join(t for _, _, x, t in own if x == "assistant").encode()).hexdigest()
 
 
+def test_chat_of_very_many_turns(spark):
+    """Time in proportion: 100,000 turns of one conversation, with few and many changes of role, beside short ones."""
+    n = 100_000
+    rows = spark.range(n).selectExpr("id % 2 AS conv_id", "id AS turn", "if(id % 2 = 0 AND id % 6 = 0, 'user', 'assistant') AS role", "concat('t', id) AS text")
+    out = {r["conv_id"]: r for r in chat.digests(chat.chat(rows)).collect()}
+    for c in (0, 1):
+        own = [(k, "user" if k % 6 == 0 else "assistant", f"t{k}") for k in range(c, n, 2)]
+        said = "".join(t for _, r, t in own if r == "assistant")
+        assert out[c]["n_turns"] == len(own) and out[c]["loss_chars"] == len(said) and out[c]["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert out[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in own).encode()).hexdigest()
+
+
 def test_licenses(spark, rows):
     known = {k: set(licenses.bigrams_of(v)) for k, v in licenses.TEMPLATES.items()}
 
