@@ -1,7 +1,8 @@
 """Operator 9: quality rules from a threshold table, compiled into one Spark projection.
 
 Every figure is made from built-in expressions, so that there is neither a shuffle nor Python. A text's words are
-bound once (``let``) and shared by the figures that need them.
+bound once (``let``) and shared by the figures that need them. The rule of stop words knows four languages, so that it judges
+only texts in these, by ``lang``, and texts whose ``lang`` is null or not among the columns.
 
 Defined results: a null or empty text has 0 for each figure and fails (fewer than 10 words); ratios over zero words
 or lines are 0; repeated rows are judged each for itself; further columns of the input are ignored by the query and
@@ -29,21 +30,24 @@ STOP_WORDS = tuple(
 
 @dataclass(frozen=True)
 class Rule:
-    """A text passes if ``low <= ratio <= high``; texts with fewer than ``least_words`` words pass in any case."""
+    """A text passes if ``low <= ratio <= high``; texts with fewer than ``least_words`` words, or in other languages than ``langs``, pass in any case."""
 
     name: str
     ratio: str
     low: float = 0.0
     high: float = float("inf")
     least_words: int = 0
+    langs: tuple[str, ...] = ()
 
 
+#: The languages of STOP_WORDS.
+LANGS = ("en", "fr", "de", "es")
 #: ratio: SQL over the columns that ``figures`` returns.
 RULES = (
     Rule("mean word length", "word_chars / n_words", 2.0, 14.0, 20),
     Rule("symbols to words", "n_symbols / n_words", high=0.2),
     Rule("shouting to words", "n_bangs / n_words", high=0.5, least_words=20),
-    Rule("stop words to words", "n_stop_words / n_words", low=0.05, least_words=30),
+    Rule("stop words to words", "n_stop_words / n_words", low=0.05, least_words=30, langs=LANGS),
     Rule("equal lines to lines", "n_dup_lines / n_lines", high=0.5),
 )
 
@@ -108,25 +112,31 @@ def compiled(rules: tuple[Rule, ...] = RULES) -> str:
         top, _, below = r.ratio.partition(" / ")
         value = f"coalesce(try_divide({top}, {below}), 0)"
         bounds = [f"{value} >= {r.low}D"] * (r.low > 0) + [f"{value} <= {r.high}D"] * (r.high != float("inf"))
-        one.append(f"(n_words < {r.least_words} OR ({' AND '.join(bounds)}))")
+        names = ", ".join(f"'{x}'" for x in r.langs)
+        other = f" OR coalesce(lang NOT IN ({names}), false)" if names else ""
+        one.append(f"(n_words < {r.least_words}{other} OR ({' AND '.join(bounds)}))")
     return " AND ".join(one)
 
 
 BASE_FAILED = "n_words < 10 OR 100 * n_repeat_words > 20 * n_words"
 
 
+def _lang(docs: DataFrame) -> Column:
+    return (F.col("lang") if "lang" in docs.columns else F.lit(None)).cast("string").alias("lang")
+
+
 def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, the figures, base_failed, kept: one row for each row of ``docs``."""
-    flat = docs.select("doc_id", figures(F.col("text")).alias("f")).select("doc_id", *(F.col(f"f.{at}").alias(name) for name, at in FLAT.items()))
+    flat = docs.select("doc_id", _lang(docs), figures(F.col("text")).alias("f")).select("doc_id", "lang", *(F.col(f"f.{at}").alias(name) for name, at in FLAT.items()))
     judged = flat.withColumn("base_failed", F.expr(BASE_FAILED))
-    return judged.withColumn("kept", ~F.col("base_failed") & F.expr(compiled(rules)))
+    return judged.withColumn("kept", ~F.col("base_failed") & F.expr(compiled(rules))).drop("lang")
 
 
 def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
     names = docs.columns
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), figures(F.col("text")).alias("_f"))
-    flat = packed.select("_row", *(F.col(f"_f.{at}").alias(name) for name, at in FLAT.items()))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), _lang(docs), figures(F.col("text")).alias("_f"))
+    flat = packed.select("_row", "lang", *(F.col(f"_f.{at}").alias(name) for name, at in FLAT.items()))
     return flat.filter(f"NOT ({BASE_FAILED}) AND {compiled(rules)}").select(*(F.col("_row").getField(c).alias(c) for c in names))
 
 
@@ -138,7 +148,7 @@ _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _W = r"[^\x20\x09-\x0D]"
 ORACLE = rf"""
 WITH w AS (
-  SELECT doc_id, row_number() OVER () AS k, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_W}+') AS words,
+  SELECT doc_id, lang, row_number() OVER () AS k, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_W}+') AS words,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_W}')) AS lines
   FROM documents),
 g AS (
@@ -148,7 +158,7 @@ r AS (
   SELECT k, count(DISTINCT j) AS n_repeat_words
   FROM (SELECT k, unnest(range(i, i + 5)) AS j FROM g WHERE n >= 2) GROUP BY k),
 f AS (
-  SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  SELECT doc_id, lang, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
          len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(text, '!')) AS n_bangs,
          len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
          len(list_filter(words, lambda x: lower(rtrim(x, '.,;:!?')) IN ({_STOP}))) AS n_stop_words
@@ -160,7 +170,7 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_sy
        AND (n_words < 20 OR word_chars / n_words BETWEEN 2 AND 14)
        AND n_symbols / n_words <= 0.2
        AND (n_words < 20 OR n_bangs / n_words <= 0.5)
-       AND (n_words < 30 OR n_stop_words / n_words >= 0.05)
+       AND (n_words < 30 OR coalesce(lang NOT IN ('en', 'fr', 'de', 'es'), false) OR n_stop_words / n_words >= 0.05)
        AND (n_lines = 0 OR n_dup_lines / n_lines <= 0.5) AS kept
 FROM b
 """

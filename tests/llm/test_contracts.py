@@ -111,6 +111,15 @@ def test_quality(spark, rows):
     assert got(kept, "doc_id") == got(out.filter("kept"), "doc_id")
 
 
+def test_stop_words_only_of_known_languages(spark):
+    text = "слово дело город река поле лес море небо земля вода огонь ветер камень трава птица рыба конь дом окно дверь стол хлеб соль мёд сад друг брат сестра мать отец "
+    rows = [(1, text, "ru"), (2, text, "en"), (3, text, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["kept"] for r in quality.quality(docs).collect()} == {1: True, 2: False, 3: False}
+    assert [r["doc_id"] for r in quality.quality_filter(docs).collect()] == [1]
+    assert {r["kept"] for r in quality.quality(docs.drop("lang")).collect()} == {False}
+
+
 def test_quality_rules_on_labelled_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     out = quality.quality(docs).join(docs.select("doc_id", "quality"), "doc_id").filter("n_words >= 10").groupBy("quality").agg(F.avg(F.col("kept").cast("int"))).collect()
