@@ -23,18 +23,32 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``. Only a local master, as in tests, may do without."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the executors share")
+    return named or tempfile.mkdtemp(prefix="kgloom-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Computes ``df`` into the shared checkpoint folder of the session and reads it from there.
+    """Computes ``df`` into the session's shared checkpoint folder and reads it from there.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (tests on one machine) a
-    temporary one is made.
+    Spark removes what is no longer used if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is true.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kgloom-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, *folders: str) -> None:
+    """Removes folders of any file system that Spark knows."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def on_batches(df: DataFrame, make: Callable[[list[list]], list[list]], schema: str, arrow: pa.Schema) -> DataFrame:
     """``make`` gets the columns of some rows as lists and returns the columns of the result."""
 
