@@ -10,7 +10,7 @@ their sets of word bigrams, and the best template of ``LEAST`` or more is its li
 Few units pass both, and only these are compared with the templates whose size bounds they meet.
 
 Runs of adjacent lines (blank ones apart) are units too, as notices are wrapped. A run counts where it is nearer to its template than
-any of its lines is to one; of runs that share lines the nearest counts. Its hit has the first and ``last`` line. Runs are looked at
+any of its lines is to one; of runs that share lines the nearest counts, of equally near ones the longest. Its hit has the first and ``last`` line. Runs are looked at
 only in texts that hold t/(2-t) of some template's bigrams, which each run within t must.
 
 Defined results: a null or empty text has no licences; ties go to the first template by name; repeated rows are scanned each
@@ -25,34 +25,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let, table
+from .license_texts import TEMPLATES
 
 LEAST = 0.8
-_MIT = (
-    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the "
-    "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of "
-    "the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"
-)
-#: Name and text of notices in common use.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "CC-BY-4.0": "Licensed under CC BY 4.0",
-    "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
-    "CC0-1.0": "This work is dedicated to the public domain under CC0 1.0 Universal",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "GPL-3.0 notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
-    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3",
-    "MIT": "Released under the MIT License",
-    "MIT notice": _MIT,
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "Unlicense": "This is free and unencumbered software released into the public domain",
-    "proprietary": "All rights reserved",
-}
 NOT_WORD = r"[^\p{L}\p{N}\n]+"
 
 
@@ -105,7 +80,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
         F.filter(scored, lambda x: F.coalesce(-x["best"]["minus"] >= least - 1e-9, F.lit(False))),
         lambda x: F.struct(x["line"].alias("line"), x["line"].alias("last"), x["best"]["license"].alias("license"), F.round(-x["best"]["minus"], 6).alias("dice")),
     )
-    found = "array<struct<minus:double,lines:int,line:int,last:int,license:string>>"
+    found = "array<struct<minus:double,fewer:int,line:int,last:int,license:string>>"
 
     def runs_from(rows: Column, k: Column) -> Column:
         """The runs from the ``k``-th row on that are near a template. A run only gains bigrams, so that it ends at the size bound."""
@@ -115,7 +90,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
 
             def taken(a: Column) -> Column:
                 near = F.when(~state["prev"].isNull(), of_set(a))
-                more = let(near, lambda b: F.when(F.coalesce(-b["minus"] >= least - 1e-9, F.lit(False)), F.array(F.struct(b["minus"].alias("minus"), (state["lines"] + 1).alias("lines"), state["line"].alias("line"), row["line"].alias("last"), b["license"].alias("license")))).otherwise(F.expr(f"cast(array() as {found})")))
+                more = let(near, lambda b: F.when(F.coalesce(-b["minus"] >= least - 1e-9, F.lit(False)), F.array(F.struct(b["minus"].alias("minus"), (-1 - state["lines"]).alias("fewer"), state["line"].alias("line"), row["line"].alias("last"), b["license"].alias("license")))).otherwise(F.expr(f"cast(array() as {found})")))
                 return F.struct(F.element_at(row["words"], -1).alias("prev"), a.alias("set"), (state["lines"] + 1).alias("lines"), F.coalesce(state["line"], row["line"]).alias("line"), F.concat(state["found"], more).cast(found).alias("found"))
 
             return F.when(F.size(state["set"]) > int(high) + 1, state).otherwise(let(F.array_union(state["set"], pairs_of(words)), taken))
@@ -124,7 +99,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
         return F.aggregate(F.slice(rows, k, F.size(rows)), first, longer, lambda state: state["found"])
 
     def apart(runs: Column) -> Column:
-        """The nearest runs (of equals the shortest, then the first) that share no line."""
+        """The nearest runs (of equals the longest, then the first) that share no line."""
         pick = lambda kept, x: F.when(F.exists(kept, lambda y: (y["line"] <= x["last"]) & (x["line"] <= y["last"])), kept).otherwise(F.concat(kept, F.array(x)).cast(found))
         return F.aggregate(F.array_sort(runs), F.expr(f"cast(array() as {found})"), pick)
 
@@ -134,7 +109,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
         starts = F.filter(F.sequence(F.lit(1), F.size(rows) - 1), lambda k: F.exists(pairs_of(F.concat(F.element_at(rows, k)["words"], after(k))), lambda x: x.isin(*every)))
         runs = F.flatten(F.transform(starts, lambda k: runs_from(rows, k)))
         beaten = lambda x: F.exists(hits, lambda h: h["line"].between(x["line"], x["last"]) & (h["dice"] >= F.round(-x["minus"], 6)))
-        whole = lambda x: x["lines"] == n
+        whole = lambda x: x["fewer"] == -n
         left = F.filter(runs, lambda x: ~beaten(x) & ~whole(x))
         return F.transform(apart(left), lambda x: F.struct(x["line"].alias("line"), x["last"].alias("last"), x["license"].alias("license"), F.round(-x["minus"], 6).alias("dice")))
 

@@ -301,21 +301,36 @@ def test_licenses(spark, rows):
     assert Counter((r[0], tuple((h["line"], h["license"], h["dice"]) for h in r[1])) for r in out) == want
     if rows:
         by = {r[0]: [h["license"] for h in r[1]] for r in out}
-        assert by[100] == ["MIT notice"] and by[101] == ["Apache-2.0", "proprietary"] and by[102] == ["Apache-2.0"]
+        assert by[100] == ["MIT notice"] and by[101] == ["Apache-2.0 phrase", "proprietary phrase"] and by[102] == ["Apache-2.0 phrase"]
+
+
+def test_changed_license_in_a_longer_text(spark):
+    """The standard MIT and BSD texts with their copyright lines, other names and comment marks, after and before other lines."""
+    import textwrap
+
+    tail = "\n".join(f"Row {k} of the list has {k * k} things." for k in range(90))
+    rows = []
+    for i, (name, old, new) in enumerate([("MIT", "AUTHORS OR COPYRIGHT HOLDERS", "REGENTS"), ("BSD-3-Clause", "the copyright holder nor", "the Example University nor"), ("Apache-2.0 notice", "this file", "these files"), ("ISC", "fee is", "charge is")]):
+        text = "\n".join(f" * {x}" for x in textwrap.wrap(licenses.TEMPLATES[name].replace(old, new), 79, break_long_words=False))
+        rows.append((i, f"The Example Tool\n/*\n * Copyright (c) 2020 Jo Doe\n *\n{text}\n */\n{tail}"))
+    out = {r[0]: r[1] for r in licenses.scan(frame(spark, rows)).collect()}
+    assert [[h["license"] for h in out[i]] for i in range(4)] == [["MIT"], ["BSD-3-Clause"], ["Apache-2.0 notice"], ["ISC"]]
+    assert all(h["line"] <= 6 and h["last"] > 8 for hits in out.values() for h in hits)
 
 
 def test_wrapped_license_in_a_longer_text(spark):
     import textwrap
 
     some = "The quick brown fox of the north jumps over the lazy dog.\nIt is used to go to the river.\n\n"
+    tail = "\n".join(f"Row {k} of the list has {k * k} things." for k in range(90))
     rows, want = [], {}
     for i, (name, t) in enumerate(sorted(licenses.TEMPLATES.items())):
-        wrapped = textwrap.wrap(t, 30)
+        wrapped = textwrap.wrap(t, 40, break_long_words=False)
         if len(wrapped) > 1:
-            rows.append((i, some + "\n".join(f"# {x}" for x in wrapped) + "\n\n" + "\n".join(f"Row {k} of the list has {k * k} things." for k in range(90))))
+            rows.append((i, some + "\n".join(f"# {x}" for x in wrapped) + "\n\n" + tail))
             want[i] = [(4, 3 + len(wrapped), name, 1.0)]
-    two = "\n".join(textwrap.wrap(licenses.TEMPLATES["GPL-3.0 notice"], 60))
-    rows.append((100, f"{some}{two}\n\n{some}{two}\n{some}"))
+    two = "\n".join(textwrap.wrap(licenses.TEMPLATES["GPL-3.0 notice"], 60, break_long_words=False))
+    rows.append((100, f"{some}{two}\n\n{some}{two}\n{some}{tail}"))
     n = two.count("\n")
     want[100] = [(4, 4 + n, "GPL-3.0 notice", 1.0), (9 + n, 9 + 2 * n, "GPL-3.0 notice", 1.0)]
     rows += [(101, some * 3), (102, some + "no licence at all")]
