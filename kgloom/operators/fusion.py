@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed values, as results must be the same: dimensions and the weights of each strategy in their order.
 DIMENSIONS = ("vector", "lexical", "temporal", "graph", "structural", "global")
 STRATEGIES = {
     "balanced": (0.28, 0.22, 0.13, 0.18, 0.09, 0.10), "precise": (0.38, 0.33, 0.05, 0.14, 0.05, 0.05), "exploratory": (0.18, 0.09, 0.09, 0.32, 0.22, 0.10),

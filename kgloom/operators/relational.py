@@ -66,14 +66,15 @@ def degrees(edges: DataFrame) -> DataFrame:
 def cooccurrence(extractions: DataFrame, least: int = 2, known: DataFrame | None = None, degree: DataFrame | None = None, max_degree: int | None = None) -> DataFrame:
     """a, b, n: pairs of entities that share ``least`` chunks or more, a < b, not yet linked, both of a degree below ``max_degree``."""
     one = extractions.select("chunk_id", "entity_id").distinct()
+    # An entity of too large a degree, or in too few chunks, is in no pair: both go before the join.
+    if degree is not None and max_degree is not None:
+        one = one.join(degree.filter(F.col("out_degree") + F.col("in_degree") >= max_degree).select(F.col("id").alias("entity_id")), "entity_id", "left_anti")
+    if least > 1:
+        one = one.join(one.groupBy("entity_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("entity_id"), "entity_id", "left_semi")
     x, y = one.withColumnRenamed("entity_id", "a"), one.withColumnRenamed("entity_id", "b")
     pairs = x.join(y, "chunk_id").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     if known is not None:
         pairs = pairs.join(known.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), ["a", "b"], "left_anti")
-    if degree is not None and max_degree is not None:
-        total = degree.select("id", (F.col("out_degree") + F.col("in_degree")).alias("deg"))
-        for end in ("a", "b"):
-            pairs = pairs.join(total.withColumnsRenamed({"id": end, "deg": f"deg_{end}"}), end, "left").filter(F.coalesce(F.col(f"deg_{end}"), F.lit(0)) < max_degree).drop(f"deg_{end}")
     return pairs.select("a", "b", "n")
 
 
@@ -108,16 +109,40 @@ def latest(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(best).select(key, "r.*")
 
 
+def overlapping(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """id, n: how many other spans (begin, end: half-open, null is open) with the same ``keys`` overlap each one.
+
+    These are the ones that begin before its end, without those that end by its beginning. Both counts come from the sorted
+    union of beginnings and ends: sums by day first, then inside a day, so that a key with very many spans is spread over days.
+    """
+    at = lambda column, kind: spans.filter(F.col(column).isNotNull()).select("id", *keys, F.col(column).alias("_t"), F.lit(kind).alias("_kind"))
+    marks = at("end", 0).unionByName(at("begin", 1)).withColumn("_day", F.date_trunc("day", "_t"))
+    ends, begins = F.sum((F.col("_kind") == 0).cast("long")), F.sum((F.col("_kind") == 1).cast("long"))
+    days = marks.groupBy(*keys, "_day").agg(ends.alias("_ends"), begins.alias("_begins"))
+    before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(*keys, "_day", F.coalesce(F.sum("_ends").over(before), F.lit(0)).alias("_e0"), F.coalesce(F.sum("_begins").over(before), F.lit(0)).alias("_b0"))
+    inside = Window.partitionBy(*keys, "_day").orderBy("_t", "_kind")
+    run = marks.withColumns({"_e1": ends.over(inside), "_b1": begins.over(inside)}).join(days, [*keys, "_day"])
+    # At an end: beginnings before it; at a beginning: ends up to it, taken off.
+    known = run.groupBy("id").agg(F.sum(F.when(F.col("_kind") == 0, F.col("_b0") + F.col("_b1")).otherwise(-(F.col("_e0") + F.col("_e1")))).alias("_n"))
+    totals = spans.groupBy(*keys).agg(F.count("*").alias("_all"), F.count_if(F.col("begin").isNull()).alias("_open"))
+    one = spans.join(totals, keys).join(known, "id", "left")
+    # Spans that are open at the beginning begin before any end; one with an open end ends after all have begun.
+    return one.select("id", (F.coalesce("_n", F.lit(0)) + F.when(F.col("end").isNull(), F.col("_all")).otherwise(F.col("_open")) - 1).alias("n"))
+
+
 def conflicts(edges: DataFrame, functional: list[str] | None = None) -> DataFrame:
-    """Edges with the same start and relation, another target, and overlapping validity (valid_from, valid_until; null: open).
+    """Adds conflict: whether another edge has the same start and relation, another target, and an overlapping validity.
 
-    Sorted by start of validity, an interval overlaps an earlier one exactly if it begins before the latest end so far, so a window
-    finds the edges that have a conflict, without pairs.
+    Edges (id, src, dst, rel_type, valid_from, valid_until; null: open) that are ``invalid``, or valid at no time, have no part in
+    this. An edge has a conflict if it overlaps more edges of its start and relation than of its target too; no pairs are made.
     """
-    e = edges if functional is None else edges.filter(F.col("rel_type").isin(*functional))
-    begin, end = F.coalesce("valid_from", F.lit("0001-01-01").cast("timestamp_ntz")), F.coalesce("valid_until", F.lit("9999-12-31").cast("timestamp_ntz"))
-    w = Window.partitionBy("src", "rel_type").orderBy("_b", "id").rowsBetween(Window.unboundedPreceding, -1)
-    return e.withColumns({"_b": begin, "_e": end}).withColumn("_until", F.max("_e").over(w)).withColumn("conflict", F.coalesce(F.col("_b") < F.col("_until"), F.lit(False))).drop("_b", "_e", "_until")
+    held = F.coalesce(F.col("valid_from") < F.col("valid_until"), F.lit(True))
+    e = edges.filter(held & ~F.col("invalid")) if "invalid" in edges.columns else edges.filter(held)
+    e = (e if functional is None else e.filter(F.col("rel_type").isin(*functional))).select("id", "src", "dst", "rel_type", F.col("valid_from").alias("begin"), F.col("valid_until").alias("end"))
+    every, same = overlapping(e, ["src", "rel_type"]), overlapping(e, ["src", "rel_type", "dst"])
+    hit = every.join(same.withColumnRenamed("n", "m"), "id").filter("n > m").select("id", F.lit(True).alias("conflict"))
+    return edges.join(hit, "id", "left").withColumn("conflict", F.coalesce("conflict", F.lit(False)))
 
 
 def overlap_in_time(from_a: Column, until_a: Column, from_b: Column, until_b: Column) -> Column:
@@ -127,17 +152,28 @@ def overlap_in_time(from_a: Column, until_a: Column, from_b: Column, until_b: Co
 
 def projected(spans: DataFrame, ledger: DataFrame) -> DataFrame:
     """Spans of a mutated text back on the canonical one: an exact entry gives its own span; else each end moves by the lengths that entries before it
-    have changed, and snaps to the entry's ends if it falls inside one. One equi join on the source, one aggregate on the span."""
-    e = ledger.withColumn("delta", (F.col("canonical_end") - F.col("canonical_start")) - (F.col("mutated_end") - F.col("mutated_start")))
-    j = spans.join(e, "source_id", "left")
-    inside = lambda x: (F.col("mutated_start") < F.col(x)) & (F.col(x) < F.col("mutated_end"))
-    moved = lambda x: F.col(x) + F.coalesce(F.sum(F.when(F.col("mutated_end") <= F.col(x), F.col("delta"))), F.lit(0))
-    exact = (F.col("mutated_start") == F.col("start")) & (F.col("mutated_end") == F.col("end"))
-    g = j.groupBy("source_id", "start", "end").agg(
-        F.max(F.when(exact, F.struct("canonical_start", "canonical_end"))).alias("x"), moved("start").alias("s"), moved("end").alias("t"),
-        F.min(F.when(inside("start"), F.col("canonical_start"))).alias("s_in"), F.max(F.when(inside("end"), F.col("canonical_end"))).alias("t_in"),
-    )
-    return g.select("source_id", "start", "end", F.coalesce("x.canonical_start", "s_in", "s").alias("canonical_start"), F.coalesce("x.canonical_end", "t_in", "t").alias("canonical_end"))
+    have changed, and snaps to the entry's ends if it falls inside one. Entries of a source don't overlap.
+
+    Each end looks up the entry that begins last before it: one sorted union of entries and ends for each source, with running
+    sums, and no join of spans with entries."""
+    delta = (F.col("canonical_end") - F.col("canonical_start")) - (F.col("mutated_end") - F.col("mutated_start"))
+    entry = F.struct("mutated_start", "mutated_end", "canonical_start", "canonical_end", delta.alias("delta"))
+    ends = spans.select("source_id", "start", "end").distinct()
+    at = lambda column: ends.select("source_id", F.col(column).alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(entry_type).alias("entry"), "start", "end", F.lit(column).alias("side"))
+    rows = ledger.select("source_id", F.col("mutated_start").alias("at"), F.lit(1).alias("kind"), entry.alias("entry"))
+    entry_type = rows.schema["entry"].dataType
+    none = lambda df: df.withColumns({"start": F.lit(None).cast("long"), "end": F.lit(None).cast("long"), "side": F.lit(None).cast("string")})
+    union = none(rows).unionByName(at("start")).unionByName(at("end"))
+    # An end meets the entries that begin before it (kind 0 sorts before an entry at the same place).
+    before = Window.partitionBy("source_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = union.withColumns({"last": F.last("entry", True).over(before), "sum": F.coalesce(F.sum("entry.delta").over(before), F.lit(0))}).filter("kind = 0")
+    inside = F.col("at") < F.col("last.mutated_end")
+    snapped = F.when(F.col("side") == "start", F.col("last.canonical_start")).otherwise(F.col("last.canonical_end"))
+    moved = F.col("at") + F.col("sum") - F.when(inside, F.col("last.delta")).otherwise(0)
+    found = met.select("source_id", "start", "end", "side", F.coalesce(F.when(inside, snapped), moved).alias("to"))
+    both = found.groupBy("source_id", "start", "end").agg(F.max(F.when(F.col("side") == "start", F.col("to"))).alias("s"), F.max(F.when(F.col("side") == "end", F.col("to"))).alias("t"))
+    exact = ledger.groupBy("source_id", F.col("mutated_start").alias("start"), F.col("mutated_end").alias("end")).agg(F.max(F.struct("canonical_start", "canonical_end")).alias("x"))
+    return both.join(exact, ["source_id", "start", "end"], "left").select("source_id", "start", "end", F.coalesce("x.canonical_start", "s").alias("canonical_start"), F.coalesce("x.canonical_end", "t").alias("canonical_end"))
 
 
 def rules_matched(sources: DataFrame, rules: DataFrame) -> DataFrame:

@@ -275,9 +275,11 @@ def latest_version(spark, sf):
 LIFE = "e AS (SELECT o_orderkey AS id, o_custkey AS src, 'owns' AS rel_type, o_totalprice AS dst, o_orderdate AS b, o_orderdate + INTERVAL (o_orderkey % 200) DAY AS t FROM orders)"
 
 
-@query("edge_conflicts", f"WITH {LIFE}, m AS (SELECT *, max(t) OVER (PARTITION BY src ORDER BY b, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u FROM e) SELECT id, src, coalesce(b < u, false) AS conflict FROM m")
+@query("edge_conflicts", "WITH e AS (SELECT o_orderkey AS id, o_custkey AS src, o_orderkey % 3 AS dst, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderdate END AS b, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate + INTERVAL 1 DAY * (o_orderkey % 200) END AS t, o_orderkey % 7 = 0 AS invalid FROM orders), l AS (SELECT * FROM e WHERE NOT invalid AND coalesce(b < t, true)) SELECT id, src, id IN (SELECT x.id FROM l x JOIN l y ON x.src = y.src AND x.dst <> y.dst AND coalesce(x.b < y.t, true) AND coalesce(y.b < x.t, true)) AS conflict FROM e")
 def edge_conflicts(spark, sf):
-    e = kg.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("src"), F.lit("owns").alias("rel_type"), F.col("o_orderdate").alias("valid_from"), F.expr("o_orderdate + make_dt_interval(o_orderkey % 200)").alias("valid_until"))
+    k, at = F.col("o_orderkey"), F.col("o_orderdate")
+    until = F.when(k % 11 != 0, F.expr("o_orderdate + make_dt_interval(o_orderkey % 200)"))
+    e = kg.table(spark, sf, "orders").select(k.alias("id"), F.col("o_custkey").alias("src"), (k % 3).alias("dst"), F.lit("owns").alias("rel_type"), F.when(k % 13 != 0, at).alias("valid_from"), until.alias("valid_until"), (k % 7 == 0).alias("invalid"))
     return relational.conflicts(e).select("id", "src", "conflict")
 
 
