@@ -7,7 +7,9 @@ their sets of word bigrams, and the best template of ``LEAST`` or more is its li
 * size: 2|A∩B| / (|A|+|B|) >= t needs |A| between t/(2-t) and (2-t)/t times |B|, so a unit of other sizes has no candidates;
 * shared: for the same reason at least t/(2-t) of |A| must be bigrams of some template, whichever it is.
 
-Few units pass both, and only these are compared with the templates whose size bounds they meet.
+Few units pass both, and only these are compared with the templates whose size bounds they meet. Before that a text must
+hold a cue, one of a few words chosen from the templates: of each, fewer than t/(2-t) of the bigrams are without a cue, so
+that a unit within t of it has one. This is without loss too.
 
 Runs of adjacent lines (blank ones apart) are units too, as notices are wrapped. A run counts where it is nearer to its template than
 any of its lines is to one; of runs that share lines the nearest counts, of equally near ones the longest. Its hit has the first and ``last`` line. Runs are looked at
@@ -20,12 +22,14 @@ for itself; a null doc_id is carried along; other columns are ignored; an empty
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let, table
 from .license_texts import TEMPLATES
+from .quality import STOP_WORDS
 
 LEAST = 0.8
 NOT_WORD = r"[^\p{L}\p{N}\n]+"
@@ -36,6 +40,20 @@ def bigrams_of(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
 
 
+def cues(known: dict[str, list[str]], share: float) -> list[str]:
+    """Words such that of each template fewer than ``share`` of the bigrams are without one; long words first, as they are rarer, function words last."""
+    left = {k: [b.split(" ") for b in bs] for k, bs in known.items()}
+    short = lambda: {k: bs for k, bs in left.items() if len(bs) >= share * len(known[k]) - 1e-9}
+    out = []
+    while todo := short():
+        words = {w for bs in todo.values() for b in bs for w in b}
+        gain = lambda w: sum(sum(w in b for b in bs) / len(known[k]) for k, bs in todo.items())
+        best = max(sorted(words), key=lambda w: (len(w) >= 6, w not in STOP_WORDS and not w.isdigit(), gain(w)))
+        out.append(best)
+        left = {k: [b for b in bs if best not in b] for k, bs in left.items()}
+    return out
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
     """doc_id, hits (array of line, last, license, dice; line 0: the whole text; line < last: a run of lines), in order of lines."""
     known = {k: bigrams_of(v) for k, v in sorted((templates or TEMPLATES).items())}
@@ -69,7 +87,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
         words = F.array_remove(F.split(unit, " ", -1), "")
         return let(words, of_words)
 
-    plain = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), NOT_WORD, " ")
+    plain = F.col("_plain")
     lines = F.transform(F.split(plain, "\n", -1), lambda x, k: F.struct((k + 1).alias("line"), x.alias("unit")))
     # The whole text is a unit of its own only if it has several lines. A text with far more characters than its candidates'
     # size allows could still have few distinct bigrams, so that its size is taken from the bigrams, not from the text.
@@ -128,7 +146,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
         of_rows = lambda rows: F.when(F.size(rows) >= 3, let(free(rows), lambda x: of_free(x, F.size(rows)))).otherwise(hits)
         return F.when(F.instr(plain, "\n") > 0, let(rows, of_rows)).otherwise(hits)
 
-    return docs.select("doc_id", let(hits, with_runs).alias("hits"))
+    # A cue is of letters and digits, so that the text holds it if its normal form does. Short ones must stand alone.
+    held_cue = lambda c: F.contains("_lower", F.lit(c)) if len(c) >= 5 else F.col("_lower").rlike(rf"(?<![\p{{L}}\p{{N}}]){c}(?![\p{{L}}\p{{N}}])")
+    lower = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("_lower"))
+    cued = reduce(lambda a, b: a | b, (held_cue(c) for c in few)) if len(few := cues(known, share)) <= 64 else F.lit(True)
+    plains = lower.select("doc_id", F.when(cued, F.regexp_replace("_lower", NOT_WORD, " ")).alias("_plain"))
+    none = F.expr("cast(array() as array<struct<line:int,last:int,license:string,dice:double>>)")
+    return plains.select("doc_id", F.when(plain.isNull(), none).otherwise(let(hits, with_runs)).alias("hits"))
 
 
 def op8_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:

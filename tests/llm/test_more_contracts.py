@@ -304,6 +304,16 @@ def test_licenses(spark, rows):
         assert by[100] == ["MIT notice"] and by[101] == ["Apache-2.0 phrase", "proprietary phrase"] and by[102] == ["Apache-2.0 phrase"]
 
 
+def test_license_cues():
+    for least in (0.5, 0.8, 0.95):
+        share = least / (2 - least)
+        known = {k: licenses.bigrams_of(v) for k, v in licenses.TEMPLATES.items()}
+        found = licenses.cues(known, share)
+        for bs in known.values():
+            assert sum(not set(b.split()) & set(found) for b in bs) < share * len(bs)
+        assert least < 0.8 or len(found) < 50
+
+
 def test_changed_license_in_a_longer_text(spark):
     """The standard MIT and BSD texts with their copyright lines, other names and comment marks, after and before other lines."""
     import textwrap
