@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vector as V
-from . import fusion, relational
+from ..plans.lineage import cut
+from . import epistemic, fusion, graph, relational
 
 #: profile: (chunk size, overlap)
 PROFILES = {"document": (1500, 200), "code": (2000, 100), "web_page": (1200, 150), "manual": (1000, 100)}
@@ -279,3 +280,23 @@ def neighbourhood(edges: DataFrame, nodes: DataFrame, ids: DataFrame, most: int
     w = Window.partitionBy("id", "dir").orderBy(F.desc("weight"), "edge")
     near = out.unionByName(back).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most)
     return near.join(nodes.select(F.col("id").alias("other"), "name"), "other").select("id", "dir", "n", "rel_type", "other", "name", "invalid")
+
+
+def consolidated(nodes: DataFrame, edges: DataFrame, least: int = 2, trust_rounds: int = 50) -> DataFrame:
+    """id, trust, community, between, keep, decision, bridge: the deep consolidation, in its order.
+
+    Trust from the cleared nodes (``clearance`` of 1 or more; all if there are none); communities of the core numbers; betweenness; the
+    score to keep a memory by (structure: betweenness; activation: five times trust; accommodations: 3 for cleared nodes, else 1);
+    then the bridges between these very communities, lifted by betweenness.
+    """
+    cleared = F.col("clearance") >= 1
+    some = not nodes.filter(cleared).isEmpty()
+    seeds = (nodes.filter(cleared) if some else nodes).select("id", F.lit(1.0).alias("weight"))
+    trust = cut(graph.rank(nodes, edges, iterations=trust_rounds, seeds=seeds, weight=graph.effective("confidence"), lose_unweighted=True).select("id", F.col("score").alias("trust")))
+    groups = cut(graph.communities(nodes, edges, graph.cores(nodes, edges), least).select("id", "community"))
+    between = cut(graph.betweenness(nodes, edges).select("id", F.col("score").alias("between")))
+    signals = nodes.select("id", F.when(cleared, 3).otherwise(1).alias("accommodations"), F.lit(0).alias("contradiction_days")).join(trust, "id").join(between, "id")
+    keep = epistemic.evicted(signals.withColumns({"structural": F.col("between"), "activation": F.col("trust") * 5})).select("id", F.col("score").alias("keep"), "decision")
+    bridges = graph.bridges(edges, groups, between.withColumnRenamed("between", "score")).select("id", F.col("score").alias("bridge"))
+    out = trust.join(groups, "id", "left").join(between, "id").join(keep, "id").join(bridges, "id", "left")
+    return out.select("id", F.round("trust", 9).alias("trust"), "community", F.round("between", 12).alias("between"), F.round("keep", 6).alias("keep"), "decision", F.round("bridge", 6).alias("bridge"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
+from ..functions import vector as V
 from . import fusion
 
 
@@ -78,6 +79,19 @@ def context(results: DataFrame, by: str, budget: int = 8000, per_source: int = 3
     return kept.withColumn("n", F.expr(f"row_number() OVER (PARTITION BY {by} ORDER BY score DESC, id)"))
 
 
+def deduplicated(items: DataFrame, by: str, threshold: float = 0.95) -> DataFrame:
+    """``items`` (by, id, score, embedding) without those that a kept one with a better score, or as good a one and a smaller id,
+    resembles: cosine above ``threshold``, for vectors of one length. Items without a vector stay. ``items`` are the results of
+    a query, so that a group is small; it is folded in one expression."""
+    kind = dict(items.dtypes)["id"]
+    seen = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "id", "embedding")))
+    zero = F.expr(f"cast(array() as array<struct<minus:double,id:{kind},embedding:{dict(items.dtypes)['embedding']}>>)")
+    same = lambda k, x: F.when(F.size(k["embedding"]) == F.size(x["embedding"]), V.cosine(k["embedding"], x["embedding"]) > threshold).otherwise(False)
+    step = lambda kept, x: F.when(x["embedding"].isNotNull() & F.exists(kept, lambda k: same(k, x)), kept).otherwise(F.concat(kept, F.array(x)))
+    kept = items.filter(F.col("id").isNotNull()).groupBy(by).agg(F.aggregate(seen, zero, step).alias("x")).select(by, F.explode(F.transform("x", lambda k: k["id"])).alias("id"))
+    return items.join(kept, [by, "id"], "left_semi").select(*items.columns)
+
+
 def prompt(items: DataFrame, by: str) -> DataFrame:
     """by, blocks: '[n] (type, confidence: c, domain, source)' and up to 2,000 characters of each item, in order."""
     head = F.format_string("[%d] (%s, confidence: %.2f, %s, %s)\n%s", "n", "node_type", "confidence", "domain", "source", F.substring("content", 1, 2000))

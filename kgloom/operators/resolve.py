@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from ..functions import text as T
+from ..functions import vector as V
+from ..plans.lineage import cut
+from . import relational
 from .graph import components
 
 
@@ -37,6 +40,113 @@ def resolved(mentions: DataFrame, nodes: DataFrame, aliases: DataFrame, threshol
     return first.join(fuzzy, "key", "left").select("mention", node.alias("node"), match.alias("match"))
 
 
+def _grams(df: DataFrame, key: str) -> DataFrame:
+    return df.select(key, F.explode(T.trigrams(F.col(key))).alias("g"))
+
+
+def fuzzy_candidates(keys: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """key, node, node_type, sim: nodes whose names are similar to a key (lower case) by trigrams; by an equi join on trigrams of distinct names."""
+    names = nodes.select(F.lower("name").alias("name")).distinct()
+    a, b = _grams(keys, "key"), _grams(names, "name")
+    sizes = lambda df, key, n: df.groupBy(key).agg(F.count("*").alias(n))
+    shared = a.join(b, "g").groupBy("key", "name").agg(F.count("*").alias("s")).join(sizes(a, "key", "na"), "key").join(sizes(b, "name", "nb"), "name")
+    near = shared.withColumn("sim", F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))).filter(F.col("sim") >= threshold).select("key", "name", "sim")
+    return near.join(nodes.select(F.col("id").alias("node"), F.lower("name").alias("name"), "node_type"), "name").select("key", "node", "node_type", "sim")
+
+
+def supported(pairs: DataFrame, nodes: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """Rows of ``pairs`` (node, candidate_type, node_type ...) that the graph doesn't speak against: the types are equal (any case), the
+    candidate has no neighbours, or one of its neighbours is of the mention's type."""
+    if edges is None:
+        return pairs
+    ends = edges.select(F.col("src").alias("node"), F.col("dst").alias("o")).unionAll(edges.select(F.col("dst"), F.col("src")))
+    ends = ends.join(pairs.select("node").distinct(), "node", "left_semi").distinct()
+    kinds = ends.join(nodes.select(F.col("id").alias("o"), F.lower("node_type").alias("t")), "o").groupBy("node").agg(F.collect_set("t").alias("_kinds"))
+    fine = (F.lower("candidate_type") == F.lower("node_type")) | F.col("_kinds").isNull() | F.array_contains("_kinds", F.lower("node_type"))
+    return pairs.join(kinds, "node", "left").filter(fine).drop("_kinds")
+
+
+def tiered(mentions: DataFrame, nodes: DataFrame, aliases: DataFrame, edges: DataFrame | None = None, similarity: float = 0.85, threshold: float = 0.4, deferred: bool = False, recall: float | None = None) -> DataFrame:
+    """mention_id, node, name, match of mentions (mention_id, name, node_type, from_code, embedding), tier by tier.
+
+    Exact name in any case; alias; names from code end here, as new. Then the nearest node by cosine, if ``similarity`` or more,
+    and the most similar name by trigrams, those of the mention's type first, if ``threshold`` or more; both only if the graph
+    doesn't speak against them (``supported``). Else new, or ``deferred`` to the batch of pending names. Ties go to the smallest
+    id. A tier sees only what the tiers before it left. ``recall``: see ``relational.close_pairs``.
+    """
+    low = mentions.withColumn("key", F.lower(F.trim("name")))
+    exact = nodes.groupBy(F.lower("name").alias("key")).agg(F.min("id").alias("exact"))
+    alias = aliases.groupBy(F.lower("alias").alias("key")).agg(F.min("node_id").alias("alias"))
+    first = low.join(exact, "key", "left").join(alias, "key", "left")
+    rest = first.filter("exact IS NULL AND alias IS NULL AND NOT from_code").select("mention_id", "key", "node_type", "embedding")
+    of_type = nodes.select(F.col("id").alias("node"), F.col("node_type").alias("candidate_type"))
+    near = relational.close_pairs(rest.filter("embedding IS NOT NULL").select(F.col("mention_id").alias("id"), "embedding"), nodes.filter("embedding IS NOT NULL").select("id", "embedding"), 1 - similarity, recall)
+    closest = near.groupBy(F.col("left_id").alias("mention_id")).agg(F.min(F.struct(F.round("distance", 12).alias("d"), F.col("right_id").alias("n"))).alias("m")).select("mention_id", F.col("m.n").alias("node"))
+    vector = supported(closest.join(of_type, "node").join(rest.select("mention_id", "node_type"), "mention_id"), nodes, edges).select("mention_id", F.col("node").alias("vector"))
+    left = rest.join(vector, "mention_id", "left_anti")
+    likes = fuzzy_candidates(left.select("key").distinct(), nodes, threshold).withColumnRenamed("node_type", "candidate_type").join(left.select("mention_id", "key", "node_type"), "key")
+    order = F.struct((F.lower("candidate_type") == F.lower("node_type")).cast("int").alias("same"), F.round("sim", 9).alias("sim"), (-F.col("node")).alias("minus"))
+    best = likes.groupBy("mention_id", "node_type").agg(F.max(F.struct(order.alias("o"), "candidate_type")).alias("m")).select("mention_id", "node_type", (-F.col("m.o.minus")).alias("node"), F.col("m.candidate_type").alias("candidate_type"))
+    fuzzy = supported(best, nodes, edges).select("mention_id", F.col("node").alias("fuzzy"))
+    j = first.join(vector, "mention_id", "left").join(fuzzy, "mention_id", "left")
+    last = F.when(F.lit(deferred) & ~F.col("from_code"), "deferred").otherwise("new")
+    match = F.when(F.col("exact").isNotNull(), "exact").when(F.col("alias").isNotNull(), "alias").when(F.col("vector").isNotNull(), "vector").when(F.col("fuzzy").isNotNull(), "fuzzy").otherwise(last)
+    j = j.select("mention_id", F.col("name").alias("_said"), F.coalesce("exact", "alias", "vector", "fuzzy").alias("node"), match.alias("match"))
+    return j.join(nodes.select(F.col("id").alias("node"), "name"), "node", "left").select("mention_id", "node", F.coalesce("name", "_said").alias("name"), "match")
+
+
+def upserted(mentions: DataFrame, found: DataFrame, nodes: DataFrame, aliases: DataFrame, first_id: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes and aliases after mentions (mention_id, name, node_type, ast_hash) were resolved (``found``: mention_id, node, match).
+
+    Each mention counts up its node; mentions that are new make one node for each lower-case name, with ids from ``first_id`` on in
+    order of names. A vector match of three characters or more gives its node an alias, unless the alias is taken. A node whose
+    code has another hash than before loses its summary. Set-based: mentions of one name meet in an aggregate, so no lock is needed.
+    """
+    m = mentions.join(found.select("mention_id", "node", "match"), "mention_id")
+    hit = m.filter("node IS NOT NULL").groupBy(F.col("node").alias("id")).agg(F.count("*").alias("_n"), F.max_by("ast_hash", F.when(F.col("ast_hash").isNotNull(), F.col("mention_id"))).alias("_hash"))
+    changed = F.col("_hash").isNotNull() & ~F.col("_hash").eqNullSafe(F.col("ast_hash"))
+    old = nodes.join(hit, "id", "left").withColumns({"mention_count": F.col("mention_count") + F.coalesce("_n", F.lit(0)), "summary": F.when(~changed, F.col("summary")), "ast_hash": F.coalesce("_hash", "ast_hash")}).select(*nodes.columns)
+    fresh = m.filter("match = 'new'").groupBy(F.lower(F.trim("name")).alias("key")).agg(F.min_by(F.struct(F.trim("name").alias("name"), "node_type", "ast_hash"), "mention_id").alias("r"), F.count("*").alias("n"))
+    # Numbered without a window over all: a place inside its range of names, and what the ranges before it hold.
+    ranges = fresh.repartitionByRange("key").sortWithinPartitions("key").withColumns({"_p": F.spark_partition_id(), "_k": F.monotonically_increasing_id()})
+    ranges = cut(ranges.withColumn("_k", F.col("_k") - F.shiftleft(F.col("_p").cast("long"), 33)))
+    sizes = ranges.groupBy("_p").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    new = ranges.join(F.broadcast(sizes), "_p").select((F.lit(first_id) + F.col("_before") + F.col("_k")).alias("id"), "r.name", "r.node_type", F.col("n").alias("mention_count"), F.lit(None).cast("string").alias("summary"), "r.ast_hash")
+    known = aliases.select(F.lower("alias").alias("_a")).distinct()
+    more = m.filter((F.col("match") == "vector") & (F.length(F.trim("name")) >= 3)).groupBy(F.lower(F.trim("name")).alias("_a")).agg(F.min_by(F.struct(F.trim("name").alias("alias"), F.col("node").alias("node_id")), "mention_id").alias("r"))
+    added = more.join(known, "_a", "left_anti").select("r.alias", "r.node_id")
+    return old.unionByName(new.select(*nodes.columns)), aliases.select("alias", "node_id").unionByName(added)
+
+
+def pending_resolved(pending: DataFrame, similarity: float = 0.85, least: int = 2, recall: float | None = None) -> DataFrame:
+    """id, canonical, noise of deferred names (id, confidence, embedding): groups connected by cosines of ``similarity`` or more; the
+    most confident one, ties by id, is a group's canonical name; names in no group of ``least`` are promoted to nodes of their own."""
+    pairs = relational.close_pairs(pending.select("id", "embedding"), pending.select("id", "embedding"), 1 - similarity, recall)
+    c = linked_clusters(pairs, pending).join(pending.select("id", "confidence"), "id")
+    best = c.groupBy("cluster").agg(F.max(F.struct("confidence", (-F.col("id")).alias("minus"))).alias("m"), F.count("*").alias("n"))
+    noise = F.col("n") < least
+    return c.join(best, "cluster").select("id", F.when(noise, F.col("id")).otherwise(-F.col("m.minus")).alias("canonical"), noise.alias("noise"))
+
+
+def statements_matched(new: DataFrame, old: DataFrame, similarity: float = 0.92, kept_words: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """(added, evicted) ids for a source extracted anew. ``new``: source_id, id, hash, embedding; ``old``: source_id, id, hash, embedding, content, span.
+
+    New statements are added unless their hash is there, or an old one of the source is nearer than ``similarity``. Old ones that are
+    neither an exact nor the nearest match of a new one go if at most ``kept_words`` of their long words are still in the span of
+    the new text that they came from.
+    """
+    o, n = old.select("source_id", F.col("id").alias("old_id"), "hash", F.col("embedding").alias("_o"), "content", "span"), new.select("source_id", "id", "hash", "embedding")
+    rest = n.join(o.select("source_id", "hash").distinct(), ["source_id", "hash"], "left_anti")
+    near = rest.filter("embedding IS NOT NULL").join(o.filter("_o IS NOT NULL").select("source_id", "old_id", "_o"), "source_id").withColumn("sim", V.cosine(F.col("embedding"), F.col("_o"))).filter(F.col("sim") > similarity)
+    best = near.groupBy("id").agg(F.max(F.struct(F.round("sim", 12).alias("sim"), (-F.col("old_id")).alias("minus"))).alias("m")).select("id", (-F.col("m.minus")).alias("old_id"))
+    added = rest.join(best, "id", "left_anti").select("source_id", "id")
+    unmatched = o.join(n.select("source_id", "hash").distinct(), ["source_id", "hash"], "left_anti").join(best.select("old_id").distinct(), "old_id", "left_anti")
+    long = F.filter(F.split(F.lower("content"), r"\s+"), lambda w: F.octet_length(w) > 3)
+    left = F.size(F.filter(long, lambda w: F.contains(F.lower("span"), w)))
+    evicted = unmatched.filter(F.coalesce(F.try_divide(left, F.size(long)), F.lit(0.0)) <= kept_words).select("source_id", F.col("old_id").alias("id"))
+    return added, evicted
+
+
 def exact_dedup(df: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key. An aggregate: a hot key costs one partial row from each task."""
     others = [c for c in df.columns if c != key]
@@ -121,11 +231,11 @@ def canonical(items: DataFrame, by: str = "n") -> DataFrame:
 
 
 def abbreviations(docs: DataFrame) -> DataFrame:
-    """doc_id, term, short: capitalised terms of several words whose initials stand in the document as a word."""
+    """doc_id, term, short: capitalised terms of several words whose initials stand in the document as a word. An article before a term is no part of it."""
     term = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b((?:\p{Lu}[\p{L}]+ ){1,5}\p{Lu}[\p{L}]+)\b"), 1))).alias("term")
-    t = docs.select("doc_id", "text", term)
+    t = docs.select("doc_id", "text", term).withColumn("term", F.regexp_replace("term", r"^(The|A|An) ", "")).filter(F.contains("term", F.lit(" ")))
     short = F.array_join(F.transform(F.split("term", " "), lambda w: F.substring(w, 1, 1)), "")
-    return t.withColumn("short", short).filter(F.array_contains(F.split("text", r"[^\p{L}\p{N}]+"), F.col("short"))).select("doc_id", "term", "short")
+    return t.withColumn("short", short).filter(F.array_contains(F.split("text", r"[^\p{L}\p{N}]+"), F.col("short"))).select("doc_id", "term", "short").distinct()
 
 
 def statement_diff(new: DataFrame, old: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -105,15 +105,42 @@ def structural(nodes: DataFrame, edges: DataFrame, query: str, iterations: int =
     return j.select("id", (F.col("score") / F.col("_m") * share).alias("score")).orderBy(F.desc(F.round("score", 12)), "id").limit(k)
 
 
-def expanded(fused: DataFrame, edges: DataFrame, top: int = 5) -> DataFrame:
+def activated(seeds: DataFrame, edges: DataFrame, per_seed: int = 5) -> DataFrame:
+    """id, weight: of each seed (id) the ``per_seed`` neighbours outside the seeds with the best effective confidence; a neighbour of several sums up."""
+    w = graph.effective("confidence")
+    e = edges.filter(~F.col("synthetic") & ~F.isnan(w) & (w >= 0))
+    both = e.select(F.col("src").alias("seed"), F.col("dst").alias("id"), w.alias("w"), F.col("id").alias("edge")).unionAll(e.select(F.col("dst"), F.col("src"), w, F.col("id")))
+    near = both.join(seeds.select(F.col("id").alias("seed")), "seed", "left_semi").join(seeds.select("id"), "id", "left_anti")
+    best = near.withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("w"), "id", "edge"))).filter(F.col("n") <= per_seed)
+    return best.groupBy("id").agg(F.sum("w").alias("weight"))
+
+
+def expanded(fused: DataFrame, edges: DataFrame, top: int = 5, per_seed: int = 5) -> DataFrame:
     """``fused`` (id, score) and the neighbours of its best: last score * 0.5 * summed effective confidence, 1 at most."""
     best = fused.orderBy(F.desc("score"), "id").limit(top)
-    w = graph.effective("confidence")
+    new = activated(F.broadcast(best), edges, per_seed).join(fused.select("id"), "id", "left_anti").join(F.broadcast(fused.agg(F.min("score").alias("_last"))))
+    return fused.select("id", "score").unionByName(new.select("id", (F.col("_last") * 0.5 * F.least("weight", F.lit(1.0))).alias("score")))
+
+
+def textually_expanded(queries: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:
+    """id, expanded: each query (id, text) with '[Context: name (relation, ...); ...]' of the entities it names and up to ``most`` relations of each.
+
+    Names of three bytes or more, in any case, as a run of characters. A name is looked up where its first word begins in the query,
+    or where it is a part of a longer word: by the three characters it begins with, so that no query meets every name.
+    """
+    named = nodes.select(F.col("id").alias("node"), "name", F.lower("name").alias("_low")).filter(F.octet_length("_low") >= 3)
+    at = F.transform(F.sequence(F.lit(1), F.greatest(F.length("_q") - 1, F.lit(1))), lambda i: F.substring("_q", i, 2))
+    q = queries.select(F.col("id").alias("query"), F.lower("text").alias("_q")).withColumn("_gram", F.explode(F.array_distinct(at)))
+    hits = q.join(named.withColumn("_gram", F.substring("_low", 1, 2)), "_gram").filter(F.contains("_q", F.col("_low"))).select("query", "node", "name").distinct()
     e = edges.filter(~F.col("synthetic"))
-    both = e.select(F.col("src").alias("id"), F.col("dst").alias("o"), w.alias("w")).unionAll(e.select(F.col("dst"), F.col("src"), w))
-    near = both.join(F.broadcast(best.select("id")), "id", "left_semi").groupBy(F.col("o").alias("id")).agg(F.sum("w").alias("w"))
-    new = near.join(fused.select("id"), "id", "left_anti").join(F.broadcast(fused.agg(F.min("score").alias("_last"))))
-    return fused.select("id", "score").unionByName(new.select("id", (F.col("_last") * 0.5 * F.least("w", F.lit(1.0))).alias("score")))
+    out = e.select(F.col("src").alias("node"), F.col("dst").alias("other"), "rel_type", F.lit(0).alias("side"), F.col("id").alias("edge"))
+    both = out.unionAll(e.select(F.col("dst"), F.col("src"), "rel_type", F.lit(1), F.col("id")))
+    rel = both.join(hits.select("node").distinct(), "node", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy("side", "edge"))).filter(F.col("n") <= most)
+    said = rel.join(nodes.select(F.col("id").alias("other"), F.col("name").alias("_o")), "other")
+    of_node = said.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", F.concat("rel_type", F.when(F.col("side") == 1, " of ").otherwise(" "), "_o").alias("t")))).alias("rels"))
+    part = F.concat("name", F.lit(" ("), F.array_join(F.transform("rels", lambda x: x["t"]), ", "), F.lit(")"))
+    parts = hits.join(of_node, "node").groupBy(F.col("query").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node", part.alias("t")))), lambda x: x["t"]), "; ").alias("_c"))
+    return queries.join(parts, "id", "left").select("id", F.concat("text", F.coalesce(F.concat(F.lit(" [Context: "), "_c", F.lit("]")), F.lit(""))).alias("expanded"))
 
 
 def context_of(ids: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:

@@ -77,18 +77,9 @@ def global_fallback(spark, sf):
     return curate.global_dimension(v.limit(0), v.limit(0), v.filter("label > 6"), probe(spark, sf), 12).select("id", "kind", F.round("score", 9).alias("score"))
 
 
-@query("code_paths", f"""{WITH}, p AS (SELECT entity_id AS id, uri, domains FROM extractions JOIN sources s ON s.id = chunk_id % 50), b AS (SELECT id, arg_min(uri, {{'c': CASE WHEN list_contains(domains, 'code') THEN 0 ELSE 1 END, 'u': uri}}) AS u FROM p GROUP BY 1)
+@query("code_paths", f"""{WITH}, p AS (SELECT entity_id AS id, uri, domains FROM extractions JOIN sources s ON s.id = chunk_id % (SELECT count(*) FROM sources)), b AS (SELECT id, arg_min(uri, {{'c': CASE WHEN list_contains(domains, 'code') THEN 0 ELSE 1 END, 'u': uri}}) AS u FROM p GROUP BY 1)
 SELECT n.id, CASE WHEN n.id % 7 = 0 THEN 'src/' || name ELSE u END AS path FROM nodes n LEFT JOIN b USING (id) WHERE node_type = 'technology'""")
 def code_paths(spark, sf):
-    n = kg.nodes(spark, sf).filter("node_type = 'technology'").withColumn("file_path", F.when(F.col("id") % 7 == 0, F.concat(F.lit("src/"), "name")))
-    s = kg.sources(spark, sf).select(F.col("id").alias("s"), "uri", "domains")
-    p = kg.extractions(spark, sf).select(F.col("entity_id").alias("id"), (F.col("chunk_id") % 50).alias("s")).join(s, "s")
-    return curate.code_paths(n, p)
-
-
-@query("code_paths_whole")
-def code_paths_whole(spark, sf):
-    """As code_paths, whose SQL keeps to 50 sources, over all sources."""
     n = kg.nodes(spark, sf).filter("node_type = 'technology'").withColumn("file_path", F.when(F.col("id") % 7 == 0, F.concat(F.lit("src/"), "name")))
     s = kg.sources(spark, sf)
     p = kg.extractions(spark, sf).select(F.col("entity_id").alias("id"), (F.col("chunk_id") % s.count()).alias("s"))
@@ -252,24 +243,10 @@ def internal_boost(spark, sf):
     return fusion.self_referential(r).select("id", F.round("score", 9).alias("score"))
 
 
-@query("community_articles", f"""WITH v AS (SELECT o_custkey % 200 AS source_id, (l_partkey % 5) AS community, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY n DESC, community) AS k FROM v), s AS (SELECT doc_id, text[1:60] AS t FROM documents)
-SELECT community, count(*) AS sources, sha256(string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id)) AS digest, 'Community ' || community || ' — Compiled Summary' AS title FROM r JOIN s ON doc_id = source_id WHERE k = 1 GROUP BY community""")
+@query("community_articles", """WITH v AS (SELECT l_orderkey % (SELECT count(*) FROM documents) AS source_id, l_partkey AS community, count(*) AS n FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY n DESC, community) AS k FROM v)
+SELECT community, count(*) AS sources, sha256(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id)) AS digest, 'Community ' || community || ' — Compiled Summary' AS title FROM r JOIN documents ON doc_id = source_id WHERE k = 1 GROUP BY community""")
 def community_articles(spark, sf):
-    o = kg.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 200).alias("source_id"))
-    votes = kg.table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_partkey") % 5).alias("community")).join(o, "l_orderkey")
-    won = resolve.majority(votes, "source_id", "community").select("source_id", "community")
-    t = kg.table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), F.substring("text", 1, 60).alias("t"))
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("source_id", "t"))), lambda x: x["t"])
-    a = won.join(t, "source_id").groupBy("community").agg(F.count("*").alias("sources"), texts.alias("texts")).select("community", "sources", chunking.article(F.col("texts"), F.col("community")).alias("a"))
-    return a.select("community", "sources", F.sha2("a.body", 256).alias("digest"), "a.title")
-
-
-@query("community_articles_whole")
-def community_articles_whole(spark, sf):
-    """As community_articles, whose SQL keeps to 200 sources and their first 60 characters, over all sources and whole texts.
-
-    Communities are by part, so that their number grows with the tables and an article doesn't.
-    """
+    """Communities are by part, so that their number grows with the tables and an article doesn't."""
     s = kg.sources(spark, sf)
     votes = kg.table(spark, sf, "lineitem").select((F.col("l_orderkey") % s.count()).alias("source_id"), F.col("l_partkey").alias("community"))
     won = resolve.majority(votes, "source_id", "community").select("source_id", "community")
@@ -362,10 +339,5 @@ def propagated_confidence(spark, sf):
 
 @query("deep_consolidation")
 def deep_consolidation(spark, sf):
-    """Trust, cores and communities, then the bridges between them, over one graph."""
-    n, e = kg.nodes(spark, sf), valid(spark, sf)
-    seeds = n.filter("node_type = 'component'").select("id", F.lit(1.0).alias("weight"))
-    trust = graph.rank(n, e, iterations=50, seeds=seeds, weight=graph.effective("confidence"), lose_unweighted=True)
-    groups = graph.communities(n, e, graph.cores(n, e)).select("id", "community")
-    bridges = graph.bridges(valid(spark, sf), members(spark, sf)).select("id", F.col("score").alias("bridge"))
-    return trust.join(groups, "id", "left").join(bridges, "id", "left").select("id", F.round("score", 9).alias("trust"), "community", F.round("bridge", 6).alias("bridge"))
+    """Trust, communities, betweenness, what to keep and the bridges between the communities, over one graph."""
+    return curate.consolidated(kg.nodes(spark, sf).withColumn("clearance", (F.col("node_type") == "component").cast("int")), valid(spark, sf))

@@ -1,15 +1,24 @@
-"""Cutting the lineage of iterative plans."""
+"""Cutting the lineage of iterative plans, and the folder that executors share."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; only a local master, as in tests, may do without."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the executors share")
+    return named or tempfile.mkdtemp(prefix="kgloom-")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Computes ``df`` into the session's shared checkpoint folder (one of its own only where none is set) and reads it from there."""
+    """Computes ``df`` into the session's shared checkpoint folder and reads it from there. Spark removes what is no longer used if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is true."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kgloom-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

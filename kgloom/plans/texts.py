@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -13,6 +11,7 @@ from ..sources import kgview as kg
 from ..streaming import sync
 from .core import LISTS, WITH, lists, vectors
 from .knowledge import TRI, members, valid
+from .lineage import shared_folder
 from .registry import query
 
 
@@ -142,8 +141,7 @@ def changes_streamed(spark, sf):
     schema = kg.table(spark, sf, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").option("recursiveFileLookup", "true").load(sf)
     stream = raw.select(F.col("event_id").alias("seq_id"), F.col("user_id").alias("entity_id"), F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"), F.col("props").alias("payload"))
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kgloom-")
-    return sync.live(spark.read.parquet(sync.sync(spark, stream, shared))).select("entity_id", "seq_id", "op", "payload")
+    return sync.live(spark.read.parquet(sync.sync(spark, stream, shared_folder(spark)))).select("entity_id", "seq_id", "op", "payload")
 
 
 JOBS = "j AS (SELECT event_id AS id, event_id // 4 AS source_id, CASE event_type WHEN 'click' THEN 'pending' WHEN 'view' THEN 'running' WHEN 'error' THEN 'dead' ELSE 'succeeded' END AS status, ts AS next_due, event_id % 5 AS attempt, value FROM events)"
@@ -237,8 +235,9 @@ def fuzzy_names(spark, sf):
 
 
 @query("query_expansion", f"""{WITH}, {LISTS}, f AS (SELECT id * 10 + 2 AS id, sum(w / (60 + rank)) AS score FROM ranked JOIN weights USING (dimension) GROUP BY 1), b AS (SELECT id FROM f ORDER BY score DESC, id LIMIT 5),
-n AS (SELECT dst AS id, confidence FROM edges WHERE src IN (SELECT id FROM b) UNION ALL SELECT src, confidence FROM edges WHERE dst IN (SELECT id FROM b)),
-x AS (SELECT id, (SELECT min(score) FROM f) * 0.5 * least(sum(confidence), 1) AS score FROM n WHERE id NOT IN (SELECT id FROM f) GROUP BY id) SELECT id, round(score, 9) AS score FROM (FROM f UNION ALL FROM x)""")
+m AS (SELECT src AS seed, dst AS id, confidence, id AS edge FROM edges UNION ALL SELECT dst, src, confidence, id FROM edges),
+n AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY confidence DESC, id, edge) AS k FROM m WHERE seed IN (SELECT id FROM b) AND id NOT IN (SELECT id FROM b)),
+x AS (SELECT id, (SELECT min(score) FROM f) * 0.5 * least(sum(confidence), 1) AS score FROM n WHERE k <= 5 AND id NOT IN (SELECT id FROM f) GROUP BY id) SELECT id, round(score, 9) AS score FROM (FROM f UNION ALL FROM x)""")
 def query_expansion(spark, sf):
     f = fusion.rrf(fusion.ranked(lists(spark, sf))).select((F.col("id") * 10 + 2).alias("id"), "score")
     return retrieve.expanded(f, kg.edges(spark, sf)).withColumn("score", F.round("score", 9))
@@ -319,9 +318,3 @@ def canonical_relations(spark, sf):
     known = e.groupBy("rel_type").agg(F.count("*").alias("n"))
     names = spark.createDataFrame([("Supply",), ("located in",), ("part-of",), ("unheard",)], "name string")
     return relational.canonical_rel(names, known)
-
-
-@query("abbreviation_links")
-def abbreviation_links(spark, sf):
-    d = kg.table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("The Machine Learning Group, or MLG, of "), "c_name").alias("text"))
-    return resolve.abbreviations(d)

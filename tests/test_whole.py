@@ -72,10 +72,32 @@ def test_whole_graph(spark, whole):
     assert any(s % 10 == 2 and d % 10 == 1 for s, d, _ in es)
     run = lambda name: pairs(catalog.QUERIES[name](spark, SF))
     adj, core = near(es), plain_cores(ns, es)
-    assert run("weak_components_whole") == {i: min(distances(adj, i)) for i in ns}
-    assert run("core_numbers_whole") == core and len(set(core.values())) > 1
-    assert run("communities_whole") == plain_communities(ns, es, core)
-    assert run("betweenness_whole") == pytest.approx(plain_betweenness(ns, es), abs=1e-11)
+    assert run("weak_components") == {i: min(distances(adj, i)) for i in ns}
+    assert run("core_numbers") == core and len(set(core.values())) > 1
+    assert run("communities") == plain_communities(ns, es, core)
+    assert run("betweenness") == pytest.approx(plain_betweenness(ns, es), abs=1e-11)
+
+
+def test_weighted_cores(spark):
+    """Peeling one by one by the whole part of the weighted degree."""
+    import random
+
+    rng = random.Random(4)
+    for n in (2, 6, 25):
+        es = [(rng.randrange(n), rng.randrange(n), rng.choice([0.2, 0.5, 1.0, 1.7])) for _ in range(4 * n)]
+        left, w, core, level = set(range(n)), defaultdict(float), {}, 0
+        for a, b, x in es:
+            if a != b:
+                w[a, b] += x
+                w[b, a] += x
+        while left:
+            d = {v: int(sum(w[v, u] for u in left if u != v) + 1e-9) for v in left}
+            v = min(left, key=lambda v: (d[v], v))
+            level = max(level, d[v])
+            core[v] = level
+            left.remove(v)
+        frame = spark.createDataFrame(es, "src long, dst long, weight double")
+        assert pairs(graph.cores(spark.range(n), frame, "weight")) == core
 
 
 def test_consolidation_and_graph_dimension_see_the_whole_graph(spark, whole):
@@ -96,11 +118,11 @@ def test_articles_and_paths_of_all_sources(spark):
     for i in sorted(votes):
         groups[min(votes[i], key=lambda c: (-votes[i][c], c))].append(s[i]["content"])
     want = {(c, len(t), hashlib.sha256("\n\n---\n\n".join(t).encode()).hexdigest()) for c, t in groups.items()}
-    got = catalog.QUERIES["community_articles_whole"](spark, SF).collect()
+    got = catalog.QUERIES["community_articles"](spark, SF).collect()
     assert {(r["community"], r["sources"], r["digest"]) for r in got} == want and sum(r["sources"] for r in got) == len(s)
     first = lambda i: min((("code" not in s[x]["domains"], s[x]["uri"]) for x in of[i]), default=(0, None))[1]
     names = {r["id"]: r["name"] for r in kg.nodes(spark, SF).collect() if r["id"] % 10 == 1}
-    assert pairs(catalog.QUERIES["code_paths_whole"](spark, SF)) == {i: f"src/{n}" if i % 7 == 0 else first(i) for i, n in names.items()}
+    assert pairs(catalog.QUERIES["code_paths"](spark, SF)) == {i: f"src/{n}" if i % 7 == 0 else first(i) for i, n in names.items()}
 
 
 def test_ranks_of_all_rounds(spark, whole):
@@ -108,9 +130,9 @@ def test_ranks_of_all_rounds(spark, whole):
     flat, own = dict.fromkeys(ns, 1 / len(ns)), lambda **of: {i: of.get(f"n{i}", 0.0) for i in ns}
     run = lambda name: pairs(catalog.QUERIES[name](spark, SF))
     plain = rank(ns, es, 0.85, 20, flat, lambda e: 1, False)
-    assert run("pagerank_whole") == pytest.approx(plain, abs=1e-8)
-    assert run("personalised_pagerank_whole") == pytest.approx(rank(ns, es, 0.85, 20, own(n12=1 / 3, n22=1 / 3, n32=1 / 3), lambda e: 1, False), abs=1e-8)
-    assert run("trust_rank_whole") == pytest.approx(rank(ns, es, 0.85, 50, own(n12=0.75, n22=0.25), lambda e: e[2], True), abs=1e-8)
+    assert run("pagerank") == pytest.approx(plain, abs=1e-8)
+    assert run("personalised_pagerank") == pytest.approx(rank(ns, es, 0.85, 20, own(n12=1 / 3, n22=1 / 3, n32=1 / 3), lambda e: 1, False), abs=1e-8)
+    assert run("trust_rank") == pytest.approx(rank(ns, es, 0.85, 50, own(n12=0.75, n22=0.25), lambda e: e[2], True), abs=1e-8)
     names = {r["id"]: r["name"].lower() for r in kg.nodes(spark, SF).collect()}
     most = max(plain.values())
     got = run("structural_dimension")
@@ -133,7 +155,7 @@ def test_closure_at_the_fixed_point(spark):
             for a in on[t]:
                 left[t] *= 0.0 if a % 10 == 0 else max(0.0, 1 - now[a] * (1 if a % 10 == 1 else 0.3) * size[a] / 50)
         now = {i: now[i] + 0.8 * (p0[i] * left[i] - now[i]) for i in now}
-    assert pairs(catalog.QUERIES["epistemic_closure_whole"](spark, SF)) == pytest.approx(now, abs=1e-5)
+    assert pairs(catalog.QUERIES["epistemic_closure"](spark, SF)) == pytest.approx(now, abs=1e-5)
 
 
 def test_long_paths(spark):
