@@ -61,7 +61,7 @@ def on_batches(df: DataFrame, make: Callable[[list[list]], list[list]], schema:
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of about ``most_bytes`` (one row at least), so that memory doesn't hang on the rows a batch holds."""
     step = max(1, int(batch.num_rows * most_bytes / max(batch.nbytes, 1)))
     for k in range(0, batch.num_rows, step):

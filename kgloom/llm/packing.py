@@ -59,7 +59,7 @@ class WordTokenizer:
 
     held: dict[str, WordTokenizer] = {}
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -115,7 +115,7 @@ def pieces(docs: DataFrame, path: str | None = None, with_ids: bool = False) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, end = WordTokenizer.at(path), END.to_bytes(4, "little")
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 1 << 19):
                 ids, texts = (c.to_pylist() for c in part.columns)
                 rows = []
                 for i, data in zip(ids, tok.encode([t or "" for t in texts]), strict=True):

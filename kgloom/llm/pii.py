@@ -17,7 +17,6 @@ import hashlib
 import re
 from functools import cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -161,9 +160,10 @@ def masked(text: str | None) -> str | None:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with its personal data masked in ``text``; n_chars, if there, follows."""
 
-    @F.pandas_udf("string")
-    def mask(texts: pd.Series) -> pd.Series:
-        return texts.map(masked, na_action="ignore")
+    @F.arrow_udf("string")
+    def mask(texts: pa.Array) -> pa.Array:
+        parts = [pa.array([masked(t) for t in texts.slice(k, 256).to_pylist()], pa.string()) for k in range(0, len(texts), 256)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     out = docs.withColumn("text", mask("text"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
