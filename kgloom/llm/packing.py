@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
@@ -47,27 +48,61 @@ _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\t\n\r\x20{_L}{_N
 _OTHER = re.compile("[^\t\n\r\x20-\x7e¡-įı-ſ]")
 
 
+#: Stands for a word's end in ``tiktoken``'s bytes. Texts with this character don't come there.
+_END_OF_WORD = b"\0"
+
+
+def _bytes_of_letters() -> dict[str, int]:
+    """The letters that byte-level vocabularies write bytes with: printable ones as they are, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
+
+
+def merge_ranks(vocab: dict[str, int]) -> dict[bytes, int]:
+    """Byte-pair ranks (ids) of a vocabulary of word-end BPE whose ids go by the order of merges."""
+    of = _bytes_of_letters()
+    spelled = {w: i for w, i in vocab.items() if all(c in of for c in w.removesuffix("</w>"))}
+    return {bytes(of[c] for c in w.removesuffix("</w>")) + _END_OF_WORD * w.endswith("</w>"): i for w, i in spelled.items() if w.removesuffix("</w>") != chr(256)}
+
+
+class _Words(dict):
+    """Ids of words, as bytes. A word that isn't there is taken over from the elder memo, or encoded."""
+
+    def __init__(self, piece, elder: dict[str, bytes]):
+        self.piece, self.elder = piece, elder
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.elder.get(word) or array("I", self.piece(word.encode() + _END_OF_WORD)).tobytes()
+        if len(word) <= KEPT_CHARS:
+            self[word] = out
+        return out
+
+
 class WordTokenizer:
     """The ids that ``tokenizers`` gives for a vocabulary of word-end BPE, with a memo of words.
 
     Such a vocabulary never merges over the bounds of words, so the ids of a text are those of its words. Texts of
-    Latin letters are taken apart here and only unknown words go to ``tokenizers``; any other text goes there whole.
+    Latin letters are taken apart here, and a word that isn't in the memo goes to the byte-pair merging of ``tiktoken``; any other
+    text goes to ``tokenizers`` whole. The two merge alike if ids go by the order of merges and each entry of the vocabulary
+    comes out as itself (a test checks this): two neighbours that make up an entry are then always the pair it is merged from.
     At ``most`` words the memo becomes the elder one, from which words that come again are taken over; so it forgets
-    rare words; words of more than ``KEPT_CHARS`` characters are forgotten at once. So its memory is bounded in bytes, and no
+    rare words; words of more than ``KEPT_CHARS`` characters aren't kept. So its memory is bounded in bytes, and no
     result changes.
     """
 
     held: dict[str, WordTokenizer] = {}
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 50_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.of = Tokenizer.from_file(path)
-        self.most, self.memo, self.elder = most, {}, {}
-        vocab = self.of.get_vocab()
-        self.last = np.zeros(max(vocab.values()) + 1, bool)
-        self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        self.of, self.most = Tokenizer.from_file(path), most
+        special = {t.content for t in self.of.get_added_tokens_decoder().values()}
+        ranks = merge_ranks({w: i for w, i in self.of.get_vocab().items() if w not in special})
+        ranks[_END_OF_WORD] = max(ranks.values()) + 1  # a single byte needs a rank; words never end in it
+        self.memo = _Words(tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece, {})
 
     @classmethod
     def at(cls, path: str) -> WordTokenizer:
@@ -75,31 +110,17 @@ class WordTokenizer:
             cls.held[path] = cls(path)
         return cls.held[path]
 
-    def _learn(self, words: list[str]) -> None:
-        ids = np.array(self.of.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
-        data, begin = ids.tobytes(), 0
-        for w, e in zip(words, ends.tolist(), strict=True):
-            self.memo[w] = data[begin:e]
-            begin = e
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
-        split = [None if "<|" in t or _OTHER.search(t) else _WORD.findall(t.lower()) for t in texts]
-        known = set().union(*filter(None, split))
-        new = known.difference(self.memo)
-        if len(new) + len(self.memo) > self.most:
-            self.memo, self.elder = {}, self.memo
-            new = known
-        again = new.intersection(self.elder)
-        self.memo |= {w: self.elder[w] for w in again}
-        if new := new.difference(again):
-            self._learn(list(new))
-        get, out = self.memo.__getitem__, []
-        for t, ws in zip(texts, split, strict=True):
-            out.append(np.array(self.of.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if ws is None else b"".join(map(get, ws)))
-        for w in [w for w in new if len(w) > KEPT_CHARS]:
-            del self.memo[w]
+        out = []
+        for t in texts:
+            if "<|" in t or _OTHER.search(t):
+                out.append(np.array(self.of.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+                continue
+            if len(self.memo) > self.most:
+                self.memo.elder = {}
+                self.memo = _Words(self.memo.piece, self.memo)
+            out.append(b"".join(map(self.memo.__getitem__, _WORD.findall(t.lower()))))
         return out
 
 

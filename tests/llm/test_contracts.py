@@ -246,6 +246,34 @@ def test_tokenizer_of_every_character(tokenizer):
             assert np.frombuffer(data, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_vocabulary_entries_come_out_as_themselves():
+    """What the tokenizer's docstring needs: ids by the order of merges, and each entry merges to itself."""
+    import json
+
+    model = json.load(open(packing.vocabulary("word_bpe_49k.json")))["model"]
+    vocab, rank = model["vocab"], {tuple(m): k for k, m in enumerate(model["merges"])}
+    assert all(vocab[a + b] == vocab_id for (a, b), vocab_id in zip(rank, range(512, 512 + len(rank))))
+    for word in vocab:
+        end = word.endswith("</w>") and word != "</w>"
+        parts = list(word.removesuffix("</w>") if end else word)
+        parts[-1] += "</w>" * end
+        while len(parts) > 1:
+            best = min(range(len(parts) - 1), key=lambda k: (rank.get((parts[k], parts[k + 1]), 1 << 30), k))
+            if (parts[best], parts[best + 1]) not in rank:
+                break
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        assert parts == [word], word
+    assert sorted(packing.merge_ranks(vocab).values())[-1] == len(vocab) - 1 and len(packing.merge_ranks(vocab)) >= len(vocab) - 2
+
+
+def test_tokenizer_of_rare_words(tokenizer):
+    tok, rng = packing.WordTokenizer(packing.vocabulary("word_bpe_49k.json"), most=200), random.Random(12)
+    for _ in range(300):
+        t = " ".join("".join(rng.choice("aeinrstlhé'ßA.,-_1²\x7f") for _ in range(rng.choice([1, 3, 8, 20, 150]))) for _ in range(30))
+        assert np.frombuffer(tok.encode([t])[0], "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+    assert len(tok.memo) + len(tok.memo.elder) < 1_500
+
+
 def check_packing(out, rows, tokenizer):
     ids = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for _, t in rows]
     want = Counter()
