@@ -168,4 +168,4 @@ def snippet(content: Column, term: Column, window: int = 200) -> Column:
     begin = F.greatest(at - window // 2, F.lit(1))
     part = F.substring(content, begin, F.lit(window))
     part = F.when(begin > 1, F.concat(F.lit("..."), F.regexp_replace(part, r"^\S{0,29}\s+", ""))).otherwise(part)
-    return F.when(begin + window <= F.length(content), F.concat(F.regexp_replace(part, r"\s+\S{0,29}$", ""), F.lit("..."))).otherwise(part)
+    return F.when(begin + window <= F.length(content), F.concat(F.regexp_replace(part, r"\s+\S{0,29}\z", ""), F.lit("..."))).otherwise(part)

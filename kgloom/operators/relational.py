@@ -205,6 +205,15 @@ def rules_matched(sources: DataFrame, rules: DataFrame) -> DataFrame:
     return got.select("id", F.array_distinct(F.transform("p", lambda x: x["domain"])).alias("domains"))
 
 
+def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
+    """x, y, s: Jaccard's coefficient of the words of texts (id, text) on the left and right that share a word; by an equi join on words."""
+    of = lambda df, name: df.select(F.col("id").alias(name), F.explode(F.array_distinct(T.words(F.col("text")))).alias("w"))
+    a, b = of(left, "x"), of(right, "y")
+    n = lambda df, key, size: df.groupBy(key).agg(F.count("*").alias(size))
+    j = a.join(b, "w").groupBy("x", "y").agg(F.count("*").alias("k")).join(n(a, "x", "nx"), "x").join(n(b, "y", "ny"), "y")
+    return j.select("x", "y", (F.col("k") / (F.col("nx") + F.col("ny") - F.col("k"))).alias("s"))
+
+
 def parent_prefix(chunks: DataFrame, size: int = 200) -> DataFrame:
     """Each chunk with the start of its parent's text."""
     parents = chunks.select(F.col("id").alias("parent_id"), F.substring("content", 1, size).alias("prefix"))

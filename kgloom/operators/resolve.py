@@ -165,15 +165,20 @@ def novel(statements: DataFrame, threshold: float = 0.92) -> DataFrame:
 
     def keep(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("ordinal", kind="stable")
-        held, rows = np.empty((0, 0)), []
+        held, n, rows = np.empty((16, 0)), 0, []
         for k, e in enumerate(g["embedding"]):
             if e is None:
                 rows.append(k)
                 continue
             v = np.asarray(e, float)
             v = v / (np.linalg.norm(v) or 1.0)
-            if not len(held) or (held @ v).max() < threshold:
-                held = v[None] if not len(held) else np.vstack([held, v])
+            if not n:
+                held = np.empty((16, len(v)))
+            if not n or (held[:n] @ v).max() < threshold:
+                if n == len(held):
+                    held = np.concatenate([held, np.empty_like(held)])
+                held[n] = v
+                n += 1
                 rows.append(k)
         return g.iloc[rows]
 
@@ -191,21 +196,32 @@ def clustered(statements: DataFrame, threshold: float = 0.75, least: int = 2) ->
         x = np.array([np.asarray(e, float) for e in g["embedding"]])
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         sim = x @ x.T
-        groups = [[k] for k in range(len(g))]
-        link = sim.copy()
+        # Chains of nearest neighbours: a pair that is nearest to each other merges. Complete linkage only falls by merging, so that a
+        # cluster whose nearest is below the threshold is done. Squares of the source's statements in time and memory.
+        groups = {k: [k] for k in range(len(g))}
+        link, found, chain = sim.copy(), [], []
         np.fill_diagonal(link, -2)
-        alive = np.ones(len(g), bool)
-        while True:
-            k = int(np.argmax(np.where(alive[:, None] & alive[None], link, -2)))
-            a, b = divmod(k, len(g))
-            if not alive.any() or link[a, b] < threshold or not (alive[a] and alive[b]):
-                break
-            a, b = min(a, b), max(a, b)
-            groups[a] += groups[b]
-            alive[b] = False
-            link[a] = link[:, a] = np.minimum(link[a], link[b])
-            link[a, a] = -2
-        found = [groups[k] for k in np.flatnonzero(alive)]
+        while groups:
+            if not chain:
+                chain = [min(groups)]
+            a = chain[-1]
+            b = int(np.argmax(link[a]))
+            if len(chain) > 1 and link[a, chain[-2]] >= link[a, b]:
+                b = chain[-2]
+            if link[a, b] < threshold:
+                found.append(groups.pop(a))
+                link[a] = link[:, a] = -2
+                chain = []
+            elif len(chain) > 1 and b == chain[-2]:
+                a, b = min(a, b), max(a, b)
+                groups[a] += groups.pop(b)
+                link[a] = link[:, a] = np.minimum(link[a], link[b])
+                link[b] = link[:, b] = -2
+                link[a, a] = -2
+                chain = chain[:-2]
+            else:
+                chain.append(b)
+        found.sort(key=min)
         large = [c for c in found if len(c) >= least] or found
         for c in found:
             if len(c) < least and c not in large:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 from operator import add, and_, or_
 
@@ -156,33 +157,50 @@ def low_quality(content: Column) -> Column:
     return T.any_of(T.metadata_only(content), T.boilerplate_heavy(content), T.author_block(content), T.bibliography_entry(content), T.reference_section(content), T.title_only(content))
 
 
-def search(lists: DataFrame, items: DataFrame, edges: DataFrame | None = None, strategy: str = "balanced", limit: int = 10, least_confidence: float | None = None, source_types: list[str] | None = None) -> DataFrame:
-    """The whole search over ranked lists (dimension, id, score): gate, fuse, expand, enrich from ``items`` (id, name, content, uri, result_type,
-    source_type, confidence, named), demote, drop poor texts, filter, diversify, boost, cut.
+def search(lists: DataFrame, items: DataFrame, edges: DataFrame | None = None, strategy: str | None = None, limit: int = 10, least_confidence: float | None = None, source_types: list[str] | None = None, rerank: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The whole search over ranked lists (dimension, id, score): choose a strategy by the skew of the vector list if none is given, gate, fuse,
+    abstain, expand, enrich from ``items`` (id, name, content, uri, result_type, source_type, confidence, named and, if known, internal and
+    entity_class), demote, lift internal ones, blend with ``rerank`` (a score of the content), drop poor texts, filter, diversify, boost, cut.
 
     The fused rows, 5 * limit at most or 50, come to the driver and go back as a filter on ids: it reaches the scan of the items, and texts are judged
     only where it holds. Without it the tests of texts would be pushed below the join, to all items.
     """
     lists = cut(lists)  # a few rows that took long to find, and are used several times
+    if strategy is None:
+        found = fusion.route(fusion.gini(lists.filter("dimension = 'vector'"), "dimension")).first()
+        strategy = found["strategy"] if found else "balanced"
     gated = fusion.gate(lists, strategy)
     norm = fusion.normalised(lists).join(F.broadcast(gated.select("dimension", "weight")), "dimension")
     active = gated.agg(F.count_if(F.col("weight") > 0).alias("_active"))
     fused = norm.groupBy("id").agg(F.sum(F.col("weight") * F.col("norm")).alias("s"), F.countDistinct("dimension").alias("dims")).join(F.broadcast(active))
-    fused = fused.select("id", "dims", (F.col("s") * F.when(F.col("_active") > 1, 0.5 + 0.5 * F.col("dims") / F.col("_active")).otherwise(1.0)).alias("score"))
+    fused = cut(fused.select("id", "dims", (F.col("s") * F.when(F.col("_active") > 1, 0.5 + 0.5 * F.col("dims") / F.col("_active")).otherwise(1.0)).alias("score")))
+    abstain = fusion.abstains(fused).first()["abstain"]
     if edges is not None:
         fused = expanded(fused, edges).join(fused.select("id", "dims"), "id", "left").withColumn("dims", F.coalesce("dims", F.lit(1)))
     wanted = max(5 * limit, 50) if least_confidence is not None or source_types else max(limit * 3, 30)
-    best = fused.orderBy(F.desc("score"), "id").limit(wanted)
+    best = fused.orderBy(F.desc("score"), "id").limit(0 if abstain else wanted)
     rows = best.collect()
     r = items.filter(F.col("id").isin([x["id"] for x in rows])).join(F.broadcast(items.sparkSession.createDataFrame(rows, best.schema)), "id")
     s = fusion.demoted(F.col("score"), F.col("result_type"), F.col("dims"), F.col("named"))
     r = r.withColumn("score", s).withColumn("score", fusion.code_demoted(F.col("score"), F.col("result_type"), F.col("source_type")))
+    if "internal" in items.columns:
+        r = fusion.self_referential(r)
+    if rerank is not None:
+        r = r.withColumn("_r", rerank(F.col("content"))).withColumn("_best", F.max("_r").over(Window.partitionBy(F.lit(1))))  # as many rows as were wanted
+        r = r.withColumn("score", fusion.blended(F.col("score"), F.col("_r"), F.col("_best"))).drop("_r", "_best")
     r = r.filter((F.col("result_type") == "node") | ~low_quality(F.col("content")))
     r = fusion.post_filters(r, least_confidence, None, None, source_types)
     r = fusion.diversified(r).withColumn("score", fusion.boosted(F.col("score"), F.col("confidence")))
     return r.orderBy(F.desc("score"), "id").limit(limit)
 
 
+def searched(query: DataFrame, cache: DataFrame, results: DataFrame, now: Column, run: Callable[[], DataFrame], ttl: int = 3600, within: float = 0.05) -> tuple[DataFrame, bool]:
+    """The results of one query (id, strategy, embedding) and whether they came from the cache (id, strategy, embedding, at), whose ``results`` are
+    stored under cache_id; otherwise what ``run`` finds, for the caller to store."""
+    hit = cached(query, cache, now, ttl, within).first()
+    return (results.filter(F.col("cache_id") == hit["cache_id"]).drop("cache_id"), True) if hit else (run(), False)
+
+
 def cached(queries: DataFrame, cache: DataFrame, now: Column, ttl: int = 3600, within: float = 0.05) -> DataFrame:
     """query_id, cache_id: the nearest cached query of the same strategy, near and young enough. The cache is bounded at 10,000 rows."""
     from ..functions import vector as V

@@ -14,6 +14,40 @@ DEFINED_BY = {"function": "fn ", "struct": "struct ", "enum": "enum ", "trait":
 SHORT = 50
 
 
+def data_health(nodes: DataFrame, edges: DataFrame, sources: DataFrame, chunks: DataFrame, extractions: DataFrame) -> DataFrame:
+    """One row of counters: superseded sources and their chunks, nodes that nothing was extracted for (and those of them with edges), sources that share
+    a URI, nodes without a vector, code and sources without a summary. ``nodes`` has embedding and summary; ``sources`` superseded_by and summary."""
+    none = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    old = F.col("superseded_by").isNotNull()
+    ends = edges.select(F.col("src").alias("id")).unionAll(edges.select("dst")).distinct()
+    orphans = nodes.join(extractions.select(F.col("entity_id").alias("id")).distinct(), "id", "left_anti").select("id")
+    once = orphans.join(ends.withColumn("_e", F.lit(1)), "id", "left").agg(F.count("*").alias("orphan_nodes"), F.count("_e").alias("orphan_nodes_with_edges"))
+    rows = [
+        sources.agg(F.count_if(old).alias("superseded_sources"), F.count_if(~old & none("summary")).alias("unsummarized_sources")),
+        chunks.join(sources.filter(old).select(F.col("id").alias("source_id")), "source_id", "left_semi").agg(F.count("*").alias("superseded_chunks")),
+        once,
+        sources.filter(~old & F.col("uri").isNotNull()).groupBy("uri").count().filter("count > 1").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("duplicate_sources")),
+        nodes.agg(F.count_if(F.col("embedding").isNull()).alias("unembedded_nodes"), F.count_if((F.col("entity_class") == "code") & none("summary")).alias("unsummarized_code")),
+    ]
+    first, *rest = rows
+    for r in rest:
+        first = first.join(F.broadcast(r))
+    return first
+
+
+def whitespace(sources: DataFrame, mentions: DataFrame, nodes: DataFrame, bridges: DataFrame, least: int = 1, most: int = 10) -> DataFrame:
+    """source_id, nodes, representatives, score of the research sources (id) none of whose nodes has a bridge edge (bridges: src or dst): ``most`` node names by
+    mentions; score is the share of such sources among those with ``least`` nodes or more. ``mentions``: source_id, id."""
+    ends = bridges.select(F.col("src").alias("id")).unionAll(bridges.select("dst")).distinct().withColumn("_b", F.lit(1))
+    m = mentions.select("source_id", "id").distinct().join(sources.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    per = m.join(ends, "id", "left").groupBy("source_id").agg(F.count("*").alias("nodes"), F.count("_b").alias("_bridged")).filter(F.col("nodes") >= least)
+    share = per.agg((F.count_if(F.col("_bridged") == 0) / F.count("*")).alias("score"))
+    gaps = per.filter("_bridged = 0").select("source_id", "nodes")
+    best = m.join(gaps.select("source_id"), "source_id", "left_semi").join(nodes.select("id", "name", "mention_count"), "id").withColumn("k", F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("mention_count"), "id"))).filter(F.col("k") <= most)
+    names = best.groupBy("source_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "name"))), lambda x: x["name"]), ", ").alias("representatives"))
+    return gaps.join(names, "source_id").join(F.broadcast(share)).select("source_id", "nodes", "representatives", "score")
+
+
 def edges_corrected(edges: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges, and an audit (target, action, changes as JSON), after corrections (id, rel_type, confidence; null leaves a value).
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import opinion as O
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import fusion, relational
+from ..operators import fusion, graph, relational
 from ..sources import kgview as kg
 from .registry import query
 
@@ -153,16 +153,16 @@ def matryoshka(spark, sf):
     return v.select("id", F.round(V.norm(F.col("v")), 6).alias("norm"), F.round(F.get("v", F.lit(0)), 6).alias("x"))
 
 
-@query("close_pairs", "SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(greatest(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0), 6) AS distance FROM embeddings a JOIN embeddings b ON a.label = 0 AND b.label = 1 WHERE 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) < 0.8")
+@query("close_pairs", "SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(greatest(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0), 6) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id WHERE 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) < 0.8")
 def close_pairs(spark, sf):
     v = vectors(spark, sf)
-    return relational.close_pairs(v.filter("label = 0"), v.filter("label = 1"), 0.8).withColumn("distance", F.round("distance", 6))
+    return relational.close_pairs(v.filter("id % 50 = 0"), v, 0.8).filter("left_id <> right_id").withColumn("distance", F.round("distance", 6))
 
 
-@query("nearest_concept", "SELECT a.vec_id AS left_id, arg_min(b.vec_id, {'d': round(greatest(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0), 12), 'r': b.vec_id}) AS right_id, round(min(greatest(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0)), 6) AS distance FROM embeddings a JOIN embeddings b ON a.label = 2 AND b.label = 3 GROUP BY 1")
+@query("nearest_concept", "SELECT a.vec_id AS left_id, arg_min(b.vec_id, {'d': round(greatest(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0), 12), 'r': b.vec_id}) AS right_id, round(min(greatest(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0)), 6) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND b.vec_id % 50 <> 0 GROUP BY 1")
 def nearest_concept(spark, sf):
     v = vectors(spark, sf)
-    return relational.nearest(v.filter("label = 2"), v.filter("label = 3")).withColumn("distance", F.round("distance", 6))
+    return relational.nearest(v.filter("id % 50 = 0"), v.filter("id % 50 <> 0")).withColumn("distance", F.round("distance", 6))
 
 
 @query("sources_page", f"{WITH} SELECT id, title FROM sources ORDER BY id LIMIT 20 OFFSET 40")
@@ -235,9 +235,12 @@ def health_report(spark, sf):
     return relational.health(kg.nodes(spark, sf), kg.edges(spark, sf), kg.sources(spark, sf), kg.extractions(spark, sf))
 
 
-@query("graph_stats", f"{WITH}, n AS (SELECT count(*) AS n FROM nodes), e AS (SELECT count(*) AS e FROM edges) SELECT n AS nodes, e AS edges, 0::BIGINT AS synthetic, e AS semantic, round(e / (n * (n - 1)), 9) AS density FROM n, e")
+@query("graph_stats", f"""{WITH.replace('WITH', 'WITH RECURSIVE', 1)}, near AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), c(id, root) USING KEY (id) AS (SELECT id, id FROM nodes UNION SELECT near.b, min(c.root) FROM c JOIN near ON near.a = c.id JOIN recurring.c AS k ON k.id = near.b WHERE c.root < k.root GROUP BY near.b),
+n AS (SELECT count(*) AS n FROM nodes), e AS (SELECT count(*) AS e FROM edges) SELECT n AS nodes, e AS edges, 0::BIGINT AS synthetic, e AS semantic, round(e / (n * (n - 1)), 9) AS density, (SELECT count(DISTINCT root) FROM c) AS components FROM n, e""")
 def graph_stats(spark, sf):
-    return relational.stats(kg.nodes(spark, sf), kg.edges(spark, sf)).withColumn("density", F.round("density", 9))
+    n, e = kg.nodes(spark, sf), kg.edges(spark, sf)
+    parts = graph.membership(n, e).agg(F.countDistinct("component").alias("components"))
+    return relational.stats(n, e).withColumn("density", F.round("density", 9)).join(F.broadcast(parts))
 
 
 @query("invalidated_by_type", f"{WITH} SELECT rel_type, count(*) AS n FROM edges WHERE invalid GROUP BY rel_type ORDER BY n DESC, rel_type LIMIT 10")
@@ -363,11 +366,10 @@ def opinion_algebra(spark, sf):
     return t.select("id", "l_partkey", "l_suppkey", r(cum["b"], "cum_b"), r(cum["u"], "cum_u"), r(avg["u"], "avg_u"), r(disc["b"], "disc_b"), r(disc["u"], "disc_u"), r(ds["b"], "ds_b"), r(O.projected(x), "p"), r(O.attacked(O.projected(x), F.lit(0.6), F.lit(0.3)), "attacked"))
 
 
-@query("content_overlap", "WITH p AS (SELECT a.item_id AS x, b.item_id AS y, list_filter(string_split(regexp_replace(a.text, '[ \\t\\n\\r]+', ' ', 'g'), ' '), lambda w: w <> '') AS u, list_filter(string_split(regexp_replace(b.text, '[ \\t\\n\\r]+', ' ', 'g'), ' '), lambda w: w <> '') AS v FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id), s AS (SELECT x, y, len(list_intersect(u, v)) / len(list_distinct(list_concat(u, v))) AS s FROM p) SELECT x, y, round(s, 6) AS jaccard, CASE WHEN s >= 0.8 THEN 'correction' WHEN s < 0.2 THEN 'refactor' ELSE 'versioned' END AS update_class FROM s")
+@query("content_overlap", "WITH p AS (SELECT a.item_id AS x, b.item_id AS y, list_filter(string_split(regexp_replace(a.text, '[ \\t\\n\\r]+', ' ', 'g'), ' '), lambda w: w <> '') AS u, list_filter(string_split(regexp_replace(b.text, '[ \\t\\n\\r]+', ' ', 'g'), ' '), lambda w: w <> '') AS v FROM benchmark a JOIN benchmark b ON a.item_id % 50 = 0 AND a.item_id <> b.item_id), s AS (SELECT x, y, len(list_intersect(u, v)) / len(list_distinct(list_concat(u, v))) AS s FROM p) SELECT x, y, round(s, 6) AS jaccard, CASE WHEN s >= 0.8 THEN 'correction' WHEN s < 0.2 THEN 'refactor' ELSE 'versioned' END AS update_class FROM s WHERE s > 0")
 def content_overlap(spark, sf):
-    b = kg.table(spark, sf, "benchmark")
-    j = b.select(F.col("item_id").alias("x"), F.col("text").alias("u")).join(F.broadcast(b.select(F.col("item_id").alias("y"), F.col("text").alias("v"))), F.col("x") < F.col("y"))
-    s = j.select("x", "y", T.overlap(F.col("u"), F.col("v")).alias("s"))
+    b = kg.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
+    s = relational.overlaps(b.filter("id % 50 = 0"), b).filter("x <> y")
     return s.select("x", "y", F.round("s", 6).alias("jaccard"), T.update_class(F.col("s")).alias("update_class"))
 
 

@@ -8,7 +8,7 @@ from ..functions import opinion as O
 from ..functions import text as T
 from ..functions import vector as V
 from ..operators import chunking, curate, epistemic, fusion, graph, memory, relational, resolve, retrieve
-from ..sources import convert
+from ..sources import code, convert
 from ..sources import kgview as kg
 from ..streaming import sync
 from .core import WITH, probe, vectors
@@ -86,13 +86,13 @@ def code_paths(spark, sf):
     return curate.code_paths(n, p.join(s.select(F.col("id").alias("s"), "uri", "domains"), "s"))
 
 
-NEAREST = "x AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = 4 AND b.label IN (5, 6)), y AS (SELECT * FROM x WHERE s >= 0.3 AND (src + dst) % 10 <> 0), z AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(s, 12) DESC, dst) AS n FROM y)"
+NEAREST = "x AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND b.vec_id % 50 <> 0), y AS (SELECT * FROM x WHERE s >= 0.3 AND (src + dst) % 10 <> 0), z AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(s, 12) DESC, dst) AS n FROM y)"
 
 
 @query("concept_bridges", f"WITH {NEAREST} SELECT src, dst, round(s, 6) AS similarity FROM z WHERE n <= 3")
 def concept_bridges(spark, sf):
     v = vectors(spark, sf)
-    a, b = v.filter("label = 4"), v.filter("label IN (5, 6)")
+    a, b = v.filter("id % 50 = 0"), v.filter("id % 50 <> 0")
     known = a.select(F.col("id").alias("src")).join(b.select(F.col("id").alias("dst")), F.pmod(-F.col("src"), F.lit(10)) == F.col("dst") % 10)
     return curate.nearest_k(a, b, 3, 0.3, known).withColumn("similarity", F.round("similarity", 6))
 
@@ -133,14 +133,14 @@ def superseded_sources(spark, sf):
 DIST = "greatest(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0)"
 
 
-@query("alignment_report", f"""WITH f AS (SELECT a.vec_id AS l, arg_min(b.vec_id, {{'d': round({DIST}, 12), 'r': b.vec_id}}) AS r, min({DIST}) AS d FROM embeddings a JOIN embeddings b ON a.label = 2 AND b.label = 3 GROUP BY 1),
-c AS (SELECT a.vec_id AS l, b.vec_id AS r, {DIST} AS d FROM embeddings a JOIN embeddings b ON a.label = 0 AND b.label = 1 WHERE {DIST} < 0.6)
+@query("alignment_report", f"""WITH f AS (SELECT a.vec_id AS l, arg_min(b.vec_id, {{'d': round({DIST}, 12), 'r': b.vec_id}}) AS r, min({DIST}) AS d FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND b.vec_id % 50 <> 0 GROUP BY 1),
+c AS (SELECT a.vec_id AS l, b.vec_id AS r, {DIST} AS d FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND b.vec_id % 50 <> 0 WHERE {DIST} < 0.6)
 SELECT 'ahead' AS "check", l AS subject, r AS other FROM f WHERE d > 0.6 UNION ALL SELECT 'contradiction', l, r FROM c UNION ALL SELECT 'staleness', user_id, NULL FROM events GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-01-30'""")
 def alignment_report(spark, sf):
     v = vectors(spark, sf)
     stale = kg.table(spark, sf, "events").groupBy(F.col("user_id").alias("subject")).agg(F.max("ts").alias("at")).filter("at < timestamp_ntz'2024-01-30'").select("subject", ((F.unix_micros(F.lit("2024-02-01").cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp"))) / 86400e6).alias("days_behind"))
-    near = relational.nearest(v.filter("label = 2"), v.filter("label = 3"))
-    return curate.alignment(near, relational.close_pairs(v.filter("label = 0"), v.filter("label = 1"), 0.6), stale).select("check", "subject", "other")
+    near = relational.nearest(v.filter("id % 50 = 0"), v.filter("id % 50 <> 0"))
+    return curate.alignment(near, relational.close_pairs(v.filter("id % 50 = 0"), v.filter("id % 50 <> 0"), 0.6), stale).select("check", "subject", "other")
 
 
 @query("critique_evidence", "WITH d AS (SELECT label, vec_id AS id, greatest(1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 0) AS d FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(d, 12), id) AS n FROM d) SELECT label, id, n, round(d, 6) AS distance FROM r WHERE n <= 15")
@@ -160,10 +160,10 @@ def chunk_names(spark, sf):
     return c.select("id", curate.named_chunk(head, F.col("title")).alias("name"))
 
 
-@query("granularity", f"{WITH}, c AS (SELECT *, CASE WHEN ordinal > 0 THEN id - ordinal END AS up FROM chunks) SELECT c.id, sha256(coalesce(p.content, c.content)) AS section, sha256(s.content) AS source FROM c LEFT JOIN chunks p ON p.id = c.up LEFT JOIN sources s ON s.id = c.source_id WHERE c.ordinal < 3")
+@query("granularity", f"{WITH}, c AS (SELECT *, CASE WHEN ordinal > 0 THEN id - ordinal END AS up FROM chunks) SELECT c.id, sha256(coalesce(p.content, c.content)) AS section, sha256(s.content) AS source FROM c LEFT JOIN chunks p ON p.id = c.up LEFT JOIN sources s ON s.id = c.source_id")
 def granularity(spark, sf):
     c = kg.chunks(spark, sf)
-    r = c.filter("ordinal < 3").select("id", "source_id", F.when(F.col("ordinal") > 0, F.col("id") - F.col("ordinal")).alias("parent_id"))
+    r = c.select("id", "source_id", F.when(F.col("ordinal") > 0, F.col("id") - F.col("ordinal")).alias("parent_id"))
     at = lambda level: curate.at_resolution(r, c, kg.sources(spark, sf), level).select("id", F.sha2("content", 256).alias(level))
     return at("section").join(at("source"), "id")
 
@@ -279,10 +279,10 @@ def newest_cached(spark, sf):
     return retrieve.latest_kept(kg.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("at")), 100).select("id")
 
 
-@query("statement_contexts", "SELECT doc_id AS source_id, sha256(substr(text, greatest(700 - 500, 0) + 1, 1400 + 500 - greatest(700 - 500, 0))) AS digest FROM documents WHERE length(text) > 900")
+@query("statement_contexts", "SELECT doc_id AS source_id, sha256(substr(text, greatest(length(text) // 3 - 500, 0) + 1, length(text) // 2 + 510 - greatest(length(text) // 3 - 500, 0))) AS digest FROM documents WHERE length(text) > 0")
 def statement_contexts(spark, sf):
-    d = kg.table(spark, sf, "documents").filter("length(text) > 900")
-    s = d.select(F.col("doc_id").alias("source_id"), F.explode(F.array(F.lit(700), F.lit(1000))).alias("start")).withColumn("end", F.col("start") + 400)
+    d = kg.table(spark, sf, "documents").filter("length(text) > 0")
+    s = d.select(F.col("doc_id").alias("source_id"), F.explode(F.array(F.expr("length(text) div 3"), F.expr("length(text) div 2"))).alias("start")).withColumn("end", F.col("start") + 10)
     return chunking.statement_context(s, kg.sources(spark, sf)).select("source_id", F.sha2("context", 256).alias("digest"))
 
 
@@ -300,7 +300,7 @@ def embedding_backfill(spark, sf):
     return kg.nodes(spark, sf).filter("node_type = 'technology'").join(known, "id", "left_anti").select("id", F.concat_ws(": ", "name", "domain").alias("text"))
 
 
-@query("noise_cleanup")
+@query("noise_cleanup", f"""{WITH}, v AS (SELECT * FROM edges WHERE NOT invalid), d AS (SELECT id, count(*) AS n FROM (SELECT src AS id FROM v UNION ALL SELECT dst FROM v) GROUP BY 1) SELECT id, 'https://x.y/' || name AS name, coalesce(n, 0) AS edges FROM nodes LEFT JOIN d USING (id) WHERE id % 9 = 0 ORDER BY edges DESC, id LIMIT 100""")
 def noise_cleanup(spark, sf):
     """The dry run: nodes with noisy names, by their edges."""
     n = kg.nodes(spark, sf).withColumn("name", F.when(F.col("id") % 9 == 0, F.concat(F.lit("https://x.y/"), "name")).otherwise(F.col("name"))).filter(T.noise_name(F.col("name")))
@@ -314,18 +314,49 @@ def chunk_predicates(spark, sf):
     return kg.chunks(spark, sf).select("id", T.boilerplate_heavy(c).alias("boilerplate"), T.author_block(c).alias("authors"), T.reference_section(c).alias("references"), T.title_only(c).alias("title_only"), T.trivial_code(c).alias("trivial_code"))
 
 
-@query("cleaned_headings")
+@query("cleaned_headings", "SELECT item_id, regexp_replace(text, '[*_`]+', '', 'g') AS heading FROM benchmark WHERE NOT contains(text, '](')")
 def cleaned_headings(spark, sf):
     return kg.table(spark, sf, "benchmark").select("item_id", T.unnumbered(T.unmarked(F.concat(F.lit("2.1 **"), "text", F.lit("**")))).alias("heading"))
 
 
-@query("code_markdown")
+MARKDOWN = r"""SELECT o_orderkey, replace(CASE o_orderkey % 3 WHEN 0 THEN '```python#import x#```##' || chr(35) || ' function f##```python#def f():#    return ' || o_orderkey || '#```##' || chr(35) || ' class C##```python#class C:#    pass#```'
+WHEN 1 THEN chr(35) || ' pub fn f' || o_orderkey || '()##```rust#pub fn f' || o_orderkey || '() {#}#```##' || chr(35) || ' struct S##```rust#struct S {#}#```' ELSE chr(35) || ' Source##```cobol#MOVE ' || o_orderkey || '#```' END, '#', chr(10)) AS text FROM orders"""
+
+
+@query("code_markdown", MARKDOWN.replace("chr(35)", "'§'").replace("AS text FROM orders", "AS text FROM orders").replace("SELECT o_orderkey, replace(", "SELECT o_orderkey, replace(replace(", 1).replace("'#', chr(10)) AS text", "'#', chr(10)), '§', '#') AS text"))
 def code_markdown(spark, sf):
-    from pyspark.sql import types
+    k = F.col("o_orderkey") % 3
+    python = F.concat(F.lit("import x\n\ndef f():\n    return "), "o_orderkey", F.lit("\n\nclass C:\n    pass\n"))
+    rust = F.concat(F.lit("pub fn f"), "o_orderkey", F.lit("() {\n}\nstruct S {\n}"))
+    code = F.when(k == 0, python).when(k == 1, rust).otherwise(F.concat(F.lit("MOVE "), "o_orderkey"))
+    o = kg.table(spark, sf, "orders").select("o_orderkey", F.when(k == 0, "python").when(k == 1, "rust").otherwise("cobol").alias("language"), code.alias("code"))
+    return o.select("o_orderkey", convert.markdown_of(F.col("code"), F.col("language")).alias("text"))
+
+
+CODED = "o AS (SELECT o_orderkey AS id, o_orderkey % 4 AS k FROM orders)"
+
+
+@query("code_entities", f"""WITH {CODED} SELECT id, unnest(CASE k WHEN 0 THEN ['C', 'C.go', 'f' || id] WHEN 1 THEN ['f' || id, 'S'] WHEN 2 THEN ['Run', 'T' || id] ELSE [] END) AS name, unnest(CASE k WHEN 0 THEN ['class', 'function', 'function'] WHEN 1 THEN ['function', 'struct'] WHEN 2 THEN ['function', 'struct'] ELSE [] END) AS node_type, unnest(CASE k WHEN 0 THEN [2, 3, 5] WHEN 1 THEN [2, 6] WHEN 2 THEN [2, 3] ELSE [] END)::BIGINT AS line FROM o""")
+def code_entities(spark, sf):
+    return code.entities_of(coded(spark, sf)).select("id", "name", "node_type", "line")
+
+
+@query("code_relations", f"""WITH {CODED} SELECT id, unnest(CASE k WHEN 0 THEN [id::VARCHAR, 'C', 'C', 'C.go', 'f' || id] WHEN 1 THEN [id::VARCHAR, 'S', 'f' || id] WHEN 2 THEN [id::VARCHAR] ELSE [] END) AS source, unnest(CASE k WHEN 0 THEN ['os', 'B', 'C.go', 'f' || id, 'print'] WHEN 1 THEN ['std::io', 'T', 'g'] WHEN 2 THEN ['fmt'] ELSE [] END) AS target, unnest(CASE k WHEN 0 THEN ['imports', 'extends', 'contains', 'calls', 'calls'] WHEN 1 THEN ['imports', 'implements', 'calls'] WHEN 2 THEN ['imports'] ELSE [] END) AS rel_type FROM o WHERE NOT (k = 1)
+UNION ALL SELECT id, unnest([id::VARCHAR, 'S']), unnest(['std::io', 'T']), unnest(['imports', 'implements']) FROM o WHERE k = 1""")
+def code_relations(spark, sf):
+    return code.relations_of(coded(spark, sf))
+
 
-    to = F.pandas_udf(lambda texts: texts.map(lambda t: convert.code_to_markdown(t or "", "python")), types.StringType())
-    code = F.concat(F.lit("import x\n\ndef f():\n    return "), "o_orderkey", F.lit("\n\nclass C:\n    pass\n"))
-    return kg.table(spark, sf, "orders").select("o_orderkey", F.sha2(to(code), 256).alias("digest"))
+def coded(spark, sf):
+    i = F.col("o_orderkey")
+    k = i % 4
+    text = (
+        F.when(k == 0, F.concat(F.lit("import os\nclass C(B):\n    def go(self):\n        f"), i, F.lit("()\ndef f"), i, F.lit("():\n    print(1)\n")))
+        .when(k == 1, F.concat(F.lit("```rust\nuse std::io;\npub fn f"), i, F.lit("() {\n  g(1)\n}\n```\nprose\n```rust\nstruct S;\nimpl T for S {}\n```\n")))
+        .when(k == 2, F.concat(F.lit('import "fmt"\nfunc (x T) Run() {}\ntype T'), i, F.lit(" struct {\n}")))
+        .otherwise(F.lit("def broken(:"))
+    )
+    return kg.table(spark, sf, "orders").select(i.alias("id"), F.when(k == 1, "rust").when(k == 2, "go").otherwise("python").alias("language"), text.alias("text"))
 
 
 @query("propagated_confidence")

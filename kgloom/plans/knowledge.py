@@ -266,13 +266,13 @@ def ontology_clusters(spark, sf):
 @query("novelty_gate")
 def novelty_gate(spark, sf):
     s = vectors(spark, sf).select(F.col("label").cast("long").alias("source_id"), F.col("id").alias("ordinal"), "embedding")
-    return resolve.novel(s, 0.8).select("source_id", "ordinal")
+    return resolve.novel(s, 0.25).select("source_id", "ordinal")
 
 
 @query("statement_clusters")
 def statement_clusters(spark, sf):
     s = vectors(spark, sf).select((F.col("id") % 25).alias("source_id"), "id", "embedding")
-    return resolve.clustered(s, 0.5).select("source_id", "id", "cluster")
+    return resolve.clustered(s, 0.1).select("source_id", "id", "cluster")
 
 
 @query("abbreviations")
@@ -331,9 +331,11 @@ def chunk_coverage(spark, sf):
     return evaluate.chunk_coverage(kg.chunks(spark, sf), kg.sources(spark, sf)).select("source_id", F.round("coverage", 6).alias("coverage"), "n", F.round("mean", 4).alias("mean"))
 
 
-@query("name_noise")
+@query("name_noise", f"{WITH} SELECT id, id // 10 % 8 BETWEEN 1 AND 6 AS noise FROM nodes")
 def name_noise(spark, sf):
-    return kg.nodes(spark, sf).select("id", T.noise_name(F.col("name")).alias("noise"))
+    k = F.expr("id div 10 % 8")
+    name = F.when(k == 1, F.concat(F.lit("https://x.y/"), "name")).when(k == 2, " ").when(k == 3, "12.5%").when(k == 4, F.concat(F.lit("how does "), "name", F.lit(" work?"))).when(k == 5, F.concat(F.lit("{"), "name", F.lit("}"))).when(k == 6, "u64").otherwise(F.col("name"))
+    return kg.nodes(spark, sf).select("id", T.noise_name(name).alias("noise"))
 
 
 @query("opinion_ladder")

@@ -10,6 +10,31 @@ from .core import WITH
 from .knowledge import members
 from .registry import query
 
+HEALTH = """so AS (SELECT id, uri, CASE WHEN id % 7 = 0 THEN id + 1 END AS superseded_by, CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE title END AS summary FROM sources),
+nd AS (SELECT id, CASE WHEN id % 5 = 1 THEN 'code' ELSE entity_class END AS entity_class, id % 4 = 0 AS bare, CASE WHEN id % 3 = 0 THEN 'x' END AS summary FROM nodes), o AS (SELECT id FROM nodes WHERE id NOT IN (SELECT entity_id FROM extractions))"""
+
+
+@query("data_health", f"""{WITH}, {HEALTH} SELECT (SELECT count(*) FROM so WHERE superseded_by IS NOT NULL) AS superseded_sources, (SELECT count(*) FROM so WHERE superseded_by IS NULL AND coalesce(summary, '') = '') AS unsummarized_sources,
+(SELECT count(*) FROM chunks JOIN so ON so.id = source_id WHERE superseded_by IS NOT NULL) AS superseded_chunks, (SELECT count(*) FROM o) AS orphan_nodes, (SELECT count(*) FROM o WHERE id IN (SELECT src FROM edges UNION SELECT dst FROM edges)) AS orphan_nodes_with_edges,
+(SELECT coalesce(sum(n), 0)::BIGINT FROM (SELECT count(*) AS n FROM so WHERE superseded_by IS NULL GROUP BY uri HAVING count(*) > 1)) AS duplicate_sources, (SELECT count(*) FROM nd WHERE bare) AS unembedded_nodes, (SELECT count(*) FROM nd WHERE entity_class = 'code' AND summary IS NULL) AS unsummarized_code""")
+def data_health(spark, sf):
+    i = F.col("id")
+    s = kg.sources(spark, sf).select("id", "uri", F.when(i % 7 == 0, i + 1).alias("superseded_by"), F.when(i % 3 == 0, None).when(i % 3 == 1, "").otherwise(F.col("title")).alias("summary"))
+    n = kg.nodes(spark, sf).select("id", F.when(i % 5 == 1, "code").otherwise(F.col("entity_class")).alias("entity_class"), F.when(i % 4 != 0, F.array(F.lit(1.0))).alias("embedding"), F.when(i % 3 == 0, "x").alias("summary"))
+    return services.data_health(n, kg.edges(spark, sf), s, kg.chunks(spark, sf), kg.extractions(spark, sf))
+
+
+@query("whitespace_gaps", f"""{WITH}, r AS (SELECT id FROM sources WHERE source_type = 'document'), m AS (SELECT DISTINCT chunk_id % (SELECT count(*) FROM sources) AS source_id, entity_id AS id FROM extractions), b AS (SELECT src AS id FROM edges WHERE rel_type = 'delivered' AND id % 1997 = 0 UNION SELECT dst FROM edges WHERE rel_type = 'delivered' AND id % 1997 = 0),
+p AS (SELECT source_id, count(*) AS nodes, count(*) FILTER (m.id IN (SELECT id FROM b)) AS bridged FROM m WHERE source_id IN (SELECT id FROM r) GROUP BY 1 HAVING count(*) >= 2),
+k AS (SELECT m.source_id, name, row_number() OVER (PARTITION BY m.source_id ORDER BY mention_count DESC, m.id) AS k FROM m JOIN p ON p.source_id = m.source_id AND bridged = 0 JOIN nodes ON nodes.id = m.id)
+SELECT p.source_id, p.nodes, string_agg(name, ', ' ORDER BY k) AS representatives, round((SELECT count(*) FILTER (bridged = 0) / count(*) FROM p), 9) AS score FROM p JOIN k ON k.source_id = p.source_id WHERE bridged = 0 AND k <= 10 GROUP BY p.source_id, p.nodes""")
+def whitespace_gaps(spark, sf):
+    s = kg.sources(spark, sf)
+    m = kg.extractions(spark, sf).select((F.col("chunk_id") % s.count()).alias("source_id"), F.col("entity_id").alias("id"))
+    b = kg.edges(spark, sf).filter("rel_type = 'delivered' AND id % 1997 = 0")
+    return services.whitespace(s.filter("source_type = 'document'"), m, kg.nodes(spark, sf), b, 2).withColumn("score", F.round("score", 9))
+
+
 FIXES = "fx AS (SELECT DISTINCT id, CASE WHEN id % 2 = 0 THEN 'moved' END AS rel, CASE id // 10 % 4 WHEN 0 THEN NULL WHEN 1 THEN 1.5 ELSE id % 10 / 20 END AS conf FROM edges WHERE id > 0 AND id // 10 % 5 = 0 UNION ALL SELECT -5, 'gone', NULL)"
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, fusion, memory, relational, resolve, retrieve
+from ..operators import chunking, curate, fusion, memory, relational, resolve, retrieve
 from ..sources import convert
 from ..sources import kgview as kg
 from ..streaming import sync
-from .core import LISTS, WITH, lists, vectors
+from .core import LISTS, WITH, lists, probe, vectors
 from .knowledge import TRI, members, valid
 from .lineage import shared_folder
 from .registry import query
@@ -40,10 +42,12 @@ def page_metadata(spark, sf):
     return kg.table(spark, sf, "pages").select("page_id", convert.html_title(F.col("html")).alias("title"), convert.is_html(F.col("html")).alias("is_html"), convert.source_type_of(F.col("url")).alias("source_type"))
 
 
-@query("html_windows", "SELECT page_id, length(html) AS n FROM pages")
+@query("html_windows", "SELECT page_id, sha256(html) AS digest, true AS short FROM pages")
 def html_windows(spark, sf):
+    """The windows of a page, joined, are the page; each is as short as asked for."""
     w = convert.split_html(kg.table(spark, sf, "pages"), 1000)
-    return w.groupBy("page_id").agg(F.sum(F.length("html")).alias("n"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("window", "html"))), lambda x: x["html"]), "")
+    return w.groupBy("page_id").agg(F.sha2(joined, 256).alias("digest"), (F.max(F.length("html")) <= 1000).alias("short"))
 
 
 @query("converted_documents", "SELECT doc_id AS id, sha256(trim(text)) AS digest FROM documents WHERE trim(text) <> ''")
@@ -52,9 +56,10 @@ def converted_documents(spark, sf):
     return d.filter("t IS NOT NULL").select("id", F.sha2("t", 256).alias("digest"))
 
 
-@query("linearised_tables")
+@query("linearised_tables", "SELECT o_orderkey, 'before' || chr(10) || 'Key: ' || o_orderkey || ', Status: ' || o_orderstatus || '.' || chr(10) || 'Key: x, Status: ' || o_orderpriority || '.' || chr(10) || 'after' AS text FROM orders")
 def linearised_tables(spark, sf):
-    return kg.table(spark, sf, "documents").select("doc_id", F.sha2(convert.linearise(F.col("text")), 256).alias("digest"))
+    table = F.concat(F.lit("before\n| Key | Status |\n|---|:-:|\n| "), "o_orderkey", F.lit(" | "), "o_orderstatus", F.lit(" |\n| x | "), "o_orderpriority", F.lit(" |\nafter"))
+    return kg.table(spark, sf, "orders").select("o_orderkey", convert.linearise(table).alias("text"))
 
 
 CTRL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
@@ -94,7 +99,7 @@ def statement_windows(spark, sf):
     return kg.table(spark, sf, "documents").select("doc_id", w).withColumn("start", F.col("start").cast("long"))
 
 
-@query("sentence_counts")
+@query("sentence_counts", rf"{WITH} SELECT id, (len(regexp_extract_all(content, '[.!?]\s+')) + 1 - regexp_matches(content, '[.!?]\s+$')::INT)::INT AS n FROM chunks")
 def sentence_counts(spark, sf):
     return kg.chunks(spark, sf).select("id", F.size(chunking.sentences(F.col("content"))).alias("n"))
 
@@ -141,7 +146,9 @@ def changes_streamed(spark, sf):
     schema = kg.table(spark, sf, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").option("recursiveFileLookup", "true").load(sf)
     stream = raw.select(F.col("event_id").alias("seq_id"), F.col("user_id").alias("entity_id"), F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"), F.col("props").alias("payload"))
-    return sync.live(spark.read.parquet(sync.sync(spark, stream, shared_folder(spark)))).select("entity_id", "seq_id", "op", "payload")
+    base = f"{shared_folder(spark)}/sync-{uuid.uuid4().hex}"
+    sync.sync(spark, stream, base, merge_every=1)
+    return sync.live(sync.synced(spark, base)).select("entity_id", "seq_id", "op", "payload")
 
 
 JOBS = "j AS (SELECT event_id AS id, event_id // 4 AS source_id, CASE event_type WHEN 'click' THEN 'pending' WHEN 'view' THEN 'running' WHEN 'error' THEN 'dead' ELSE 'succeeded' END AS status, ts AS next_due, event_id % 5 AS attempt, value FROM events)"
@@ -243,16 +250,29 @@ def query_expansion(spark, sf):
     return retrieve.expanded(f, kg.edges(spark, sf)).withColumn("score", F.round("score", 9))
 
 
-@query("graph_context")
+@query("graph_context", f"""{WITH}, v AS (SELECT * FROM edges WHERE NOT invalid), b AS (SELECT DISTINCT src AS id, dst AS o, rel_type, 'out' AS dir FROM v WHERE src IN (12, 14, 15) UNION ALL SELECT DISTINCT dst, src, rel_type, 'in' FROM v WHERE dst IN (12, 14, 15)),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dir DESC, o, rel_type)::INT AS n FROM b) SELECT r.id, n, name, rel_type, dir FROM r JOIN nodes ON nodes.id = o WHERE n <= 10""")
 def graph_context(spark, sf):
     return retrieve.context_of(spark.createDataFrame([(12,), (14,), (15,)], "id long"), kg.nodes(spark, sf), valid(spark, sf)).select("id", F.explode("context").alias("c")).select("id", "c.n", "c.name", "c.rel_type", "c.dir")
 
 
 @query("search")
 def search(spark, sf):
-    items = kg.sources(spark, sf).select("id", F.col("title").alias("name"), "content", "uri", F.when(F.col("id") % 5 == 0, "node").otherwise("chunk").alias("result_type"), "source_type", F.lit("document").alias("node_type"), F.lit(None).cast("string").alias("entity_class"), "domains", ((F.col("id") % 100) / 100).alias("confidence"), F.lit(False).alias("named"))
+    """Six dimensions, over sources; the graph's nodes and edges stand for the sources of their number."""
+    s = kg.sources(spark, sf)
+    n = s.count()
+    of = lambda c: F.expr(f"({c} div 10) % {n}")
+    named = F.lower("title").isin("thre", "tion", "src1")
+    items = s.select("id", F.col("title").alias("name"), "content", "uri", F.when(F.col("id") % 5 == 0, "node").otherwise("chunk").alias("result_type"), "source_type", F.lit("document").alias("node_type"), F.when(F.col("source_type") == "code", "code").otherwise("text").alias("entity_class"), "domains", ((F.col("id") % 100) / 100).alias("confidence"), named.alias("named"), (F.col("source_type") == "manual").alias("internal"))
     lex = retrieve.lexical(items, "thre tion").withColumn("dimension", F.lit("lexical"))
-    out = retrieve.search(lists(spark, sf).unionByName(lex), items, None, "balanced", 10, 0.05, ["document", "web_page", "manual", "code"])
+    near = retrieve.graph_dimension(kg.nodes(spark, sf), valid(spark, sf), "nation_3 and region", 2).groupBy(of("id").alias("id")).agg(F.max("score").alias("score")).withColumn("dimension", F.lit("graph"))
+    v = vectors(spark, sf)
+    wide = curate.global_dimension(v.filter("label < 3"), v.filter("label BETWEEN 3 AND 6"), v.filter("label > 6"), probe(spark, sf), 12).select("id", "score", F.lit("global").alias("dimension"))
+    edges = valid(spark, sf).withColumns({"src": of("src"), "dst": of("dst")})
+    every = lists(spark, sf)
+    for more in (lex, near, wide):
+        every = every.unionByName(more.select(*every.columns))
+    out = retrieve.search(every, items, edges, None, 10, 0.05, ["document", "web_page", "manual", "code"], lambda text: F.size(F.split(text, "tion")) / F.log2(F.length(text) + 2))
     return out.select("id", "name", "result_type", F.round("score", 9).alias("score"))
 
 
@@ -264,7 +284,8 @@ def query_cache(spark, sf):
     return retrieve.cached(v.filter("id % 50 = 0"), v.withColumn("at", at), F.lit("2024-01-01 12:00:00").cast("timestamp"), within=0.4).select("query_id", "cache_id")
 
 
-@query("snippets")
+@query("snippets", r"""WITH d AS (SELECT doc_id, text, strpos(lower(text), 'tion') AS place FROM documents WHERE contains(lower(text), 'tion')), b AS (SELECT *, greatest(place - 60, 1) AS b FROM d), p AS (SELECT *, substr(text, b, 120) AS p FROM b),
+q AS (SELECT *, CASE WHEN b > 1 THEN '...' || regexp_replace(p, '^[^ \t\n\x0B\f\r]{0,29}[ \t\n\x0B\f\r]+', '') ELSE p END AS q FROM p) SELECT doc_id, CASE WHEN b + 120 <= length(text) THEN regexp_replace(q, '[ \t\n\x0B\f\r]+[^ \t\n\x0B\f\r]{0,29}$', '') || '...' ELSE q END AS snippet FROM q""")
 def snippets(spark, sf):
     return kg.table(spark, sf, "documents").filter(F.lower("text").contains("tion")).select("doc_id", fusion.snippet(F.col("text"), F.lit("tion"), 120).alias("snippet"))
 
@@ -285,7 +306,7 @@ def memory_forget(spark, sf):
 @query("memory_groups")
 def memory_groups(spark, sf):
     m = vectors(spark, sf).select("id", F.col("label").alias("topic"), "embedding")
-    return memory.consolidated(m, 0.7).select("id", "topic", "group")
+    return memory.consolidated(m, 0.2).select("id", "topic", "group")
 
 
 @query("session_memories", "SELECT conv_id AS session, count(*) AS n FROM (SELECT conv_id, unnest(string_split(text, chr(10))) AS line FROM conversations WHERE role = 'assistant') WHERE trim(line) <> '' GROUP BY 1")
@@ -301,18 +322,21 @@ def context_assembly(spark, sf):
     return memory.context(r, "lang").select("lang", "id", F.col("n").cast("long").alias("n"))
 
 
-@query("community_summaries")
+@query("community_summaries", f"""{WITH}, v AS (SELECT * FROM edges WHERE NOT invalid), m AS (SELECT id, (id // 10) % 5 AS community, name, mention_count FROM nodes), k AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY mention_count DESC, id) AS r FROM m),
+x AS (SELECT community, string_agg(name, ', ' ORDER BY r) AS x FROM k WHERE r <= 10 GROUP BY 1), e AS (SELECT DISTINCT src, dst, rel_type FROM v), l AS (SELECT a.community, a.name || ' --[' || rel_type || ']--> ' || b.name AS t, row_number() OVER (PARTITION BY a.community ORDER BY src, dst, rel_type) AS r FROM e JOIN m a ON a.id = src JOIN m b ON b.id = dst WHERE a.community = b.community),
+y AS (SELECT community, string_agg(t, '; ' ORDER BY r) AS y FROM l WHERE r <= 10 GROUP BY 1) SELECT community, 'Key entities: ' || x || '.' || coalesce(' Relationships: ' || y || '.', '') AS summary FROM x LEFT JOIN y USING (community)""")
 def community_summaries(spark, sf):
     return memory.community_summary(members(spark, sf), kg.nodes(spark, sf), valid(spark, sf))
 
 
-@query("answer_prompt")
+@query("answer_prompt", f"""{WITH}, n AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM nodes WHERE node_type = 'component') SELECT node_type, string_agg('[' || n || '] (component, confidence: 0.90, ' || domain || ', graph)' || chr(10) || name[1:2000], chr(10) || chr(10) ORDER BY n) AS blocks FROM n GROUP BY 1""")
 def answer_prompt(spark, sf):
     n = kg.nodes(spark, sf).filter("node_type = 'component'").select("id", "node_type", "domain", F.col("name").alias("content"), F.lit("graph").alias("source"), F.lit(0.9).alias("confidence"), F.expr("row_number() OVER (PARTITION BY node_type ORDER BY id)").alias("n"))
     return memory.prompt(n, "node_type")
 
 
-@query("canonical_relations")
+@query("canonical_relations", f"""{WITH}, k AS (SELECT rel_type, count(*) AS n, {TRI.format('any_value(rel_type)')} AS tk FROM edges GROUP BY 1), q AS (SELECT name, {TRI.format('trim(name)')} AS tq FROM (VALUES ('Supply'), ('located in'), ('part-of'), ('unheard')) t(name)),
+s AS (SELECT name, rel_type, n, len(list_intersect(tk, tq)) / len(list_distinct(list_concat(tk, tq))) AS s FROM q, k) SELECT name, coalesce(arg_max(rel_type, {{'s': s * ln(n + 1), 'r': rel_type}}) FILTER (s >= 0.4), lower(trim(name))) AS canonical FROM s GROUP BY name""")
 def canonical_relations(spark, sf):
     e = kg.edges(spark, sf)
     known = e.groupBy("rel_type").agg(F.count("*").alias("n"))

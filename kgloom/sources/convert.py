@@ -7,6 +7,7 @@ import json
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,6 +153,14 @@ def code_to_markdown(source: str, language: str) -> str:
     return "\n\n".join(out)
 
 
+def markdown_of(code: Column, language: Column) -> Column:
+    @F.arrow_udf("string")
+    def run(texts: pa.Array, languages: pa.Array) -> pa.Array:
+        return pa.array([code_to_markdown(t or "", lang or "") for t, lang in zip(texts.to_pylist(), languages.to_pylist(), strict=True)], pa.string())
+
+    return run(code, language)
+
+
 def manifest(text: str) -> dict[str, list]:
     """An extension's ontology from its manifest in JSON: entity types, relations, rules, views, noise patterns; absent parts are empty."""
     data = json.loads(text)

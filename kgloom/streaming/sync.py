@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -29,24 +27,42 @@ def live(state: DataFrame) -> DataFrame:
     return state.filter(F.col("op") != "delete")
 
 
-def sync(spark: SparkSession, stream: DataFrame, folder: str, key: str = "entity_id") -> str:
-    """Applies a stream of changes to a versioned table in the shared ``folder`` and returns the path of the last version.
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of the complete tables in ``folder``, from its names: so a restart knows what a run before it has written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [(x.getPath().getName(), x.getPath()) for x in fs.listStatus(path)]
+    return sorted(int(n) for n, at in names if n.isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS")))
+
+
+def synced(spark: SparkSession, base: str, key: str = "entity_id") -> DataFrame:
+    """The table that ``sync`` keeps in ``base``: the last merged version and the changes since, the last of each key."""
+    merged = _versions(spark, f"{base}/merged")[-1:]
+    since = [n for n in _versions(spark, f"{base}/changes") if not merged or n > merged[0]]
+    paths = [f"{base}/merged/{n}" for n in merged] + [f"{base}/changes/{n}" for n in since]
+    if not paths:
+        raise ValueError("the stream has held no changes yet")
+    return last_changes(spark.read.parquet(*paths), key)
+
 
-    Each micro-batch reads the version before its own and writes one of its own name, so that a repeated batch gives the same table.
+def sync(spark: SparkSession, stream: DataFrame, base: str, key: str = "entity_id", merge_every: int = 20, quiet: str | None = None) -> None:
+    """Applies a stream of changes to the table in ``base``, a shared folder: all there is, or with ``quiet`` (such as '10 seconds') on and on.
+
+    A micro-batch writes only its own last changes, under its number, so that it costs what it holds and a repeated batch gives the same.
+    Each ``merge_every`` batches they are merged with the version before. What is complete is told from the folder, so that a
+    restarted run goes on from there; the stream's own log is in ``base`` too.
     """
-    base = f"{folder}/sync-{uuid.uuid4().hex}"
-    done: list[int] = []
 
     def step(batch: DataFrame, number: int) -> None:
         s = batch.sparkSession
-        before = s.read.parquet(f"{base}/v{max(done)}") if done else batch.limit(0)
-        applied(before, batch, key).write.mode("overwrite").parquet(f"{base}/v{number}")
-        done.append(number)
+        last_changes(batch, key).write.mode("overwrite").parquet(f"{base}/changes/{number}")
+        if (number + 1) % merge_every == 0:
+            synced(s, base, key).write.mode("overwrite").parquet(f"{base}/merged/{number}")
 
-    stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start().awaitTermination()
-    if not done:
-        raise ValueError("the stream held no changes")
-    return f"{base}/v{max(done)}"
+    run = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/log")
+    (run.trigger(processingTime=quiet) if quiet else run.trigger(availableNow=True)).start().awaitTermination()
 
 
 def claimed(jobs: DataFrame, now: Column, limit: int) -> DataFrame:
@@ -85,10 +101,18 @@ def stalled(sources: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def triggered(deltas: DataFrame, interval: int, threshold: float, accumulated: float) -> DataFrame:
-    """Adds fires: seconds since the last change over the interval, a delta over the threshold, or a running sum over ``accumulated``, by topic."""
-    d = deltas.withColumn("total", F.expr("sum(delta) OVER (PARTITION BY topic ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
-    d = d.withColumn("elapsed", F.expr("unix_micros(cast(ts AS timestamp)) - lag(unix_micros(cast(ts AS timestamp))) OVER (PARTITION BY topic ORDER BY ts, id)") / 1e6)
-    return d.withColumn("fires", (F.coalesce("elapsed", F.lit(0.0)) >= interval) | (F.col("delta") > threshold) | (F.col("total") > accumulated))
+    """Adds fires: seconds since the last change over the interval, a delta over the threshold, or a running sum over ``accumulated``, by topic.
+
+    A topic may hold a third of all changes: sums and last times are taken by hour first, so that a window is over an hour of a topic.
+    """
+    d = deltas.withColumns({"_at": F.unix_micros(F.col("ts").cast("timestamp")), "_hour": F.date_trunc("hour", "ts")})
+    inside, before = Window.partitionBy("topic", "_hour").orderBy("_at", "id"), Window.partitionBy("topic").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = d.groupBy("topic", "_hour").agg(F.sum("delta").alias("_sum"), F.max("_at").alias("_last"))
+    hours = hours.select("topic", "_hour", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_base"), F.max("_last").over(before).alias("_prev"))
+    d = d.withColumns({"total": F.sum("delta").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_lag": F.lag("_at").over(inside)}).join(hours, ["topic", "_hour"])
+    d = d.withColumns({"total": F.col("total") + F.col("_base"), "elapsed": (F.col("_at") - F.coalesce("_lag", "_prev")) / 1e6})
+    fires = (F.coalesce("elapsed", F.lit(0.0)) >= interval) | (F.col("delta") > threshold) | (F.col("total") > accumulated)
+    return d.withColumn("fires", fires).drop("_at", "_hour", "_lag", "_base", "_prev")
 
 
 def windowed(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:

@@ -171,10 +171,17 @@ def test_empty_graph(spark):
 
 
 def test_conflicts_against_all_pairs(spark):
-    """An edge conflicts if it overlaps one that began before it (ties: by id)."""
+    """Both edges of a pair with one start and relation, other targets and a common time; invalid edges and those of no time are left out."""
     rng = random.Random(2)
-    es = [(k, rng.randrange(3), "owns", f"2020-01-{rng.randint(1, 20):02d}", f"2020-01-{rng.randint(21, 28):02d}" if rng.random() < 0.4 else None) for k in range(30)]
-    es += [(100 + k, 9, "owns", f"2020-02-{2 * k + 1:02d}", f"2020-02-{2 * k + 2:02d}") for k in range(5)]
-    df = spark.createDataFrame(es, "id long, src long, rel_type string, b string, u string").select("id", "src", "rel_type", F.col("b").cast("timestamp_ntz").alias("valid_from"), F.col("u").cast("timestamp_ntz").alias("valid_until"))
-    want = {e[0]: any(x[1] == e[1] and (x[3], x[0]) < (e[3], e[0]) and e[3] < (x[4] or "9") for x in es) for e in es}
-    assert {r["id"]: r["conflict"] for r in relational.conflicts(df).collect()} == want
+    day = lambda k: f"2020-01-{k:02d}"
+    es = []
+    for k in range(80):
+        b = None if rng.random() < 0.1 else rng.randint(1, 20)
+        u = None if rng.random() < 0.3 else rng.randint(1, 28)
+        es.append((k, rng.randrange(20), rng.randrange(3), rng.choice(["owns", "uses"]), b and day(b), u and day(u), rng.random() < 0.2))
+    df = spark.createDataFrame(es, "id long, src long, dst long, rel_type string, b string, u string, invalid boolean")
+    df = df.select("id", "src", "dst", "rel_type", "invalid", F.col("b").cast("timestamp_ntz").alias("valid_from"), F.col("u").cast("timestamp_ntz").alias("valid_until"))
+    live = [e for e in es if not e[6] and (e[4] is None or e[5] is None or e[4] < e[5])]
+    hit = {x[0] for x in live for y in live if x[1] == y[1] and x[3] == y[3] and x[2] != y[2] and (x[4] or "0") < (y[5] or "9") and (y[4] or "0") < (x[5] or "9")}
+    assert {r["id"]: r["conflict"] for r in relational.conflicts(df).collect()} == {e[0]: e[0] in hit for e in es} and 0 < len(hit) < len(live)
+
