@@ -44,12 +44,17 @@ def consolidated(memories: DataFrame, threshold: float = 0.85) -> DataFrame:
         g = g.sort_values("id", kind="stable")
         x = np.array([np.asarray(e, float) for e in g["embedding"]])
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        lead, out, ids = [], [], g["id"].to_numpy()
+        ids, out, lead, n = g["id"].to_numpy(), [], [], 0
+        held = np.empty((16, x.shape[1] if len(g) else 0))
         for k in range(len(g)):
-            near = [j for j in lead if x[j] @ x[k] >= threshold]
-            if not near:
+            near = np.flatnonzero(held[:n] @ x[k] >= threshold)
+            if not len(near):
+                if n == len(held):
+                    held = np.concatenate([held, np.empty_like(held)])
+                held[n] = x[k]
+                n += 1
                 lead.append(k)
-            out.append(int(ids[near[0] if near else k]))
+            out.append(int(ids[lead[near[0]] if len(near) else k]))
         return g.assign(group=out)
 
     return memories.groupBy("topic").applyInPandas(run, T_.StructType([*memories.schema.fields, T_.StructField("group", T_.LongType())]))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -198,11 +200,25 @@ def projected(spans: DataFrame, ledger: DataFrame) -> DataFrame:
     return both.join(exact, ["source_id", "start", "end"], "left").select("source_id", "start", "end", F.coalesce("x.canonical_start", "s").alias("canonical_start"), F.coalesce("x.canonical_end", "t").alias("canonical_end"))
 
 
+#: Rules up to this number become one expression.
+MOST_RULES = 1_000
+
+
 def rules_matched(sources: DataFrame, rules: DataFrame) -> DataFrame:
-    """id, domains: the domains of the matching rules by priority. Rules (priority, source_type, uri_prefix, uri_regex, domain) are a configuration table."""
-    m = sources.join(F.broadcast(rules), (F.coalesce(rules["source_type"] == sources["source_type"], F.lit(True))) & (rules["uri_prefix"].isNull() | sources["uri"].startswith(rules["uri_prefix"])) & (rules["uri_regex"].isNull() | F.regexp_like(sources["uri"], rules["uri_regex"])))
-    got = m.groupBy(sources["id"]).agg(F.array_sort(F.collect_list(F.struct("priority", "domain"))).alias("p"))
-    return got.select("id", F.array_distinct(F.transform("p", lambda x: x["domain"])).alias("domains"))
+    """id, domains: the domains of the matching rules by priority, for sources that match any. Rules (priority, source_type, uri_prefix, uri_regex, domain) are
+    a configuration table: up to MOST_RULES of them are read and become an expression, so that there is no join; more are joined."""
+    read = rules.select("priority", "source_type", "uri_prefix", "uri_regex", "domain").limit(MOST_RULES + 1).collect()
+    if len(read) > MOST_RULES:
+        r = rules.withColumnRenamed("source_type", "_type")
+        fits = (r["_type"].isNull() | (r["_type"] == sources["source_type"])) & (r["uri_prefix"].isNull() | sources["uri"].startswith(r["uri_prefix"])) & (r["uri_regex"].isNull() | F.regexp_like(sources["uri"], r["uri_regex"]))
+        got = sources.join(r, fits).groupBy(sources["id"]).agg(F.array_sort(F.collect_list(F.struct("priority", "domain"))).alias("p"))
+        return got.select("id", F.array_distinct(F.transform("p", lambda x: x["domain"])).alias("domains"))
+    hits = []
+    for r in sorted(read, key=lambda r: (r["priority"], r["domain"])):
+        tests = [F.col("source_type") == r["source_type"]] * (r["source_type"] is not None) + [F.col("uri").startswith(r["uri_prefix"] or "")] * (r["uri_prefix"] is not None) + [F.col("uri").rlike(r["uri_regex"] or "")] * (r["uri_regex"] is not None)
+        hits.append(F.when(reduce(and_, tests, F.lit(True)), F.lit(r["domain"])))
+    found = F.array_distinct(F.filter(F.array(*hits), lambda x: x.isNotNull())) if hits else F.expr("cast(array() as array<string>)")
+    return sources.select("id", found.alias("domains")).filter(F.size("domains") > 0)
 
 
 def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -253,11 +269,14 @@ def gaps(nodes: DataFrame, edges: DataFrame, least_in: int, least_name: int = 3,
 
 
 def canonical_rel(names: DataFrame, known: DataFrame, least: float = 0.4) -> DataFrame:
-    """name, canonical: the known relation of the largest similarity * ln(count + 1); the name itself where none is similar. Both sides are small dimensions."""
-    k = known.select(F.col("rel_type"), F.col("n"), T.trigrams(F.col("rel_type")).alias("_k"))
-    m = names.select("name", T.trigrams(F.trim(F.lower("name"))).alias("_t")).join(F.broadcast(k), T.similarity(F.col("_t"), F.col("_k")) >= least, "left")
-    best = F.max(F.when(F.col("rel_type").isNotNull(), F.struct((T.similarity(F.col("_t"), F.col("_k")) * F.ln(F.col("n") + 1)).alias("s"), "rel_type"))).alias("b")
-    return m.groupBy("name").agg(best).select("name", F.coalesce("b.rel_type", F.trim(F.lower("name"))).alias("canonical"))
+    """name, canonical: the known relation (rel_type, n) of the largest similarity * ln(n + 1); the name itself where none is similar. By an equi join on trigrams."""
+    grams = lambda df, key: df.select(key, F.explode(T.trigrams(F.trim(F.lower(key)))).alias("g"))
+    a, b = grams(names.select("name").distinct(), "name"), grams(known.select("rel_type").distinct(), "rel_type")
+    size = lambda df, key, n: df.groupBy(key).agg(F.count("*").alias(n))
+    j = a.join(b, "g").groupBy("name", "rel_type").agg(F.count("*").alias("s")).join(size(a, "name", "na"), "name").join(size(b, "rel_type", "nb"), "rel_type").join(known, "rel_type")
+    sim = F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))
+    best = j.filter(sim >= least).groupBy("name").agg(F.max(F.struct((sim * F.ln(F.col("n") + 1)).alias("s"), "rel_type")).alias("b"))
+    return names.select("name").distinct().join(best, "name", "left").select("name", F.coalesce("b.rel_type", F.trim(F.lower("name"))).alias("canonical"))
 
 
 def seniority(alpha0: float, beta0: float, weight: Column, confidence: Column) -> tuple[Column, Column]:

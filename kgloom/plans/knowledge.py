@@ -275,11 +275,6 @@ def statement_clusters(spark, sf):
     return resolve.clustered(s, 0.1).select("source_id", "id", "cluster")
 
 
-@query("abbreviations")
-def abbreviations(spark, sf):
-    return resolve.abbreviations(kg.table(spark, sf, "documents"))
-
-
 @query("extraction_batches")
 def extraction_batches(spark, sf):
     c = kg.chunks(spark, sf).select("source_id", "ordinal", fusion.token_count(F.col("content")).alias("tokens"))
