@@ -75,8 +75,17 @@ def _repeat_words(words: Column, window: int) -> Column:
         pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(let(pairs, lambda s: let(flagged(s), total)))
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - (window - 1)), lambda i: F.xxhash64(F.slice(words, i, window)))
-    return F.when(F.size(words) <= window, F.lit(0).cast("long")).otherwise(let(hashes, covered))
+    def grown(single: Column, hashes: Column, size: int) -> Column:
+        """A hash for each window, from ``hashes`` of ``size`` words: two neighbours make one of twice the size, or a word is added. No word is hashed twice."""
+        if size == window:
+            return covered(hashes)
+        after, step = (hashes, size) if 2 * size <= window else (single, 1)
+        n = F.size(single) - (size + step) + 1
+        joined = F.transform(F.slice(hashes, 1, n), lambda h, k: F.xxhash64(h, F.get(after, k + size)))
+        return let(joined, lambda h: grown(single, h, size + step))
+
+    singles = F.transform(words, lambda w: F.xxhash64(w))
+    return F.when(F.size(words) <= window, F.lit(0).cast("long")).otherwise(let(singles, lambda single: grown(single, single, 1)))
 
 
 def figures(text: Column) -> Column:
