@@ -31,14 +31,27 @@ def shared_folder(spark: SparkSession) -> str:
     return named or tempfile.mkdtemp(prefix="kgloom-")
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Rows of figures that a part of a checkpoint holds if fewer parts would do.
+PART_ROWS = 50_000
+#: So many parts aren't worth dealing anew.
+MANY_PARTS = 1_000
+
+
+def cut(df: DataFrame, rows: int | None = None, dealt: bool = False) -> DataFrame:
     """Computes ``df`` into the session's shared checkpoint folder and reads it from there.
 
+    ``rows``: how many there are at most, if known. Then few rows go into few files, as each file costs a task, and on file systems
+    without native calls a process. The parts are never more than ``df`` has, nor fewer than the cluster has cores. ``dealt``: the rows
+    come from tasks that should stay as many as they are, so that few rows are dealt to fewer tasks behind them.
+
     Spark removes what is no longer used if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is true.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
+    if rows is not None:
+        parts = max(rows // PART_ROWS + 1, sc.defaultParallelism)
+        df = df.coalesce(parts) if not dealt else df.repartition(parts) if parts < MANY_PARTS else df
     return df.checkpoint(eager=True)
 
 

@@ -210,9 +210,10 @@ def best_two_fit(lengths: list[int], room: int = LENGTH) -> list[list[int]]:
     return bins
 
 
-def _groups(rows: DataFrame) -> int:
+def _groups(rows: DataFrame) -> tuple[int, int]:
+    """How many groups to deal the pieces to, and how many pieces there are."""
     tokens, n = rows.agg(F.sum("length"), F.count("*")).first()
-    return max(1, (tokens or 0) // GROUP_TOKENS, n // GROUP_ROWS)
+    return max(1, (tokens or 0) // GROUP_TOKENS, n // GROUP_ROWS), n
 
 
 def _packed(rows: DataFrame, groups: int, turn: int) -> DataFrame:
@@ -243,11 +244,11 @@ def _packed(rows: DataFrame, groups: int, turn: int) -> DataFrame:
 
 def place(rows: DataFrame) -> DataFrame:
     """The pieces with sequence_id and offset. ``rows`` must be stored (``cut`` or a table), as groups go by position."""
-    names, groups, turn, done = rows.columns, _groups(rows), 0, None
+    names, (groups, n), turn, done = rows.columns, _groups(rows), 0, None
     while groups > 1:
-        out = cut(_packed(rows, groups, turn))
+        out = cut(_packed(rows, groups, turn), None if "ids" in names else n)  # with ids rows are large
         left = out.filter(F.col("_filled") < FILLED)
-        fewer = _groups(left)
+        fewer, n = _groups(left)
         if 2 * fewer > groups:  # documents that don't go together: packing them anew would change nothing
             left, full = None, out
         else:
@@ -255,13 +256,13 @@ def place(rows: DataFrame) -> DataFrame:
         done = full if done is None else done.unionByName(full)
         if left is None:
             return done.drop("_filled")
-        rows, groups, turn = cut(left.select(*names)), fewer, turn + 1
+        rows, groups, turn = cut(left.select(*names), None if "ids" in names else n), fewer, turn + 1
     out = _packed(rows, 1, turn)
     return (out if done is None else done.unionByName(out)).drop("_filled")
 
 
 def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
-    return place(cut(pieces(docs, path)))
+    return place(cut(pieces(docs, path), docs.count(), dealt=True))
 
 
 def sequences(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -78,7 +78,7 @@ def place(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, points:
     listed = F.when(F.col("start") < F.col("stop"), F.sequence(F.col("start") + 1, "stop")).otherwise(
         F.concat(F.filter(F.sequence(F.col("start") + 1, F.lit(points)), lambda p: p < points), F.sequence(F.lit(0), "stop"))
     )
-    of_point = cut(ring.select("arc", F.posexplode(listed).alias("k", "point")).join(F.broadcast(counts), "point").select("arc", "point", "n", F.expr("sum(n) OVER (PARTITION BY arc ORDER BY k) - n").alias("before")))
+    of_point = cut(ring.select("arc", F.posexplode(listed).alias("k", "point")).join(F.broadcast(counts), "point").select("arc", "point", "n", F.expr("sum(n) OVER (PARTITION BY arc ORDER BY k) - n").alias("before")), points)
     of_arc = of_point.groupBy("arc").agg(F.sum("n").alias("n")).join(ring.select("arc", "shards"), "arc")
     one = of_arc.agg(F.sort_array(F.collect_list(F.struct("arc", "n", "shards"))).alias("parts"), F.sum("n").alias("total"))
     bounds = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.expr(f"total div {shards}") + F.when(s < F.col("total") % shards, 1).otherwise(0))

@@ -175,13 +175,13 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), to)), pa.array(f & to), pa.array(f)], schema=schema)
 
 
-def links(fps: DataFrame, most_listed: int = MOST_LISTED) -> DataFrame:
-    """Links (u, v), u > v, with the components that all pairs of the distinct ``fps`` within MOST_BITS have."""
+def links(fps: DataFrame, n: int, most_listed: int = MOST_LISTED) -> DataFrame:
+    """Links (u, v), u > v, with the components that all pairs of the ``n`` distinct ``fps`` within MOST_BITS have."""
     rows, found, free = index(fps), None, 64 - 8 * 3
     while True:
         hot = None
         if 2 ** min(free, 62) > most_listed and free > MOST_BITS:
-            hot = cut(rows.groupBy("mask", "value").count().filter(F.col("count") > most_listed).select("mask", "value"))
+            hot = cut(rows.groupBy("mask", "value").count().filter(F.col("count") > most_listed).select("mask", "value"), len(TRIPLES) * n // most_listed)
         more = hot is not None and not hot.isEmpty()
         short = rows.join(hot, ["mask", "value"], "left_anti").select(*rows.columns) if more else rows
         part = short.repartition("mask", "value").sortWithinPartitions("mask", "value", "fp").mapInArrow(_list_links, "u long, v long")
@@ -194,13 +194,13 @@ def links(fps: DataFrame, most_listed: int = MOST_LISTED) -> DataFrame:
         free -= free // (MOST_BITS + 1)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, root) for the nodes of ``edges`` (u, v; u > v) but the roots; root: the smallest node it is connected to.
 
     Alternates large-star and small-star steps until the links stay as they are. Each step takes its minimum by a
-    grouped aggregate, so that a node of very many links costs one partial row from each task.
+    grouped aggregate, so that a node of very many links costs one partial row from each task. ``most``: the links' number at most, if known.
     """
-    edges, was = cut(edges), None
+    edges, was = cut(edges, most), None
     while (now := edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first()) != was and now[0]:
         was = now
         low = edges.select(F.col("u").alias("node"), F.col("v").alias("m"))
@@ -209,7 +209,7 @@ def components(edges: DataFrame) -> DataFrame:
         best = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "node")
         small = large.join(best, large["u"] == best["node"])
         moved = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        edges = cut(moved.unionByName(best.select(F.col("node").alias("u"), F.col("m").alias("v"))).distinct())
+        edges = cut(moved.unionByName(best.select(F.col("node").alias("u"), F.col("m").alias("v"))).distinct(), now[0])
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -230,17 +230,21 @@ def looked_up(rows: DataFrame, found: DataFrame, key: str, hot: int = HOT) -> Da
 
 def _grouped(prints: DataFrame, least: Column, most_listed: int, hot: int) -> DataFrame:
     """fp, n, root, least: each distinct fingerprint with its rows' count, its component and the component's ``least``."""
-    distinct = cut(prints.groupBy("fp").agg(F.min(least).alias("least"), F.count("*").alias("n")))
-    roots = components(links(distinct.select("fp"), most_listed))
-    rooted = cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.col("n").alias("rows"), F.coalesce("root", "fp").alias("root")))
-    best = cut(rooted.groupBy("root").agg(F.min("least").alias("least"), F.count("*").alias("n")))
+    distinct = cut(prints.groupBy("fp").agg(F.min(least).alias("least"), F.count("*").alias("n")), prints.count())
+    n = distinct.count()
+    # A list gives fewer links than it has rows, and there are 20 rows for each fingerprint.
+    roots = components(links(distinct.select("fp"), n, most_listed), len(TRIPLES) * n)
+    rooted = cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.col("n").alias("rows"), F.coalesce("root", "fp").alias("root")), n)
+    best = cut(rooted.groupBy("root").agg(F.min("least").alias("least"), F.count("*").alias("n")), n)
     return looked_up(rooted.drop("least"), best, "root", hot).withColumnRenamed("rows", "n")
 
 
 def near_duplicates(docs: DataFrame, most_listed: int = MOST_LISTED, hot: int = HOT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: one row for each row of ``docs``."""
-    prints = cut(fingerprints(docs))
-    of_fp = cut(_grouped(prints, F.col("doc_id"), most_listed, hot).select("fp", "n", F.col("least").alias("component_id")))
+    n = docs.count()
+    prints = cut(fingerprints(docs), n, dealt=True)
+    of_fp = _grouped(prints, F.col("doc_id"), most_listed, hot)
+    of_fp = cut(of_fp.select("fp", "n", F.col("least").alias("component_id")), n)
     return looked_up(prints, of_fp, "fp", hot).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -253,10 +257,11 @@ def one_of_each(docs: DataFrame, most_listed: int = MOST_LISTED) -> DataFrame:
     names = docs.columns
     row = F.to_json(F.struct(*(F.col(f"`{c}`") for c in names if c != "text")))
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.xxhash64("text", row).alias("_a"), F.xxhash64(F.lit("b"), row, "text").alias("_b"))
-    prints = cut(fingerprints(keyed.select("_row.doc_id", "_row.text", "_a", "_b"), "_a", "_b"))
+    n = docs.count()
+    prints = cut(fingerprints(keyed.select("_row.doc_id", "_row.text", "_a", "_b"), "_a", "_b"), n, dealt=True)
     least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_a", "_b")
     best = _grouped(prints, least, most_listed, HOT).groupBy("root").agg(F.min("least").alias("least"))
-    kept = cut(best.select(F.col("least._a").alias("_a"), F.col("least._b").alias("_b")))
+    kept = cut(best.select(F.col("least._a").alias("_a"), F.col("least._b").alias("_b")), n)
     again = prints.join(kept, ["_a", "_b"]).groupBy("_a", "_b").agg(F.count("*").alias("n")).filter("n > 1")
     if not again.isEmpty():  # equal rows: each task keeps one of its own before they meet
         keyed = keyed.dropDuplicates(["_a", "_b"])

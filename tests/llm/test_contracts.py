@@ -173,7 +173,7 @@ def test_links_of_dense_groups(spark):
     signed = {x: int(np.array([x], np.uint64).view(np.int64)[0]) for x in fps}
     df = spark.createDataFrame([(v,) for v in signed.values()], "fp long")
     for most in (4096, 8):
-        root = {r[0]: r[1] for r in simhash.components(simhash.links(df, most)).collect()}
+        root = {r[0]: r[1] for r in simhash.components(simhash.links(df, len(signed), most)).collect()}
         assert {x: root.get(signed[x], signed[x]) for x in fps} == {x: signed[y] for x, y in want.items()}
 
 
