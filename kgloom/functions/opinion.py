@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TINY = 1e-10
-#: Prior (alpha, beta) of a source's trust by its type.
+# Fixed values, as results must be the same: the prior (alpha, beta) of a source's trust by its type.
 TRUST = {"document": (4.0, 1.0), "code": (3.5, 1.5), "api": (3.5, 1.5), "tool_output": (3.5, 1.5), "web_page": (3.0, 2.0), "manual": (3.0, 2.0), "conversation": (2.5, 2.5), "observation": (2.0, 3.0)}
 CONTENDS = 0.3
 

@@ -108,7 +108,18 @@ def metadata_only(text: Column) -> Column:
     return (solid < 30) | ((F.octet_length(F.trim(text)) < 80) & labels)
 
 
-PAGE_FURNITURE = ("back to top", "cookie policy", "log in", "privacy policy", "sign up", "skip to", "subscribe", "table of contents", "view pdf")
+# Fixed values, as results must be the same: what lines of scraped pages hold that are no text, and headings whose chunks go.
+PAGE_FURNITURE = (
+    "view pdf", "view a pdf", "html (experimental)", "cite as:", "subjects:", "comments:", "download pdf", "download:", "bibtex", "submission history", "< prev", "next >",
+    "report issue for preceding element", "report github issue", "submit without github", "submit in github", "content selection saved", "back to arxiv", "back to abstract",
+    "why html?", "tex source", "view license", "browse context", "current browse context", "change to browse by",
+)
+ARTIFACT_HEADINGS = ("report issue for preceding element",)
+
+
+def artifact_heading(path: Column) -> Column:
+    """Whether a heading path (array) has a heading that only scraping leaves."""
+    return F.exists(path, lambda h: any_of(*(F.lower(h).contains(a) for a in ARTIFACT_HEADINGS)))
 
 
 def boilerplate_line(line: Column) -> Column:
@@ -170,13 +181,14 @@ def noise_name(name: Column) -> Column:
     )
 
 
-CODE = ("class", "code_function", "code_impl", "code_module", "code_struct", "code_test", "code_trait", "code_type", "constant", "enum", "function", "impl_block", "macro", "module", "struct", "trait")
+# Fixed values, as results must be the same: node types that are code.
+CODE = ("function", "struct", "trait", "enum", "impl_block", "constant", "module", "class", "macro", "code_function", "code_struct", "code_trait", "code_module", "code_impl", "code_type", "code_test")
 
 
 def entity_class(node_type: Column, domain: Column | None = None) -> Column:
     """Code of a source that isn't code is a mention, so of class domain."""
     code = F.lit(True) if domain is None else F.coalesce(domain == "code", F.lit(True))
-    return F.when(node_type.isin(*CODE), F.when(code, "code").otherwise("domain")).when(node_type.isin("location", "organization", "person", "role"), "actor").when(node_type == "component", "analysis").otherwise("domain")
+    return F.when(node_type.isin(*CODE), F.when(code, "code").otherwise("domain")).when(node_type.isin("person", "organization", "location", "role"), "actor").when(node_type == "component", "analysis").otherwise("domain")
 
 
 def failure(error: Column) -> Column:

@@ -314,6 +314,12 @@ def chunk_predicates(spark, sf):
     return kg.chunks(spark, sf).select("id", T.boilerplate_heavy(c).alias("boilerplate"), T.author_block(c).alias("authors"), T.reference_section(c).alias("references"), T.title_only(c).alias("title_only"), T.trivial_code(c).alias("trivial_code"))
 
 
+@query("artifact_headings", "SELECT doc_id, doc_id % 4 = 0 AS artifact FROM documents")
+def artifact_headings(spark, sf):
+    path = F.array(F.col("lang"), F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Report Issue for preceding element "), "doc_id")).otherwise(F.col("source")))
+    return kg.table(spark, sf, "documents").select("doc_id", T.artifact_heading(path).alias("artifact"))
+
+
 @query("cleaned_headings", "SELECT item_id, regexp_replace(text, '[*_`]+', '', 'g') AS heading FROM benchmark WHERE NOT contains(text, '](')")
 def cleaned_headings(spark, sf):
     return kg.table(spark, sf, "benchmark").select("item_id", T.unnumbered(T.unmarked(F.concat(F.lit("2.1 **"), "text", F.lit("**")))).alias("heading"))

@@ -55,7 +55,7 @@ def test_noise(spark, name, noise):
 def test_chunk_predicates(spark):
     c = lambda f, x: one(spark, f(F.lit(x)))[0]
     assert c(T.metadata_only, "**A:** b") and not c(T.metadata_only, "a real sentence with quite enough letters in it to count")
-    assert c(T.boilerplate_heavy, "Skip to content\nLog in\nSign up") and not c(T.boilerplate_heavy, "plain prose")
+    assert c(T.boilerplate_heavy, "View PDF of it\nBibTeX\nthe rest of the page") and not c(T.boilerplate_heavy, "plain prose")
     assert c(T.author_block, "Authors: A, B") and c(T.author_block, "A a@b.co\nB c@d.co") and not c(T.author_block, "prose")
     assert c(T.bibliography_entry, "[12] A. Author, Title") and c(T.reference_section, "\n".join(["[1] A. Author. A title that is long enough to fill the line of a list of references."] * 6))
     assert c(T.title_only, "# T") and c(T.title_only, "# Title\nshort") and not c(T.title_only, "a line\nanother line that is surely long enough to stand")
