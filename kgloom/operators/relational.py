@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
+from ..plans.lineage import cut
 
 
 def page(df: DataFrame, offset: int, limit: int, *order) -> DataFrame:
@@ -75,6 +76,7 @@ def cooccurrence(extractions: DataFrame, least: int = 2, known: DataFrame | None
         one = one.join(degree.filter(F.col("out_degree") + F.col("in_degree") >= max_degree).select(F.col("id").alias("entity_id")), "entity_id", "left_anti")
     if least > 1:
         one = one.join(one.groupBy("entity_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("entity_id"), "entity_id", "left_semi")
+    one = cut(one)  # both sides of the join come from here
     x, y = one.withColumnRenamed("entity_id", "a"), one.withColumnRenamed("entity_id", "b")
     pairs = x.join(y, "chunk_id").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     if known is not None:
