@@ -8,49 +8,54 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from ..functions import text as T
-from ..functions import vector as V
 from ..plans.lineage import cut
-from . import relational
+from . import blocks, relational
 from .graph import components
 
 
 def resolved(mentions: DataFrame, nodes: DataFrame, aliases: DataFrame, threshold: float = 0.4) -> DataFrame:
     """mention, node, match: exact name (any case), then alias, then the most similar name by trigrams, else new.
 
-    Candidates of the fuzzy tier share a trigram, so that it is an equi join on trigrams, of mentions that the tiers before left over; a pair's
-    shared trigrams are counted, and the counts of both sides give the similarity with no second look at names.
+    Candidates of the fuzzy tier share a rare trigram (``similar_names``), so that it is an equi join, of mentions that the tiers before left over.
     """
     low = mentions.select("mention", F.lower(F.trim("mention")).alias("key")).distinct()
     pick = lambda df, name: df.groupBy("key").agg(F.min("node").alias(name))
     exact = pick(nodes.select(F.lower("name").alias("key"), F.col("id").alias("node")), "exact")
     alias = pick(aliases.select(F.lower("alias").alias("key"), F.col("node_id").alias("node")), "alias")
     first = low.join(exact, "key", "left").join(alias, "key", "left")
-    grams = lambda df, key, text: df.select(key, F.explode(T.trigrams(F.col(text))).alias("g"))
     rest = first.filter("exact IS NULL AND alias IS NULL").select("key").distinct()
     # Names are resolved, not nodes: equal names are one candidate.
     names = nodes.groupBy(F.lower("name").alias("name")).agg(F.min("id").alias("node"))
-    a, b = grams(rest.withColumn("k", F.col("key")), "key", "k"), grams(names.withColumn("k", F.col("name")), "name", "k")
-    sizes = lambda df, key, n: df.groupBy(key).agg(F.count("*").alias(n))
-    shared = a.join(b, "g").groupBy("key", "name").agg(F.count("*").alias("s")).join(sizes(a, "key", "na"), "key").join(sizes(b, "name", "nb"), "name")
-    sim = F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))
-    best = shared.filter(sim >= threshold).join(names, "name").groupBy("key").agg(F.max(F.struct(F.round(sim, 9).alias("sim"), (-F.col("node")).alias("minus"))).alias("m"))
+    best = similar_names(rest, names, threshold).join(names, "name").groupBy("key").agg(F.max(F.struct(F.round("sim", 9).alias("sim"), (-F.col("node")).alias("minus"))).alias("m"))
     fuzzy = best.select("key", (-F.col("m.minus")).alias("fuzzy"))
     node = F.coalesce("exact", "alias", "fuzzy")
     match = F.when(F.col("exact").isNotNull(), "exact").when(F.col("alias").isNotNull(), "alias").when(F.col("fuzzy").isNotNull(), "fuzzy").otherwise("new")
     return first.join(fuzzy, "key", "left").select("mention", node.alias("node"), match.alias("match"))
 
 
-def _grams(df: DataFrame, key: str) -> DataFrame:
-    return df.select(key, F.explode(T.trigrams(F.col(key))).alias("g"))
+def similar_names(keys: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
+    """key, name, sim: names (name) whose trigrams are similar to those of a key (key), by Jaccard, at ``threshold`` or more.
+
+    By prefixes: with trigrams ordered from the rarest on, two sets that are so similar share one of their first n - threshold * n + 1.
+    Pairs that meet there are judged on the spot, so that trigrams that all names have make no pairs.
+    """
+    grams = lambda df, c: df.select(F.col(c), F.explode(T.trigrams(F.col(c))).alias("g"))
+    a, b = grams(keys.select("key").distinct(), "key"), grams(names.select("name").distinct(), "name")
+    count = a.select("g").unionAll(b.select("g")).groupBy("g").agg(F.count("*").alias("f"))
+
+    def first(df, c, all_):
+        x = df.join(count, "g").groupBy(c).agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("_x")).select(c, F.col("_x.g").alias(all_))
+        n = F.size(all_)
+        return x.withColumn("g", F.explode(F.slice(all_, F.lit(1), F.least(n, n - F.ceil(n * threshold - 1e-9).cast("int") + 1))))
+
+    s = F.size(F.array_intersect("_a", "_b"))
+    met = first(a, "key", "_a").join(first(b, "name", "_b"), "g").withColumn("_s", s)
+    return met.withColumn("sim", F.col("_s") / (F.size("_a") + F.size("_b") - F.col("_s"))).filter(F.col("sim") >= threshold).select("key", "name", "sim").distinct()
 
 
 def fuzzy_candidates(keys: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """key, node, node_type, sim: nodes whose names are similar to a key (lower case) by trigrams; by an equi join on trigrams of distinct names."""
-    names = nodes.select(F.lower("name").alias("name")).distinct()
-    a, b = _grams(keys, "key"), _grams(names, "name")
-    sizes = lambda df, key, n: df.groupBy(key).agg(F.count("*").alias(n))
-    shared = a.join(b, "g").groupBy("key", "name").agg(F.count("*").alias("s")).join(sizes(a, "key", "na"), "key").join(sizes(b, "name", "nb"), "name")
-    near = shared.withColumn("sim", F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))).filter(F.col("sim") >= threshold).select("key", "name", "sim")
+    """key, node, node_type, sim: nodes whose names are similar to a key (lower case) by trigrams (``similar_names``)."""
+    near = similar_names(keys, nodes.select(F.lower("name").alias("name")), threshold)
     return near.join(nodes.select(F.col("id").alias("node"), F.lower("name").alias("name"), "node_type"), "name").select("key", "node", "node_type", "sim")
 
 
@@ -78,12 +83,13 @@ def tiered(mentions: DataFrame, nodes: DataFrame, aliases: DataFrame, edges: Dat
     exact = nodes.groupBy(F.lower("name").alias("key")).agg(F.min("id").alias("exact"))
     alias = aliases.groupBy(F.lower("alias").alias("key")).agg(F.min("node_id").alias("alias"))
     first = low.join(exact, "key", "left").join(alias, "key", "left")
-    rest = first.filter("exact IS NULL AND alias IS NULL AND NOT from_code").select("mention_id", "key", "node_type", "embedding")
+    rest = cut(first.filter("exact IS NULL AND alias IS NULL AND NOT from_code").select("mention_id", "key", "node_type", "embedding"))
     of_type = nodes.select(F.col("id").alias("node"), F.col("node_type").alias("candidate_type"))
-    near = relational.close_pairs(rest.filter("embedding IS NOT NULL").select(F.col("mention_id").alias("id"), "embedding"), nodes.filter("embedding IS NOT NULL").select("id", "embedding"), 1 - similarity, recall)
+    said, named = rest.filter("embedding IS NOT NULL").select(F.col("mention_id").alias("id"), "embedding"), nodes.filter("embedding IS NOT NULL").select("id", "embedding")
+    near = relational.nearest(said, named, 1 - similarity) if recall is None else relational.close_pairs(said, named, 1 - similarity, recall)
     closest = near.groupBy(F.col("left_id").alias("mention_id")).agg(F.min(F.struct(F.round("distance", 12).alias("d"), F.col("right_id").alias("n"))).alias("m")).select("mention_id", F.col("m.n").alias("node"))
-    vector = supported(closest.join(of_type, "node").join(rest.select("mention_id", "node_type"), "mention_id"), nodes, edges).select("mention_id", F.col("node").alias("vector"))
-    left = rest.join(vector, "mention_id", "left_anti")
+    vector = cut(supported(cut(closest.join(of_type, "node").join(rest.select("mention_id", "node_type"), "mention_id")), nodes, edges).select("mention_id", F.col("node").alias("vector")))
+    left = cut(rest.join(vector, "mention_id", "left_anti").drop("embedding"))
     likes = fuzzy_candidates(left.select("key").distinct(), nodes, threshold).withColumnRenamed("node_type", "candidate_type").join(left.select("mention_id", "key", "node_type"), "key")
     order = F.struct((F.lower("candidate_type") == F.lower("node_type")).cast("int").alias("same"), F.round("sim", 9).alias("sim"), (-F.col("node")).alias("minus"))
     best = likes.groupBy("mention_id", "node_type").agg(F.max(F.struct(order.alias("o"), "candidate_type")).alias("m")).select("mention_id", "node_type", (-F.col("m.o.minus")).alias("node"), F.col("m.candidate_type").alias("candidate_type"))
@@ -102,7 +108,7 @@ def upserted(mentions: DataFrame, found: DataFrame, nodes: DataFrame, aliases: D
     order of names. A vector match of three characters or more gives its node an alias, unless the alias is taken. A node whose
     code has another hash than before loses its summary. Set-based: mentions of one name meet in an aggregate, so no lock is needed.
     """
-    m = mentions.join(found.select("mention_id", "node", "match"), "mention_id")
+    m = cut(mentions.select("mention_id", "name", "node_type", "ast_hash").join(found.select("mention_id", "node", "match"), "mention_id"))
     hit = m.filter("node IS NOT NULL").groupBy(F.col("node").alias("id")).agg(F.count("*").alias("_n"), F.max_by("ast_hash", F.when(F.col("ast_hash").isNotNull(), F.col("mention_id"))).alias("_hash"))
     changed = F.col("_hash").isNotNull() & ~F.col("_hash").eqNullSafe(F.col("ast_hash"))
     old = nodes.join(hit, "id", "left").withColumns({"mention_count": F.col("mention_count") + F.coalesce("_n", F.lit(0)), "summary": F.when(~changed, F.col("summary")), "ast_hash": F.coalesce("_hash", "ast_hash")}).select(*nodes.columns)
@@ -121,7 +127,7 @@ def upserted(mentions: DataFrame, found: DataFrame, nodes: DataFrame, aliases: D
 def pending_resolved(pending: DataFrame, similarity: float = 0.85, least: int = 2, recall: float | None = None) -> DataFrame:
     """id, canonical, noise of deferred names (id, confidence, embedding): groups connected by cosines of ``similarity`` or more; the
     most confident one, ties by id, is a group's canonical name; names in no group of ``least`` are promoted to nodes of their own."""
-    pairs = relational.close_pairs(pending.select("id", "embedding"), pending.select("id", "embedding"), 1 - similarity, recall)
+    pairs = blocks.links(pending, 1 - similarity) if recall is None else relational.close_pairs(pending, pending, 1 - similarity, recall)
     c = linked_clusters(pairs, pending).join(pending.select("id", "confidence"), "id")
     best = c.groupBy("cluster").agg(F.max(F.struct("confidence", (-F.col("id")).alias("minus"))).alias("m"), F.count("*").alias("n"))
     noise = F.col("n") < least
@@ -135,10 +141,10 @@ def statements_matched(new: DataFrame, old: DataFrame, similarity: float = 0.92,
     neither an exact nor the nearest match of a new one go if at most ``kept_words`` of their long words are still in the span of
     the new text that they came from.
     """
-    o, n = old.select("source_id", F.col("id").alias("old_id"), "hash", F.col("embedding").alias("_o"), "content", "span"), new.select("source_id", "id", "hash", "embedding")
+    o, n = old.select("source_id", F.col("id").alias("old_id"), "hash", "content", "span"), new.select("source_id", "id", "hash", "embedding")
     rest = n.join(o.select("source_id", "hash").distinct(), ["source_id", "hash"], "left_anti")
-    near = rest.filter("embedding IS NOT NULL").join(o.filter("_o IS NOT NULL").select("source_id", "old_id", "_o"), "source_id").withColumn("sim", V.cosine(F.col("embedding"), F.col("_o"))).filter(F.col("sim") > similarity)
-    best = near.groupBy("id").agg(F.max(F.struct(F.round("sim", 12).alias("sim"), (-F.col("old_id")).alias("minus"))).alias("m")).select("id", (-F.col("m.minus")).alias("old_id"))
+    near = blocks.best(rest.filter("embedding IS NOT NULL"), old.filter("embedding IS NOT NULL"), 1, 12, above=similarity, by="source_id")
+    best = near.groupBy(F.col("left_id").alias("id")).agg(F.max(F.struct(F.round("cosine", 12).alias("sim"), (-F.col("right_id")).alias("minus"))).alias("m")).select("id", (-F.col("m.minus")).alias("old_id"))
     added = rest.join(best, "id", "left_anti").select("source_id", "id")
     unmatched = o.join(n.select("source_id", "hash").distinct(), ["source_id", "hash"], "left_anti").join(best.select("old_id").distinct(), "old_id", "left_anti")
     long = F.filter(F.split(F.lower("content"), r"\s+"), lambda w: F.octet_length(w) > 3)
