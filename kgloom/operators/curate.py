@@ -99,10 +99,12 @@ def code_paths(nodes: DataFrame, provenance: DataFrame) -> DataFrame:
     return nodes.join(best, "id", "left").select("id", F.coalesce("file_path", "_uri").alias("path"))
 
 
-def nearest_k(left: DataFrame, right: DataFrame, k: int, least: float, known: DataFrame | None = None) -> DataFrame:
-    """src, dst, similarity: for each of ``left`` its ``k`` most similar of ``right`` from ``least`` on, but for ``known`` edges."""
+def nearest_k(left: DataFrame, right: DataFrame, k: int, least: float, known: DataFrame | Column | None = None) -> DataFrame:
+    """src, dst, similarity: for each of ``left`` its ``k`` most similar of ``right`` from ``least`` on, but for ``known`` edges: rows (src, dst), or a test of src and dst."""
     pairs = relational.close_pairs(left, right, 1 - least + 1e-12).select(F.col("left_id").alias("src"), F.col("right_id").alias("dst"), (1 - F.col("distance")).alias("similarity"))
-    if known is not None:
+    if isinstance(known, Column):
+        pairs = pairs.filter(~F.coalesce(known, F.lit(False)))
+    elif known is not None:
         pairs = pairs.join(known.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
     w = Window.partitionBy("src").orderBy(F.desc(F.round("similarity", 12)), "dst")
     return pairs.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).drop("_n")
