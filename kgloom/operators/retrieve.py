@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.lineage import cut
-from . import fusion, graph, relational
+from . import blocks, fusion, graph, relational
 
 
 def lexical(docs: DataFrame, query: str, k: int = 50) -> DataFrame:
@@ -203,11 +203,10 @@ def searched(query: DataFrame, cache: DataFrame, results: DataFrame, now: Column
 
 def cached(queries: DataFrame, cache: DataFrame, now: Column, ttl: int = 3600, within: float = 0.05) -> DataFrame:
     """query_id, cache_id: the nearest cached query of the same strategy, near and young enough. The cache is bounded at 10,000 rows."""
-    from ..functions import vector as V
-
-    c = cache.filter(F.unix_micros(now) - F.unix_micros(F.col("at").cast("timestamp")) <= ttl * 1_000_000).select(F.col("id").alias("cache_id"), "strategy", F.col("embedding").alias("_c"))
-    j = queries.join(c, "strategy").withColumn("d", F.round(V.distance(F.col("embedding"), F.col("_c")), 9)).filter(F.col("d") < within)
-    return j.groupBy(F.col("id").alias("query_id")).agg(F.min(F.struct("d", "cache_id")).alias("m")).select("query_id", F.col("m.cache_id").alias("cache_id"), F.col("m.d").alias("distance"))
+    young = cache.filter(F.unix_micros(now) - F.unix_micros(F.col("at").cast("timestamp")) <= ttl * 1_000_000)
+    # Distances are rounded before they are compared: what is a little farther than ``within`` may pass.
+    near = blocks.best(queries, young, 1, 9, within=within + 1e-8, by="strategy").select("left_id", F.col("right_id").alias("cache_id"), F.round(F.greatest(1 - F.col("cosine"), F.lit(0.0)), 9).alias("d"))
+    return near.filter(F.col("d") < within).groupBy(F.col("left_id").alias("query_id")).agg(F.min(F.struct("d", "cache_id")).alias("m")).select("query_id", F.col("m.cache_id").alias("cache_id"), F.col("m.d").alias("distance"))
 
 
 def latest_kept(cache: DataFrame, most: int = 10_000) -> DataFrame:
