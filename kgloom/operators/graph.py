@@ -132,13 +132,25 @@ def spreading(edges: DataFrame, seeds: DataFrame, decay: float = 0.7, threshold:
 def betweenness(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """id, score: shortest paths through a node over directed edges, parallel ones each, of ``most`` hops if given; normalised by (n-1)(n-2).
 
-    All sources at once, level by level: path counts forward, dependencies back. Rows are pairs that reach each other.
+    All sources at once, level by level: path counts forward, dependencies back. Rows are pairs that reach each other, but for those that
+    no path through a node has part in: only nodes with edges in and out lie between others. What a source's own edges reach is
+    ``e`` itself, of which only the edges to such nodes, and to the ends of theirs, are kept.
     """
     n = nodes.count()
-    e = cut(edges.filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("m")))
-    front = cut(nodes.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("sigma")))
-    seen, levels = front.select("s", "id"), [front]
-    while most is None or len(levels) <= most:
+    own = edges.filter("src <> dst").select("src", "dst")
+    mid = cut(own.select(F.col("src").alias("id")).distinct().join(own.select(F.col("dst").alias("id")).distinct(), "id", "left_semi"))
+    between = lambda c: mid.select(F.col("id").alias(c))
+    m = own.groupBy("src", "dst").agg(F.count("*").alias("m"))
+    e = cut(m.join(between("src"), "src", "left_semi"))  # from the nodes that lie between others
+    to = cut(m.join(between("dst"), "dst", "left_semi").join(nodes.select(F.col("id").alias("src")), "src", "left_semi"))  # to them: the first level
+    far = own.join(e.select("dst").distinct(), "dst", "left_semi").distinct()
+    front = to.select(F.col("src").alias("s"), F.col("dst").alias("id"), F.col("m").cast("double").alias("sigma"))
+    # A source is at no distance from itself.
+    seen = cut(far.select(F.col("src").alias("s"), F.col("dst").alias("id")).unionAll(e.select(F.col("dst").alias("s"), F.col("dst").alias("id")).distinct()))
+    levels = [None, front]
+    if front.isEmpty():
+        levels = [None]
+    while len(levels) > 1 and (most is None or len(levels) <= most):
         met = front.join(e, front["id"] == e["src"]).groupBy("s", F.col("dst").alias("id")).agg(F.sum(F.col("sigma") * F.col("m")).alias("sigma"))
         front = cut(met.join(seen, ["s", "id"], "left_anti"))
         if front.isEmpty():
@@ -154,6 +166,8 @@ def betweenness(nodes: DataFrame, edges: DataFrame, most: int | None = None) ->
         total = own if total is None else total.unionByName(own)
         if k % EVERY == 0:
             total = cut(total.groupBy("id").agg(F.sum("dep").alias("dep")))
+        if k == 1:
+            break  # what goes back to the sources isn't counted
         down = lower.select("s", F.col("id").alias("dst"), F.col("sigma").alias("t"), "dep").join(e, "dst")
         up = down.join(levels[k - 1].withColumnRenamed("id", "src"), ["s", "src"])
         deps = cut(up.groupBy("s", F.col("src").alias("id")).agg(F.sum(F.col("sigma") * F.col("m") / F.col("t") * (1 + F.col("dep"))).alias("dep")))
