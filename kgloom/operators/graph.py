@@ -104,15 +104,27 @@ def rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations:
         base = nodes.select("id").join(s, "id", "left").select("id", F.coalesce("t", F.lit(0.0)).alias("teleport"))
     has = out if lose_unweighted else out.filter("total > 0")
     base = cut(base.join(has.select(F.col("src").alias("id"), F.lit(False).alias("_d")), "id", "left").select("id", "teleport", F.coalesce("_d", F.lit(True)).alias("dangling")))
-    scores = base.withColumn("score", F.lit(1.0 / max(n, 1)))
-    for k in range(iterations):
-        mass = scores.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0)).alias("mass"))
-        flow = scores.select(F.col("id").alias("src"), "score").join(shares, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("flow"))
-        value = F.col("teleport") * (1 - damping + damping * F.col("mass")) + damping * F.coalesce("flow", F.lit(0.0))
-        scores = base.join(flow, "id", "left").join(F.broadcast(mass)).select("id", "teleport", "dangling", value.alias("score"))
+    # Only nodes that pass something on are kept up round by round; of the others the dangling ones count together, as mass. All come in the last round.
+    live = shares.select(F.col("src").alias("id")).distinct()
+    lost = base.join(live, "id", "left_anti").filter("dangling")
+    ends = lost.agg(F.count("*").alias("n"), F.coalesce(F.sum("teleport"), F.lit(0.0)).alias("t")).first()
+    to_lost = shares.join(lost.select(F.col("id").alias("dst")), "dst", "left_semi").groupBy(F.col("src").alias("id")).agg(F.sum("share").alias("q"))
+    inner = cut(shares.join(live.select(F.col("id").alias("dst")), "dst", "left_semi"))
+    own = cut(base.join(live, "id", "left_semi").join(to_lost, "id", "left").select("id", "teleport", F.coalesce("q", F.lit(0.0)).alias("q")))
+    scores, mass = own.withColumn("score", F.lit(1.0 / max(n, 1))), nodes.sparkSession.range(1).select(F.lit(ends["n"] / max(n, 1)).alias("mass"))
+    value = F.col("teleport") * (1 - damping + damping * F.col("mass")) + damping * F.coalesce("flow", F.lit(0.0))
+    flows = lambda over: scores.select(F.col("id").alias("src"), "score").join(over, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("flow"))
+    for k in range(iterations - 1):
+        given = scores.agg(F.coalesce(F.sum(F.col("score") * F.col("q")), F.lit(0.0)).alias("_q"))
+        scores, mass = (
+            own.join(flows(inner), "id", "left").join(F.broadcast(mass)).select("id", "teleport", "q", value.alias("score")),
+            given.join(F.broadcast(mass)).select((ends["t"] * (1 - damping + damping * F.col("mass")) + damping * F.col("_q")).alias("mass")),
+        )
         if k % EVERY == EVERY - 1:
-            scores = cut(scores)
-    return scores.select("id", "score")
+            scores, mass = cut(scores), cut(mass)
+    if iterations < 1:
+        return base.select("id", F.lit(1.0 / max(n, 1)).alias("score"))
+    return base.join(flows(shares), "id", "left").join(F.broadcast(mass)).select("id", value.alias("score"))
 
 
 def spreading(edges: DataFrame, seeds: DataFrame, decay: float = 0.7, threshold: float = 0.05, most: int = 10) -> DataFrame:

@@ -110,3 +110,32 @@ def test_similar_names_by_rare_trigrams(spark):
     for t in (0.3, 0.5, 1.0):
         want = {(a, b): len(g[a] & g[b]) / len(g[a] | g[b]) for a in names for b in names if g[a] & g[b] and len(g[a] & g[b]) / len(g[a] | g[b]) >= t}
         assert {r[:2]: r[2] for r in map(tuple, resolve.similar_names(df, df.withColumnRenamed("key", "name"), t).collect())} == want
+
+
+def test_rank_of_sinks_and_nodes_without_weight(spark):
+    """Sinks, lone nodes, nodes whose edges weigh nothing, ends outside the nodes: as the plain rounds have it."""
+    from pyspark.sql import functions as F
+
+    from kgloom.operators import graph
+
+    es = [(1, 2, 1.0), (1, 3, 3.0), (2, 1, 1.0), (2, 2, 0.5), (2, 9, 2.0), (3, 4, 1.0), (5, 1, 0.0), (6, 99, 1.0), (98, 1, 1.0)]
+    ids = [1, 2, 3, 4, 5, 6, 7, 9]
+    nodes, edges = spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(es, "src long, dst long, w double")
+    for lose in (False, True):
+        for rounds in (0, 1, 2, 7):
+            total, has = {}, set()
+            for s, _, w in es:
+                total[s] = total.get(s, 0) + w
+            has = {s for s in total if lose or total[s] > 0}
+            tele = {i: {1: 0.75, 4: 0.25}.get(i, 0.0) for i in ids}
+            now = dict.fromkeys(ids, 1 / len(ids))
+            for _ in range(rounds):
+                mass = sum(now[i] for i in ids if i not in has)
+                flow = dict.fromkeys(ids, 0.0)
+                for s, d, w in es:
+                    if s in now and d in now and total[s] > 0:
+                        flow[d] += now[s] * w / total[s]
+                now = {i: tele[i] * (0.15 + 0.85 * mass) + 0.85 * flow[i] for i in ids}
+            seeds = spark.createDataFrame([(1, 3.0), (4, 1.0)], "id long, weight double")
+            got = graph.rank(nodes, edges, iterations=rounds, seeds=seeds, weight=F.col("w"), lose_unweighted=lose)
+            assert {r["id"]: r["score"] for r in got.collect()} == pytest.approx(now)
