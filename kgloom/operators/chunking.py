@@ -110,7 +110,8 @@ def group_texts(chunks: DataFrame, by: str, most: int = 12_000, least: int = 2)
     sep = "\n\n---\n\n"
     before = F.expr(f"coalesce(sum(length(content) + {len(sep)}) OVER (PARTITION BY {by} ORDER BY ordinal, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
     n = chunks.groupBy(by).agg(F.count("*").alias("children")).filter(F.col("children") >= least)
-    shown = chunks.withColumn("_b", before).filter(F.col("_b") < most)
+    # Part of the separator before a chunk may show where nothing of the chunk does.
+    shown = chunks.withColumn("_b", before).filter(F.col("_b") - len(sep) < most)
     text = shown.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("ordinal", "id", "content"))).alias("x"))
     return n.join(text, by).select(by, "children", F.substring(F.array_join(F.transform("x", lambda c: c["content"]), sep), 1, most).alias("summary"))
 

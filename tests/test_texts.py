@@ -116,3 +116,14 @@ def test_coref_spans(spark):
     out = sorted(tuple(r) for r in chunking.coref_spans(m).collect())
     new = text[:20] + "Ada Lovelace" + text[23:28] + "Ada Lovelace" + text[31:]
     assert [(s, e) for _, s, e, *_ in out] == [(20, 23), (28, 31)] and all(new[a:b] == "Ada Lovelace" for *_, a, b, _ in out)
+
+
+def test_group_texts_cut_inside_a_separator(spark):
+    """The separator shows as far as it fits, though nothing of the chunk after it does."""
+    from kgloom.operators import chunking
+
+    texts = ["a" * 6, "b" * 5, "c" * 4]
+    df = spark.createDataFrame([(1, k, k, t) for k, t in enumerate(texts)], "source_id long, id long, ordinal long, content string")
+    whole = "\n\n---\n\n".join(texts)
+    for most in range(1, len(whole) + 2):
+        assert [tuple(r) for r in chunking.group_texts(df, "source_id", most).collect()] == [(1, 3, whole[:most])]
