@@ -111,20 +111,17 @@ def rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations:
     to_lost = shares.join(lost.select(F.col("id").alias("dst")), "dst", "left_semi").groupBy(F.col("src").alias("id")).agg(F.sum("share").alias("q"))
     inner = cut(shares.join(live.select(F.col("id").alias("dst")), "dst", "left_semi"))
     own = cut(base.join(live, "id", "left_semi").join(to_lost, "id", "left").select("id", "teleport", F.coalesce("q", F.lit(0.0)).alias("q")))
-    scores, mass = own.withColumn("score", F.lit(1.0 / max(n, 1))), nodes.sparkSession.range(1).select(F.lit(ends["n"] / max(n, 1)).alias("mass"))
-    value = F.col("teleport") * (1 - damping + damping * F.col("mass")) + damping * F.coalesce("flow", F.lit(0.0))
+    scores, mass = own.withColumn("score", F.lit(1.0 / max(n, 1))), ends["n"] / max(n, 1)
+    value = lambda m: F.col("teleport") * (1 - damping + damping * m) + damping * F.coalesce("flow", F.lit(0.0))
     flows = lambda over: scores.select(F.col("id").alias("src"), "score").join(over, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("flow"))
-    for k in range(iterations - 1):
-        given = scores.agg(F.coalesce(F.sum(F.col("score") * F.col("q")), F.lit(0.0)).alias("_q"))
-        scores, mass = (
-            own.join(flows(inner), "id", "left").join(F.broadcast(mass)).select("id", "teleport", "q", value.alias("score")),
-            given.join(F.broadcast(mass)).select((ends["t"] * (1 - damping + damping * F.col("mass")) + damping * F.col("_q")).alias("mass")),
-        )
-        if k % EVERY == EVERY - 1:
-            scores, mass = cut(scores), cut(mass)
+    for _ in range(iterations - 1):
+        given = scores.agg(F.sum(F.col("score") * F.col("q"))).first()[0] or 0.0
+        # Cut in each round: the scores are used twice, so that uncut plans would double.
+        scores = cut(own.join(flows(inner), "id", "left").select("id", "q", value(mass).alias("score")))
+        mass = ends["t"] * (1 - damping + damping * mass) + damping * given
     if iterations < 1:
         return base.select("id", F.lit(1.0 / max(n, 1)).alias("score"))
-    return base.join(flows(shares), "id", "left").join(F.broadcast(mass)).select("id", value.alias("score"))
+    return base.join(flows(shares), "id", "left").select("id", value(mass).alias("score"))
 
 
 def spreading(edges: DataFrame, seeds: DataFrame, decay: float = 0.7, threshold: float = 0.05, most: int = 10) -> DataFrame:
