@@ -216,4 +216,5 @@ def latest_kept(cache: DataFrame, most: int = 10_000) -> DataFrame:
 def by_component(edges: DataFrame, code: DataFrame, near: DataFrame) -> DataFrame:
     """Code nodes (id) of the components (component, distance) that research is near: nearest first."""
     part = relational.valid(edges).filter(F.col("rel_type") == "PART_OF_COMPONENT").select(F.col("src").alias("id"), F.col("dst").alias("component"))
-    return code.join(part, "id").join(near, "component").groupBy("id").agg(F.min("distance").alias("distance")).orderBy("distance", "id")
+    first = near.groupBy("component").agg(F.min("distance").alias("distance"))  # one row for each component, before code meets research
+    return code.join(part, "id").join(first, "component").groupBy("id").agg(F.min("distance").alias("distance")).orderBy("distance", "id")
