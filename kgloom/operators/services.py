@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.lineage import dealt, without
 from . import memory, retrieve
 
 #: What the definition of a node looks like in code, by type; other types are looked for by name alone.
@@ -67,10 +68,11 @@ def edges_corrected(edges: DataFrame, corrections: DataFrame) -> tuple[DataFrame
 
 def edges_deleted(edges: DataFrame, deletions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges, and an audit (target, action, changes), after deletions (id, reason); of several for one edge the first reason by the alphabet."""
-    one = deletions.groupBy("id").agg(F.min("reason").alias("reason"))
-    there = one.join(edges.select("id", F.lit(True).alias("_there")), "id", "left")
+    left, gone = dealt(edges.count(), (edges, ["id"]), (deletions, ["id"]))
+    one = gone.groupBy("id").agg(F.min("reason").alias("reason"))
+    there = one.join(left.select("id", F.lit(True).alias("_there")), "id", "left")
     action = F.when(F.col("_there").isNull(), "not_found").otherwise("edge_delete")
-    return edges.join(one, "id", "left_anti"), there.select(F.col("id").alias("target"), action.alias("action"), F.to_json(F.struct(F.col("id").alias("edge_id"), "reason")).alias("changes"))
+    return without(left, one, "id"), there.select(F.col("id").alias("target"), action.alias("action"), F.to_json(F.struct(F.col("id").alias("edge_id"), "reason")).alias("changes"))
 
 
 def reprocessed(sources: DataFrame, derived: dict[str, DataFrame], again: DataFrame) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,3 +23,18 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def dealt(rows: int, *sides: tuple[DataFrame, list[str]], each: int = 500_000) -> list[DataFrame]:
+    """Frames by the keys they are joined on, in one number of parts, so that a part has about ``each`` of the ``rows`` of the largest.
+
+    Spark joins parts by their compressed bytes, of which ids in order have about one a row: tens of millions of them would be sorted in one task.
+    """
+    n = max(1, -(-rows // each))
+    return [df.repartition(n, *keys) for df, keys in sides]
+
+
+def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``df`` but for the rows whose ``key`` is in ``keys`` (each key once). An anti join would be pushed into each part of a union,
+    all of which a task then runs at once, each with its own copy of ``keys``."""
+    return df.join(keys.select(key, F.lit(True).alias("_out")), key, "left").filter("_out IS NULL").select(*df.columns)
