@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -271,19 +273,25 @@ def fingerprints(df: DataFrame, stages: dict[str, list[str]]) -> DataFrame:
 
 
 def batches(items: DataFrame, by: str, order: str, most: int = 4000, least: int = 1) -> DataFrame:
-    """Adds batch: items in order, packed one after the other up to ``most`` tokens; items below ``least`` go. Sequential, so by group."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g[g["tokens"] >= least].sort_values(order, kind="stable")
-        out, used, batch = [], 0, 0
-        for n in g["tokens"]:
-            if used and used + n > most:
-                batch, used = batch + 1, 0
-            used += n
-            out.append(batch)
-        return g.assign(batch=out)
-
-    return items.groupBy(by).applyInPandas(run, T_.StructType([*items.schema.fields, T_.StructField("batch", T_.LongType())]))
+    """Adds batch: items in order, packed one after the other up to ``most`` tokens; items below ``least`` go. Sequential in a group; groups
+    stream through a task one after the other, so that neither their number nor their size is held in memory."""
+    by_at, tokens_at = items.columns.index(by), items.columns.index("tokens")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, used, batch, begun = None, 0, 0, False
+        for part in parts:
+            out = []
+            for group, n in zip(part.column(by_at).to_pylist(), part.column(tokens_at).to_pylist(), strict=True):
+                if not begun or group != last:
+                    last, used, batch, begun = group, 0, 0, True
+                if used and used + n > most:
+                    batch, used = batch + 1, 0
+                used += n
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.int64())], names=[*part.schema.names, "batch"])
+
+    rows = items.filter(F.col("tokens") >= least).repartition(by).sortWithinPartitions(by, F.asc_nulls_last(order))
+    return rows.mapInArrow(run, T_.StructType([*items.schema.fields, T_.StructField("batch", T_.LongType())]))
 
 
 def majority(df: DataFrame, by: str, label: str) -> DataFrame:
