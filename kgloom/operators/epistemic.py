@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import opinion as O
-from ..plans.lineage import cut
+from ..plans.lineage import cut, dealt
 
 
 def seeded(extractions: DataFrame, by: str = "entity_id") -> DataFrame:
@@ -66,10 +66,12 @@ def evicted(signals: DataFrame, least: float = 0.1) -> DataFrame:
 def without_sources(extractions: DataFrame, nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The extractions, nodes and edges that are left when the chunks of ``gone`` (chunk_id) go: nodes without support go with their edges,
     the others have their mentions counted anew."""
-    left = extractions.join(gone, "chunk_id", "left_anti")
-    counts = left.groupBy(F.col("entity_id").alias("id")).agg(F.count("*").alias("mentions"))
-    touched = extractions.join(gone, "chunk_id", "left_semi").select(F.col("entity_id").alias("id")).distinct()
-    lost = touched.join(counts, "id", "left_anti")
-    n = nodes.join(lost, "id", "left_anti").join(counts, "id", "left").withColumn("mention_count", F.coalesce("mentions", "mention_count")).drop("mentions")
+    x, g = dealt(extractions.count(), (extractions, ["chunk_id"]), (gone.select("chunk_id"), ["chunk_id"]))
+    left = x.join(g, "chunk_id", "left_anti").select(*extractions.columns)
+    # One pass for each entity: how many of its extractions stay, how many go.
+    marked = x.select("chunk_id", "entity_id").join(g.distinct().withColumn("_g", F.lit(True)), "chunk_id", "left")
+    per = marked.groupBy(F.col("entity_id").alias("id")).agg(F.count_if(F.col("_g").isNull()).alias("_stay"), F.count("_g").alias("_go"))
+    lost = per.filter("_stay = 0").select("id")
+    n = nodes.join(per, "id", "left").filter("_stay IS NULL OR _stay > 0").withColumn("mention_count", F.coalesce("_stay", "mention_count"))
     e = edges.join(lost.withColumnRenamed("id", "src"), "src", "left_anti").join(lost.withColumnRenamed("id", "dst"), "dst", "left_anti")
     return left, n.select(*nodes.columns), e.select(*edges.columns)
