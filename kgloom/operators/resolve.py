@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
@@ -193,49 +194,141 @@ def novel(statements: DataFrame, threshold: float = 0.92) -> DataFrame:
     return statements.groupBy("source_id").applyInPandas(keep, statements.schema)
 
 
+def complete_linkage() -> Callable[..., list[list[int]]]:
+    """The function below, made inside another so that it travels to the executors by value."""
+
+    def run(x, threshold: float, room: int = 4_000_000) -> list[list[int]]:
+        """Clusters of the rows of ``x`` (of length one, or zero) by complete linkage of their products at ``threshold``.
+
+        Chains of nearest neighbours: a pair that is nearest to each other merges. Complete linkage only falls by merging, so that a cluster
+        whose nearest is below the threshold is done, and a nearest neighbour stays it until it merges itself. No matrix of all pairs is held:
+        a cluster's row, its least product with each row of ``x``, is computed when asked for, and up to ``room`` numbers of rows are kept.
+        """
+        import numpy as np
+
+        members = {k: [k] for k in range(len(x))}
+        at = np.arange(len(x))  # the rows that still count, of which ``live`` are the vectors
+        live, lead = x, np.arange(len(x))  # lead: each such row's cluster, -1 when done
+        step = max(1, room // max(len(x), 1))
+        near, rows, found, chain = {}, {}, [], []
+        for k in range(0, len(x), step):
+            s = x[k : k + step] @ x.T
+            s[np.arange(len(s)), np.arange(k, k + len(s))] = -2
+            b = s.argmax(axis=1)
+            near.update((k + i, (int(j), float(s[i, j]))) for i, j in enumerate(b))
+
+        def row(a: int):
+            if a not in rows:
+                m, least = members[a], None
+                for k in range(0, len(m), step):
+                    s = (x[m[k : k + step]] @ live.T).min(axis=0)
+                    least = s if least is None else np.minimum(least, s)
+                rows[a] = least
+            while len(rows) > max(step, 3):
+                rows.pop(next(iter(rows)))
+            return rows[a]
+
+        def nearest(a: int) -> tuple[int, float]:
+            if a not in near:
+                link = np.full(len(x), 2.0)
+                r = row(a)
+                on = lead >= 0
+                np.minimum.at(link, lead[on], r[on])
+                link[link > 1.5] = -2
+                link[a] = -2
+                b = int(link.argmax())
+                near[a] = b, float(link[b])
+            return near[a]
+
+        of: dict[int, set[int]] = {}  # who has it as nearest
+        for a, (b, _) in near.items():
+            of.setdefault(b, set()).add(a)
+
+        def stale(b: int) -> None:
+            for a in of.pop(b, ()):
+                if a in near and near[a][0] == b:
+                    del near[a]
+
+        first, done = 0, 0
+        while members:
+            if not chain:
+                while first not in members:
+                    first += 1
+                chain = [first]
+                if done > len(at) // 2:
+                    keep = lead >= 0
+                    at, lead, done = at[keep], lead[keep], 0
+                    live, rows = x[at], {a: r[keep] for a, r in rows.items()}
+            a = chain[-1]
+            known = a in near
+            b, s = nearest(a)
+            if not known:
+                of.setdefault(b, set()).add(a)
+            # Equal products may differ in their last bits by the side they are computed from: no cluster comes into a chain twice.
+            if len(chain) > 1 and (near[chain[-2]][1] >= s or b in chain):
+                b, s = chain[-2], near[chain[-2]][1]
+            if s < threshold:
+                mine = np.searchsorted(at, members[a])
+                found.append(members.pop(a))
+                lead[mine] = -1
+                done += len(mine)
+                rows.pop(a, None)
+                stale(a)
+                chain = []
+            elif len(chain) > 1 and b == chain[-2]:
+                a, b = min(a, b), max(a, b)
+                r = np.minimum(row(a), row(b))
+                lead[np.searchsorted(at, members[b])] = a
+                members[a] += members.pop(b)
+                rows.pop(b, None)
+                rows.pop(a, None)
+                rows[a] = r
+                stale(a)
+                stale(b)
+                near.pop(a, None)
+                near.pop(b, None)
+                chain = chain[:-2]
+            else:
+                chain.append(b)
+        return found
+
+    return run
+
+
 def clustered(statements: DataFrame, threshold: float = 0.75, least: int = 2) -> DataFrame:
-    """Adds cluster: complete linkage by cosine at ``threshold`` inside each source; clusters below ``least`` join the one of the largest mean similarity."""
+    """Adds cluster: complete linkage by cosine at ``threshold`` inside each source; clusters below ``least`` join the one of the largest mean similarity.
+
+    Squares of the source's statements in time, not in memory.
+    """
     import numpy as np
 
     schema = T_.StructType([*statements.schema.fields, T_.StructField("cluster", T_.LongType())])
+    linked = complete_linkage()
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("id", kind="stable")
         x = np.array([np.asarray(e, float) for e in g["embedding"]])
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        sim = x @ x.T
-        # Chains of nearest neighbours: a pair that is nearest to each other merges. Complete linkage only falls by merging, so that a
-        # cluster whose nearest is below the threshold is done. Squares of the source's statements in time and memory.
-        groups = {k: [k] for k in range(len(g))}
-        link, found, chain = sim.copy(), [], []
-        np.fill_diagonal(link, -2)
-        while groups:
-            if not chain:
-                chain = [min(groups)]
-            a = chain[-1]
-            b = int(np.argmax(link[a]))
-            if len(chain) > 1 and link[a, chain[-2]] >= link[a, b]:
-                b = chain[-2]
-            if link[a, b] < threshold:
-                found.append(groups.pop(a))
-                link[a] = link[:, a] = -2
-                chain = []
-            elif len(chain) > 1 and b == chain[-2]:
-                a, b = min(a, b), max(a, b)
-                groups[a] += groups.pop(b)
-                link[a] = link[:, a] = np.minimum(link[a], link[b])
-                link[b] = link[:, b] = -2
-                link[a, a] = -2
-                chain = chain[:-2]
-            else:
-                chain.append(b)
+        # Copies are at the largest cosine, so that they merge first; vectors of zeros are like nothing, themselves included.
+        same: dict[object, list[int]] = {}
+        for k, v in enumerate(x):
+            same.setdefault(v.tobytes() if v.any() else k, []).append(k)
+        copies = list(same.values()) if threshold <= 1 - 1e-9 else [[k] for k in range(len(x))]
+        found = [sum((copies[k] for k in c), []) for c in linked(x[[c[0] for c in copies]], threshold)]
         found.sort(key=min)
         large = [c for c in found if len(c) >= least] or found
-        for c in found:
-            if len(c) < least and c not in large:
-                large[int(np.argmax([sim[np.ix_(c, o)].mean() for o in large]))] += c
+        if len(large) < len(found):
+            # The mean of all products of two clusters is the product of their means.
+            sums, sizes = np.array([x[c].sum(axis=0) for c in large]), np.array([len(c) for c in large], float)
+            for c in found:
+                if len(c) < least:
+                    own = x[c].sum(axis=0)
+                    k = int(np.argmax(sums @ own / sizes))
+                    large[k] += c
+                    sums[k] += own
+                    sizes[k] += len(c)
         ids = g["id"].to_numpy()
-        name = {m: int(min(ids[c])) for c in large for m in c}
+        name = {m: first for c in large for first in [int(min(ids[c]))] for m in c}
         return g.assign(cluster=[name[k] for k in range(len(g))])
 
     return statements.groupBy("source_id").applyInPandas(run, schema)

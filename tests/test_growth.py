@@ -17,3 +17,25 @@ def test_research_is_folded_before_it_meets_code(spark):
     out = retrieve.by_component(edges, edges.select(F.col("src").alias("id")), near)
     assert {tuple(r) for r in out.collect()} == {(k, 1.0 + k % 2) for k in range(40)}
     assert plan(out).count("Aggregate") == 2
+
+
+def test_linkage_holds_no_matrix(spark):
+    import tracemalloc
+
+    import numpy as np
+
+    x = np.random.default_rng(5).normal(size=(3_000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tracemalloc.start()
+    found = resolve.complete_linkage()(x, 0.3, 60_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3_000 * 3_000 * 8 / 4
+    assert sorted(k for c in found for k in c) == list(range(3_000))
+    sim = x @ x.T
+    assert all(sim[np.ix_(c, c)].min() > 0.3 - 1e-9 for c in found)
+    # Nothing is left to merge.
+    lows = np.array([np.minimum.reduce([sim[k] for k in c]) for c in found])
+    link = np.array([[lows[a][c].min() for c in found] for a in range(len(found))])
+    np.fill_diagonal(link, -2)
+    assert link.max() < 0.3 + 1e-9
