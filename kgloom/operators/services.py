@@ -226,10 +226,19 @@ def replayed(trace: DataFrame, again: DataFrame, by: str) -> DataFrame:
 
 def coref_windows(docs: DataFrame, size: int = 15_000, overlap: int = 500) -> DataFrame:
     """id, window, start, text: windows of ``size`` characters that overlap, each reaching ``overlap`` into the one before."""
-    step = size - overlap
-    last = F.greatest(F.ceil((F.length("text") - overlap) / step).cast("int") - 1, F.lit(0))
-    w = docs.select("id", "text", F.explode(F.sequence(F.lit(0), last)).alias("window"))
-    return w.select("id", "window", (F.col("window") * step).cast("long").alias("start"), F.substring("text", F.col("window") * step + 1, F.lit(size)).alias("text"))
+    step, n = size - overlap, F.length("text")
+    last = F.greatest(F.ceil((n - overlap) / step).cast("int"), F.lit(1))
+    # One pass: each match takes ``step`` characters and looks ahead at ``size``. Counting to each window from the text's start would be quadratic.
+    parts = F.when(n > 0, F.slice(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{1,{size}}})).{{1,{step}}}"), F.lit(1)), F.lit(1), last)).otherwise(F.array("text"))
+    return docs.select("id", F.posexplode(parts).alias("window", "text")).select("id", "window", (F.col("window") * step).cast("long").alias("start"), "text")
+
+
+def occurrences(text: Column, word: str) -> Column:
+    """Where ``word`` stands in a text, from 0, in characters; places that overlap one before are no others. One pass over the text."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    put = lambda s, p: F.struct((s["at"] + F.length(p) + len(word)).alias("at"), F.concat(s["out"], F.array(s["at"] + F.length(p))).alias("out"))
+    parts = F.split(text, r"\Q" + word.replace(r"\E", r"\E\\E\Q") + r"\E", -1)
+    return F.aggregate(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), start, put, lambda s: s["out"])
 
 
 def coref_merged(found: DataFrame, overlap: int = 500) -> DataFrame:

@@ -183,8 +183,7 @@ def replayed_searches(spark, sf):
 def windowed_mentions(spark, sf):
     """What windows of 1,000 characters that share 100 find of a short word, merged, is what the whole texts hold."""
     w = services.coref_windows(kg.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), 1_000, 100)
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length("text") - 3, F.lit(1))), lambda i: F.substring("text", i, F.lit(4)) == "tion")
-    found = w.select("id", "window", "start", F.explode(at).alias("at"), F.lit("tion").alias("label"), F.lit(4).alias("size")).withColumn("at", F.col("at") - 1)
+    found = w.select("id", "window", "start", F.explode(services.occurrences(F.col("text"), "tion")).alias("at"), F.lit("tion").alias("label"), F.lit(4).alias("size"))
     return services.coref_merged(found, 100).groupBy("id").agg(F.count("*").alias("n"))
 
 

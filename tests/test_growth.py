@@ -39,3 +39,14 @@ def test_linkage_holds_no_matrix(spark):
     link = np.array([[lows[a][c].min() for c in found] for a in range(len(found))])
     np.fill_diagonal(link, -2)
     assert link.max() < 0.3 + 1e-9
+
+
+def test_words_and_windows_in_one_pass(spark):
+    texts = ["", None, "tion", "xtiontionx", "é" * 30 + "tion" + "😀" * 40 + "tiontio", "a\nb\r\ntion" * 50, "y" * 190, "y" * 191, "tio"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r["id"]: r["at"] for r in df.select("id", services.occurrences(F.col("text"), "tion").alias("at")).collect()}
+    assert got == {k: None if t is None else [i for i in range(len(t)) if t.startswith("tion", i)] for k, t in enumerate(texts)}
+    w = services.coref_windows(df, 100, 10)
+    want = {(k, n, n * 90): None if t is None else t[n * 90 : n * 90 + 100] for k, t in enumerate(texts) for n in range(max(-(-(len(t or "") - 10) // 90), 1))}
+    assert {tuple(r)[:3]: r["text"] for r in w.collect()} == want
+    assert "substring" not in plan(w)
