@@ -21,11 +21,11 @@ def data_health(nodes: DataFrame, edges: DataFrame, sources: DataFrame, chunks:
     none = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     old = F.col("superseded_by").isNotNull()
     ends = edges.select(F.col("src").alias("id")).unionAll(edges.select("dst")).distinct()
-    orphans = nodes.join(extractions.select(F.col("entity_id").alias("id")).distinct(), "id", "left_anti").select("id")
+    orphans = without(nodes.select("id"), extractions.select(F.col("entity_id").alias("id")).distinct(), "id")
     once = orphans.join(ends.withColumn("_e", F.lit(1)), "id", "left").agg(F.count("*").alias("orphan_nodes"), F.count("_e").alias("orphan_nodes_with_edges"))
     rows = [
         sources.agg(F.count_if(old).alias("superseded_sources"), F.count_if(~old & none("summary")).alias("unsummarized_sources")),
-        chunks.join(sources.filter(old).select(F.col("id").alias("source_id")), "source_id", "left_semi").agg(F.count("*").alias("superseded_chunks")),
+        chunks.groupBy("source_id").agg(F.count("*").alias("_n")).join(sources.filter(old).select(F.col("id").alias("source_id")), "source_id", "left_semi").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("superseded_chunks")),
         once,
         sources.filter(~old & F.col("uri").isNotNull()).groupBy("uri").count().filter("count > 1").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("duplicate_sources")),
         nodes.agg(F.count_if(F.col("embedding").isNull()).alias("unembedded_nodes"), F.count_if((F.col("entity_class") == "code") & none("summary")).alias("unsummarized_code")),

@@ -50,3 +50,15 @@ def test_words_and_windows_in_one_pass(spark):
     want = {(k, n, n * 90): None if t is None else t[n * 90 : n * 90 + 100] for k, t in enumerate(texts) for n in range(max(-(-(len(t or "") - 10) // 90), 1))}
     assert {tuple(r)[:3]: r["text"] for r in w.collect()} == want
     assert "substring" not in plan(w)
+
+
+def test_health_joins_the_orphans_once(spark):
+    n = spark.range(0, 5).unionAll(spark.range(5, 9)).select("id", F.lit("x").alias("entity_class"), F.lit(None).cast("array<double>").alias("embedding"), F.lit("").alias("summary"))
+    s = spark.createDataFrame([(1, "a", None, ""), (2, "a", None, "x"), (3, "b", 2, "x"), (4, None, 2, None)], "id long, uri string, superseded_by long, summary string")
+    c = spark.createDataFrame([(1,), (3,), (3,), (4,), (9,), (None,)], "source_id long")
+    x = spark.createDataFrame([(0,), (0,), (6,)], "entity_id long")
+    e = spark.createDataFrame([(1, 2), (0, 7), (1, 7)], "src long, dst long")
+    out = services.data_health(n, e, s, c, x)
+    assert out.first().asDict() == {"superseded_sources": 2, "unsummarized_sources": 1, "superseded_chunks": 3, "orphan_nodes": 7, "orphan_nodes_with_edges": 3, "duplicate_sources": 2, "unembedded_nodes": 9, "unsummarized_code": 0}
+    assert services.data_health(n, e, s, c.limit(0), x).first()["superseded_chunks"] == 0
+    assert "LeftAnti" not in plan(out)
