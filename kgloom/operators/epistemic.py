@@ -32,16 +32,17 @@ def closure(claims: DataFrame, attacks: DataFrame, damping: float = 0.8, epsilon
     """id, p: claims (id, p) under attacks (attacker, target, kind, weight), to a fixed point.
 
     Each round, all attacks read the round before; those on one target multiply. The sum of logarithms of factors is the
-    product, and is combined in each task first; a factor of 0 is counted apart.
+    product, and is combined in each task first; a factor of 0 is counted apart. The joins are merges, as a broadcast in each
+    round would send all claims to the driver again and again.
     """
     base = cut(claims.select("id", F.col("p").alias("p0")))
     now = cut(base.withColumn("p", F.col("p0")))
     a = cut(attacks.select("attacker", "target", F.lower("kind").alias("kind"), "weight"))
     for _ in range(most):
         f = F.greatest(factor(F.col("kind"), F.col("p"), F.col("weight")), F.lit(0.0))
-        hit = a.join(now.select(F.col("id").alias("attacker"), "p"), "attacker").select("target", f.alias("f"))
+        hit = a.join(now.select(F.col("id").alias("attacker"), "p").hint("merge"), "attacker").select("target", f.alias("f"))
         left = hit.groupBy(F.col("target").alias("id")).agg(F.when(F.count_if(F.col("f") <= 0) > 0, 0.0).otherwise(F.exp(F.sum(F.when(F.col("f") > 0, F.ln("f"))))).alias("f"))
-        new = now.join(left, "id", "left").withColumn("n", F.col("p0") * F.coalesce("f", F.lit(1.0)))
+        new = now.join(left.hint("merge"), "id", "left").withColumn("n", F.col("p0") * F.coalesce("f", F.lit(1.0)))
         new = cut(new.select("id", "p0", (F.col("p") + damping * (F.col("n") - F.col("p"))).alias("p"), F.abs(damping * (F.col("n") - F.col("p"))).alias("change")))
         now = new.drop("change")
         if (new.agg(F.max("change")).first()[0] or 0.0) < epsilon:

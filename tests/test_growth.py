@@ -62,3 +62,13 @@ def test_health_joins_the_orphans_once(spark):
     assert out.first().asDict() == {"superseded_sources": 2, "unsummarized_sources": 1, "superseded_chunks": 3, "orphan_nodes": 7, "orphan_nodes_with_edges": 3, "duplicate_sources": 2, "unembedded_nodes": 9, "unsummarized_code": 0}
     assert services.data_health(n, e, s, c.limit(0), x).first()["superseded_chunks"] == 0
     assert "LeftAnti" not in plan(out)
+
+
+def test_closure_broadcasts_no_claims(spark, monkeypatch):
+    seen, cut = [], epistemic.cut
+    monkeypatch.setattr(epistemic, "cut", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    claims = spark.createDataFrame([(1, 0.8), (2, 0.6), (3, 0.5)], "id long, p double")
+    attacks = spark.createDataFrame([(1, 2, "contradicts", 0.5), (2, 3, "contends", 1.0)], "attacker long, target long, kind string, weight double")
+    got = {r["id"]: r["p"] for r in epistemic.closure(claims, attacks, epsilon=1e-10).collect()}
+    assert abs(got[2] - 0.6 * (1 - 0.8 * 0.5)) < 1e-8 and got[1] == 0.8
+    assert not any("BroadcastExchange" in p for p in seen) and any("SortMergeJoin" in p for p in seen)
