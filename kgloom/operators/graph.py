@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans.lineage import cut
+from ..plans.lineage import cut, kept
 
 #: Iterations between two cuts of a plan's lineage.
 EVERY = 4
@@ -192,23 +192,45 @@ def cores(nodes: DataFrame, edges: DataFrame, weight: str | None = None) -> Data
     without ``weight``: degree) is k or more.
 
     From the degrees down, each round gives a node the largest k for which its neighbours with k or more weigh k or more; it
-    ends at the core numbers when nothing changes, in far fewer rounds than there are layers to peel. A round is two aggregates
-    and a window over the distinct numbers among a node's neighbours, so that hubs are no hot rows.
+    ends at the core numbers when nothing changes, in far fewer rounds than there are layers to peel. A node's neighbours are weighed
+    once, at each of their numbers (``level``; above its own degree they are all alike). Then only nodes that fell tell it, if it
+    matters there, and only nodes that were told are looked at again; edges stay where they are, as lists by the node that tells.
     """
-    w = F.col(weight) if weight else F.lit(1.0)
+    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
     e = edges.filter("src <> dst").select("src", "dst", w.alias("w"))
-    near = cut(e.select(F.col("src").alias("a"), F.col("dst").alias("b"), "w").unionAll(e.select(F.col("dst"), F.col("src"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w")))
+    parts = max(1, -(-e.count() // 250_000))
+    both = e.select(F.col("src").alias("a"), F.col("dst").alias("b"), "w").unionAll(e.select(F.col("dst"), F.col("src"), "w"))
     whole = lambda x: F.floor(F.round(x, 9)).cast("long")
-    now = cut(near.groupBy(F.col("a").alias("id")).agg(whole(F.sum("w")).alias("core")))
-    down = Window.partitionBy("a").orderBy(F.desc("core"))
-    while True:
-        seen = near.join(now.withColumnRenamed("id", "b"), "b").groupBy("a", "core").agg(F.sum("w").alias("w"))
-        best = seen.select("a", F.least("core", whole(F.sum("w").over(down))).alias("k")).groupBy(F.col("a").alias("id")).agg(F.max("k").alias("k"))
-        new = cut(now.join(best, "id").select("id", "core", F.least("core", "k").alias("k")))
-        same = new.filter("k < core").isEmpty()
-        now = new.select("id", F.col("k").alias("core"))
-        if same:
-            return nodes.select("id").join(now, "id", "left").select("id", F.coalesce("core", F.lit(0).cast("long")).alias("core"))
+    start = kept(both.groupBy("a").agg(whole(F.sum("w")).alias("core"), F.count("*").alias("_n")).repartition(parts, "a"))
+    far = start.select(F.col("a").alias("b"), F.col("core").alias("most")).hint("shuffle_hash")
+    near = both.repartition(parts, "b").join(far, "b").repartition(parts, "a").join(start.hint("shuffle_hash"), "a")
+    piece = F.pmod(F.monotonically_increasing_id(), F.floor(1 + F.col("_n") / 10_000))  # a hub has several lists
+    near = kept(near.groupBy("a", piece.alias("piece")).agg(F.collect_list(F.struct("b", "w", "most")).alias("to")))
+    level = F.least("most", "core").alias("level")
+    first = kept(near.join(start.hint("shuffle_hash"), "a").select("a", "core", F.inline("to")).groupBy("a", level).agg(F.sum("w").alias("w")))
+    down = Window.partitionBy("a").orderBy(F.desc_nulls_last("level")).rowsBetween(Window.unboundedPreceding, 0)
+    own = F.col("level").isNull()
+
+    def settled(levels: DataFrame, cores: DataFrame) -> DataFrame:
+        """a, core, was: the nodes that fall; ``cores`` has a node's numbers so far. Their rows have no level and come last."""
+        x = levels.withColumn("core", F.lit(None).cast("long")).unionByName(cores.select("a", F.lit(None).cast("long").alias("level"), F.lit(0.0).alias("w"), "core"))
+        x = x.repartition(parts, "a").groupBy("a", "level").agg(F.sum("w").alias("w"), F.min("core").alias("was"))
+        x = x.withColumn("k", F.when(~own, F.least("level", whole(F.sum("w").over(down))))).withColumn("core", F.least("was", F.max("k").over(down)))
+        return cut(x.filter(own & (F.col("core") < F.col("was"))).select("a", "core", "was"))
+
+    fell, falls, moves, k = settled(first, start), start.select("a", "core"), None, 0
+    while not fell.isEmpty():
+        falls = falls.unionByName(fell.select("a", "core"))
+        told = near.join(fell.repartition(parts, "a").hint("shuffle_hash"), "a").select("core", "was", F.inline("to"))
+        told = told.select(F.col("b").alias("a"), "w", F.least("was", "most").alias("was"), level).filter("level < was")
+        told = cut(told.select("a", F.inline(F.array(F.struct(F.col("was").alias("level"), (-F.col("w")).alias("w")), F.struct("level", "w")))))
+        moves, k = told if moves is None else moves.unionByName(told), k + 1
+        if k % EVERY == 0:
+            moves, falls = cut(moves.groupBy("a", "level").agg(F.sum("w").alias("w"))), cut(falls.groupBy("a").agg(F.min("core").alias("core")))
+        again = told.select("a").distinct().repartition(parts, "a").hint("shuffle_hash")
+        fell = settled(first.join(again, "a").unionByName(moves.join(again, "a")), falls.join(again, "a"))
+    now = falls.groupBy(F.col("a").alias("id")).agg(F.min("core").alias("core"))
+    return nodes.select("id").join(now, "id", "left").select("id", F.coalesce("core", F.lit(0).cast("long")).alias("core"))
 
 
 def communities(nodes: DataFrame, edges: DataFrame, core: DataFrame, least: int = 2) -> DataFrame:

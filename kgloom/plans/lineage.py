@@ -25,6 +25,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``cut`` for a frame that was repartitioned by keys: joins and aggregates on these then leave it where it is. An adaptive plan's parts
+    aren't known beforehand, so that Spark would shuffle what was read back from one."""
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    was = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return cut(df.select("*"))  # planned anew, without it
+    finally:
+        conf.set(name, was)
+
+
 def dealt(rows: int, *sides: tuple[DataFrame, list[str]], each: int = 500_000) -> list[DataFrame]:
     """Frames by the keys they are joined on, in one number of parts, so that a part has about ``each`` of the ``rows`` of the largest.
 

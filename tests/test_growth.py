@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from kgloom.operators import epistemic, resolve, retrieve, services
+from kgloom.operators import epistemic, graph, resolve, retrieve, services
 
 
 def plan(df):
@@ -72,3 +72,13 @@ def test_closure_broadcasts_no_claims(spark, monkeypatch):
     got = {r["id"]: r["p"] for r in epistemic.closure(claims, attacks, epsilon=1e-10).collect()}
     assert abs(got[2] - 0.6 * (1 - 0.8 * 0.5)) < 1e-8 and got[1] == 0.8
     assert not any("BroadcastExchange" in p for p in seen) and any("SortMergeJoin" in p for p in seen)
+
+
+def test_cores_send_only_what_moves(spark, monkeypatch):
+    sent, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: sent.append(df.count()) or cut(df))
+    es = [(0, k) for k in range(1, 301)] + [(a, b) for a in range(400, 405) for b in range(400, a)] + [(0, 400), (7, 7)]
+    ns = spark.range(0, 301).unionAll(spark.range(400, 406))
+    got = {r["id"]: r["core"] for r in graph.cores(ns, spark.createDataFrame(es, "src long, dst long")).collect()}
+    assert got == {k: 1 for k in range(301)} | {k: 4 for k in range(400, 405)} | {405: 0}
+    assert sent and max(sent) < 50
