@@ -235,8 +235,12 @@ def cores(nodes: DataFrame, edges: DataFrame, weight: str | None = None) -> Data
 
 def communities(nodes: DataFrame, edges: DataFrame, core: DataFrame, least: int = 2) -> DataFrame:
     """id, community, core: nodes of one core number that are connected among themselves, of ``least`` or more."""
-    k = core.select("id", "core")
-    same = edges.join(k.withColumnsRenamed({"id": "src", "core": "_a"}), "src").join(k.withColumnsRenamed({"id": "dst", "core": "_b"}), "dst").filter("_a = _b")
+    k = cut(core.select("id", "core"))
+    same = edges.filter("src <> dst").select("src", "dst")
+    parts = max(1, -(-same.count() // 500_000))
+    for end, at in (("src", "_a"), ("dst", "_b")):  # nodes are few beside the edges: no edge is sorted
+        same = same.repartition(parts, end).join(k.select(F.col("id").alias(end), F.col("core").alias(at)).repartition(parts, end).hint("shuffle_hash"), end)
+    same = same.filter("_a = _b")
     m = membership(nodes, same.select("src", "dst")).join(k, "id")
     sizes = m.groupBy("component").count().filter(F.col("count") >= least).select("component")
     return m.join(sizes, "component", "left_semi").select("id", F.col("component").alias("community"), "core")
