@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from kgloom.operators import epistemic, graph, resolve, retrieve, services
+from kgloom.plans import catalog
 
 
 def plan(df):
@@ -82,3 +83,9 @@ def test_cores_send_only_what_moves(spark, monkeypatch):
     got = {r["id"]: r["core"] for r in graph.cores(ns, spark.createDataFrame(es, "src long, dst long")).collect()}
     assert got == {k: 1 for k in range(301)} | {k: 4 for k in range(400, 405)} | {405: 0}
     assert sent and max(sent) < 50
+
+
+def test_cooccurrence_makes_its_pairs_once(spark):
+    out = catalog.QUERIES["cooccurrence_edges"](spark, "/root/testdata/sf0.001")
+    assert plan(out).count("Join ") == 2
+    assert out.columns == ["src", "dst", "n", "weight", "confidence"]
