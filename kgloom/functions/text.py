@@ -174,11 +174,14 @@ PRIMITIVES = tuple("bool boolean char double f32 f64 float i32 i64 int integer n
 def noise_name(name: Column) -> Column:
     """Whether a name can't be that of an entity."""
     n, low = F.trim(name), F.lower(F.trim(name))
-    return any_of(
+    # Most names are letters, digits and blanks, of which the rules for signs can't be true.
+    few = [(F.length(n) <= 2) & ~n.isin(*SHORT_NAMES), low.isin(*PRIMITIVES, *GENERIC), F.length(n) > 120, n.rlike(r"^(?:[0-9]+$|(?:section|figure|table|chapter|eq) [0-9])"), low.rlike(r"^(?:(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* [0-9]{1,4}|(?:the|this|that|these|those|our|their) \w+)$")]
+    every = any_of(
         n == "", n.contains("\n"), n.rlike(r"</?[a-z]+[^>]*>"), n.rlike(r"^\W+$"), (F.length(n) <= 2) & ~n.isin(*SHORT_NAMES), low.isin(*PRIMITIVES), low.isin(*GENERIC), low.rlike(r"^(https?|ftp)://|^www\."), n.rlike(MAIL),
         n.rlike(r"^[+-]?[0-9][0-9.,%]*$"), n.rlike(r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$"), low.rlike(r"^(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* [0-9]{1,4}$"), n.rlike(r"[{};=]|->|=>|::<|\(\)$"), n.rlike(r"^\$.*\$$|\\[a-z]+\{"),
         low.rlike(r"^(how|what|when|where|which|who|why) .*\?$"), low.rlike(r"^(the|this|that|these|those|our|their) \w+$"), F.length(n) > 120, n.rlike(r"^(section|figure|table|chapter|eq\.?) [0-9]"), n.rlike(r"^[._/]|/.*/.*\.[a-z]{1,4}$"),
     )
+    return F.when(n.rlike(r"^[A-Za-z0-9][A-Za-z0-9 ]*\z"), any_of(*few)).otherwise(every)
 
 
 # Fixed values, as results must be the same: node types that are code.

@@ -1,9 +1,11 @@
 """Work and memory that must not grow faster than the input: plans and peaks of operators, beside their results."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from kgloom.functions import text as T
 from kgloom.operators import epistemic, graph, resolve, retrieve, services
 from kgloom.plans import catalog
 
@@ -89,3 +91,21 @@ def test_cooccurrence_makes_its_pairs_once(spark):
     out = catalog.QUERIES["cooccurrence_edges"](spark, "/root/testdata/sf0.001")
     assert plan(out).count("Join ") == 2
     assert out.columns == ["src", "dst", "n", "weight", "confidence"]
+
+
+def test_plain_names_meet_few_rules(spark):
+    def noise(name):
+        n, low = name.strip(" "), name.strip(" ").lower()
+        found = lambda *rules: any(re.search(r, x, re.A) for r, x in rules)
+        return n == "" or "\n" in n or (len(n) <= 2 and n not in T.SHORT_NAMES) or low in T.PRIMITIVES or low in T.GENERIC or len(n) > 120 or found(
+            (r"</?[a-z]+[^>]*>", n), (r"^\W+$", n), (r"^(https?|ftp)://|^www\.", low), (T.MAIL, n), (r"^[+-]?[0-9][0-9.,%]*$", n), (r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$", n),
+            (r"^(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* [0-9]{1,4}$", low), (r"[{};=]|->|=>|::<|\(\)$", n), (r"^\$.*\$$|\\[a-z]+\{", n), (r"^(how|what|when|where|which|who|why) .*\?$", low),
+            (r"^(the|this|that|these|those|our|their) \w+$", low), (r"^(section|figure|table|chapter|eq\.?) [0-9]", n), (r"^[._/]|/.*/.*\.[a-z]{1,4}$", n),
+        )
+
+    rng = random.Random(7)
+    bits = ["the", "The", "May", "june", "int", "Paper", "section", "Section", "eq", "eq.", "AI", "x", "ab", "12", "2024", "1", " ", " ", " ", "_", "-", ".", "@", "/", "?", "()", "<b>", "$", "=", "é", "\n", "www.", "who", "a" * 119]
+    names = sorted({"".join(rng.choice(bits) for _ in range(rng.randint(0, 4))) for _ in range(3_000)})
+    out = spark.createDataFrame([(n,) for n in names], "name string").select("name", T.noise_name(F.col("name")).alias("noise"))
+    assert {r["name"]: r["noise"] for r in out.collect()} == {n: noise(n) for n in names}
+    assert "CASE WHEN" in plan(out)
